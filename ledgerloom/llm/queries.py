@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, unigram
+from . import bpe, quality, unigram
 from .common import read_table
 
 try:
@@ -25,5 +25,69 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), BPE_FILE, ids=False, digests=True)
 
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe}
-ORACLES: dict[str, str] = {}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every whole text."""
+    return quality.judge(read_table(spark, sf_dir, "documents"))
+
+
+_OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents
+), s AS (
+  SELECT doc_id, lang, source, t,
+         [x FOR x IN string_split_regex(t, '[\x20\x09-\x0D]+') IF x <> ''] AS w,
+         [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
+  FROM d
+), u AS (
+  SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM s
+), g AS (
+  SELECT doc_id, i, [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o] AS g,
+         lead(i, 4) OVER o IS NOT NULL AS whole
+  FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE whole) WHERE n > 1
+), c AS (
+  SELECT doc_id, sum(k) AS n_repeat_words
+  FROM (SELECT doc_id, least(5, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -5)) AS k FROM r) GROUP BY doc_id
+), m AS (
+  SELECT s.doc_id, lang, source, len(w)::BIGINT AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper
+  FROM s LEFT JOIN c USING (doc_id)
+), v AS (
+  SELECT doc_id, lang, source, 'symbol_rate' AS measure, CASE WHEN n_words > 0 THEN 10000 * n_symbols // n_words END AS value, 400 AS least, false AS two FROM m
+  UNION ALL SELECT doc_id, lang, source, 'upper_rate', CASE WHEN word_chars > 0 THEN 10000 * n_upper // word_chars END, 500, false FROM m
+  UNION ALL SELECT doc_id, lang, source, 'mean_length', CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words END, 700, true FROM m
+), b AS (
+  SELECT lang, source, measure, least, two,
+         value - value % (1::BIGINT << greatest(length(bin(value)) - 6, 0)) AS bin FROM v WHERE value IS NOT NULL
+), levels AS (
+  SELECT 1 AS level, lang AS gl, source AS gs, measure, bin, count(*) AS n FROM b GROUP BY ALL
+  UNION ALL SELECT 2, lang, NULL, measure, bin, count(*) FROM b GROUP BY ALL
+  UNION ALL SELECT 3, NULL, NULL, measure, bin, count(*) FROM b GROUP BY ALL
+), upto AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, gl, gs, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, gl, gs, measure) AS total FROM levels
+), q AS (
+  SELECT level, gl, gs, measure, max(total) AS n, min(bin) FILTER (upto * 4 >= total) AS q1, min(bin) FILTER (upto * 4 >= total * 3) AS q3
+  FROM upto GROUP BY ALL
+), f AS (
+  SELECT v.doc_id,
+         bool_or(coalesce(v.value > coalesce(o.q3, l.q3, a.q3) + 4 * greatest(coalesce(o.q3, l.q3, a.q3) - coalesce(o.q1, l.q1, a.q1), v.least), false)
+              OR coalesce(v.two AND v.value < coalesce(o.q1, l.q1, a.q1) - 4 * greatest(coalesce(o.q3, l.q3, a.q3) - coalesce(o.q1, l.q1, a.q1), v.least), false)) AS outside
+  FROM v
+  LEFT JOIN q o ON o.level = 1 AND o.gl = v.lang AND o.gs = v.source AND o.measure = v.measure AND o.n >= 50
+  LEFT JOIN q l ON l.level = 2 AND l.gl = v.lang AND l.measure = v.measure AND l.n >= 50
+  LEFT JOIN q a ON a.level = 3 AND a.measure = v.measure
+  GROUP BY v.doc_id
+), e AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT outside AS kept
+FROM e JOIN f USING (doc_id)
+"""
+
+QUERIES = {"op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules}
+ORACLES: dict[str, str] = {"op7_quality_rules": _OP7_SQL}
