@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality, unigram
+from . import bpe, mixing, quality, unigram
 from .common import read_table
 
 try:
@@ -30,6 +31,49 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+MIX_WEIGHTS = {"domain": {"web": 2, "books": 3, "other": 1}, "lang": {"en": 4, "de": 3, "fr": 2, "es": 2}, "source": {"src0": 3, "src1": 2}}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens, copies: how often every document is taken for a budget of half the tokens, up to two epochs."""
+    decided, _ = mixing.plan(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS, part_percent=50, epochs=2, seed=7)
+    return decided.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), "n_tokens", "copies")
+
+
+def _op9_sql() -> str:
+    def weight(level: str, column: str) -> str:
+        return "CASE " + column + "".join(f" WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS[level].items()) + " ELSE 1 END"
+
+    def level(name: str, parent: str, given: str, node: str, path: str) -> str:
+        over = f"PARTITION BY {parent} ORDER BY capacity::DECIMAL(38, 12) / weight, name"
+        on = f" JOIN {given} USING ({path})" if path else f", {given}"
+        cols = f"{path}, {node}" if path else node
+        return f"""
+{name}_n AS (SELECT {cols}, {node} AS name, capacity, {weight(name, node)} AS weight, given AS g
+  FROM (SELECT {cols}, sum(capacity) AS capacity FROM leaf GROUP BY {cols}){on}),
+{name}_o AS (SELECT *, g - coalesce(sum(capacity) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l,
+  sum(weight) OVER ({over} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w, row_number() OVER ({over}) AS k FROM {name}_n),
+{name}_f AS (SELECT *, capacity * w <= l * weight AS f FROM {name}_o),
+{name} AS (SELECT {cols}, (CASE WHEN f THEN capacity ELSE greatest(first_l * weight // first_w, 0) END)::BIGINT AS given
+  FROM (SELECT *, first_value(l) OVER v AS first_l, first_value(w) OVER v AS first_w FROM {name}_f
+    WINDOW v AS (PARTITION BY {parent} ORDER BY f, k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))"""
+
+    return (
+        r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  len([x FOR x IN string_split_regex(coalesce(text, ''), '[ 	-]+') IF x <> ''])::BIGINT AS n_tokens,
+  md5(concat('7:', doc_id)) AS o FROM documents),
+t AS (SELECT *, CASE WHEN NOT regexp_matches(source, '[0-9]$') THEN 'other' WHEN regexp_matches(source, '[02468]$') THEN 'web' ELSE 'books' END AS domain FROM d),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 2 * sum(n_tokens)::BIGINT AS capacity FROM t GROUP BY ALL),
+root AS (SELECT least(sum(capacity), sum(tokens) * 50 // 100)::BIGINT AS given FROM leaf),"""
+        + ",".join([level("domain", "1", "root", "domain", ""), level("lang", "domain", "domain", "lang", "domain"), level("source", "domain, lang", "lang", "source", "domain, lang")])
+        + """,
+b AS (SELECT domain, lang, source, tokens, given, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS whole FROM leaf JOIN source USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens,
+  (whole + CASE WHEN given - whole * tokens > 0 AND upto <= given - whole * tokens THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM t) JOIN b USING (domain, lang, source)"""
+    )
+
+
 _OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents
@@ -89,5 +133,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM e JOIN f USING (doc_id)
 """
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules}
-ORACLES: dict[str, str] = {"op7_quality_rules": _OP7_SQL}
+QUERIES = {"op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules, "op9_mixing": op9_mixing}
+ORACLES: dict[str, str] = {"op7_quality_rules": _OP7_SQL, "op9_mixing": _op9_sql()}
