@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, unigram
+from . import bpe, lines, mixing, quality, unigram
 from .common import read_table
 
 try:
@@ -31,6 +31,42 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines (that take part), n_removed, kept_sha256 of the text that is left."""
+    left = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+
+
+_OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM documents
+), t AS (
+  SELECT *, length(line) >= 20 AND regexp_matches(line, '[^\x20\x09-\x0D]') AS part FROM l
+), f AS (
+  SELECT line, length(line) AS n, min((doc_id, no)) AS pos FROM t WHERE part GROUP BY line
+), half AS (
+  SELECT line, n AS m, pos, 0 AS side, left(line, n // 2) AS piece FROM f
+  UNION ALL SELECT line, n, pos, 1, right(line, n - n // 2) FROM f
+), probe AS (
+  SELECT line, n AS m, pos, 0 AS side, left(line, n // 2) AS piece FROM f
+  UNION ALL SELECT line, n, pos, 1, right(line, n - n // 2) FROM f
+  UNION ALL SELECT line, n - 1, pos, 0, left(line, (n - 1) // 2) FROM f
+  UNION ALL SELECT line, n - 1, pos, 1, right(line, n - 1 - (n - 1) // 2) FROM f
+), later AS (
+  SELECT DISTINCT greatest(a.pos, b.pos) AS pos
+  FROM half a JOIN probe b ON a.m = b.m AND a.side = b.side AND a.piece = b.piece AND a.line <> b.line WHERE levenshtein(a.line, b.line) <= 1
+), k AS (
+  SELECT pos FROM f WHERE pos NOT IN (SELECT pos FROM later)
+), flagged AS (
+  SELECT t.*, part AND NOT EXISTS (SELECT 1 FROM k WHERE k.pos = (t.doc_id, t.no)) AS bad FROM t
+), lost AS (
+  SELECT doc_id, sum(CASE WHEN bad THEN length(line) ELSE 0 END) AS lost, sum(length(line)) + count(*) - 1 AS whole FROM flagged GROUP BY doc_id
+)
+SELECT doc_id, count(*) FILTER (part) AS n_lines, count(*) FILTER (bad AND lost * 100 <= whole * 50) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT (bad AND lost * 100 <= whole * 50)), '')) AS kept_sha256
+FROM flagged JOIN lost USING (doc_id) GROUP BY doc_id
+"""
+
 MIX_WEIGHTS = {"domain": {"web": 2, "books": 3, "other": 1}, "lang": {"en": 4, "de": 3, "fr": 2, "es": 2}, "source": {"src0": 3, "src1": 2}}
 
 
@@ -60,7 +96,8 @@ def _op9_sql() -> str:
 
     return (
         r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-  len([x FOR x IN string_split_regex(coalesce(text, ''), '[ 	-]+') IF x <> ''])::BIGINT AS n_tokens,
+  len([x FOR x IN string_split_regex(coalesce(text, ''), '[ 	-
+]+') IF x <> ''])::BIGINT AS n_tokens,
   md5(concat('7:', doc_id)) AS o FROM documents),
 t AS (SELECT *, CASE WHEN NOT regexp_matches(source, '[0-9]$') THEN 'other' WHEN regexp_matches(source, '[02468]$') THEN 'web' ELSE 'books' END AS domain FROM d),
 leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 2 * sum(n_tokens)::BIGINT AS capacity FROM t GROUP BY ALL),
@@ -133,5 +170,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM e JOIN f USING (doc_id)
 """
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules, "op9_mixing": op9_mixing}
-ORACLES: dict[str, str] = {"op7_quality_rules": _OP7_SQL, "op9_mixing": _op9_sql()}
+QUERIES = {"op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing}
+ORACLES: dict[str, str] = {"op7_quality_rules": _OP7_SQL, "op8_line_dedup": _OP8_SQL, "op9_mixing": _op9_sql()}
