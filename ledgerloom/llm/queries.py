@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, quality, topk, unigram
+from . import bpe, ctw, lines, mixing, quality, topk, unigram
 from .common import read_table
 
 try:
@@ -16,6 +16,11 @@ except ModuleNotFoundError:
     BPE_FILE, UNIGRAM_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
+    return ctw.score(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, n_unknown, score: pieces of every whole text under the unigram vocabulary."""
     return unigram.count_tokens(read_table(spark, sf_dir, "documents"), UNIGRAM_FILE)
@@ -188,5 +193,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM e JOIN f USING (doc_id)
 """
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing, "op10_top_k": op10_top_k}
+QUERIES = {"op3_lm_score": op3_lm_score, "op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing, "op10_top_k": op10_top_k}
 ORACLES: dict[str, str] = {"op7_quality_rules": _OP7_SQL, "op8_line_dedup": _OP8_SQL, "op9_mixing": _op9_sql(), "op10_top_k": _OP10_SQL}
