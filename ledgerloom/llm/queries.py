@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, lines, mixing, quality, topk, unigram
+from . import bpe, ctw, lines, mixing, near, quality, topk, unigram
 from .common import read_table
 
 try:
@@ -31,6 +31,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), BPE_FILE, ids=False, digests=True)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: two-word shingles, similarity of 0.8 or more."""
+    return near.near_components(read_table(spark, sf_dir, "documents"), near.Near(width=2))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every whole text."""
     return quality.judge(read_table(spark, sf_dir, "documents"))
@@ -193,5 +198,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM e JOIN f USING (doc_id)
 """
 
-QUERIES = {"op3_lm_score": op3_lm_score, "op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op7_quality_rules": op7_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing, "op10_top_k": op10_top_k}
+QUERIES = {"op3_lm_score": op3_lm_score, "op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op6_near_dedup": op6_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing, "op10_top_k": op10_top_k}
 ORACLES: dict[str, str] = {"op7_quality_rules": _OP7_SQL, "op8_line_dedup": _OP8_SQL, "op9_mixing": _op9_sql(), "op10_top_k": _OP10_SQL}
