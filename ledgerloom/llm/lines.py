@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+SMALL_ENDS = 1_000_000  # lines of candidate pairs up to which their hashes (16 bytes each) are broadcast; beyond it the join shuffles
+
 
 @dataclass(frozen=True)
 class LineRules:
@@ -91,7 +93,8 @@ def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     low, high = F.struct("h", "g"), F.struct(F.col("h2").alias("h"), F.col("g2").alias("g"))
     pairs = pairs.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b")).distinct()
     pairs = cut(pairs.select("a.h", "a.g", F.col("b.h").alias("h2"), F.col("b.g").alias("g2")))
-    ends = pairs.select("h", "g").union(pairs.select("h2", "g2")).distinct()
+    ends = cut(pairs.select("h", "g").union(pairs.select("h2", "g2")).distinct())
+    ends = F.broadcast(ends) if ends.count() <= SMALL_ENDS else ends
     text = cut(lines.select("h", "g", "line").join(ends, ["h", "g"], "left_semi").dropDuplicates(["h", "g"]))
     two = pairs.join(text, ["h", "g"]).join(text.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("line2")), ["h2", "g2"])
     return two.where(within("line", "line2", edits)).select("h", "g", "h2", "g2")
