@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, lines, mixing, near, quality, substrings, topk, unigram
+from . import bpe, ctw, lines, mixing, near, quality, substrings, suffixes, topk, unigram
 from .common import read_table
 
 try:
@@ -21,6 +21,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents"), window=35)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: bytes in strings of 100 that also start earlier go."""
+    return suffixes.remove_repeats(read_table(spark, sf_dir, "documents"), window=100)
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
     return ctw.score(read_table(spark, sf_dir, "documents"))
@@ -203,5 +208,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM e JOIN f USING (doc_id)
 """
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_lm_score": op3_lm_score, "op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op6_near_dedup": op6_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing, "op10_top_k": op10_top_k}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_lm_score": op3_lm_score, "op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op6_near_dedup": op6_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing, "op10_top_k": op10_top_k}
 ORACLES: dict[str, str] = {"op7_quality_rules": _OP7_SQL, "op8_line_dedup": _OP8_SQL, "op9_mixing": _op9_sql(), "op10_top_k": _OP10_SQL}
