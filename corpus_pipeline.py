@@ -12,6 +12,8 @@ from ledgerloom.llm import bpe, lines, mixing, near, quality
 from ledgerloom.llm.common import shared_path
 from ledgerloom.llm.queries import BPE_FILE
 
+#: A clean document may be short: here only wordless ones fail for their length.
+LEAST_WORDS = 1
 #: Share of the tokens that goes on, by weight; sources that hold less than their share give it to their siblings.
 MIX_PERCENT = 90
 MIX_WEIGHTS = {"lang": {"en": 6, "de": 2, "fr": 2, "es": 2}}
@@ -19,7 +21,7 @@ MIX_WEIGHTS = {"lang": {"en": 6, "de": 2, "fr": 2, "es": 2}}
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or their language's and source's thresholds go."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, quality.Rules(least_words=LEAST_WORDS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
