@@ -1,10 +1,10 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian pruning, exact verification, components.
 
 Equal shingle sets collapse to their smallest id before anything is paired. Sets that agree on a band of their signatures are
-candidates. In each bucket, members are first compared with one representative; then, by rounds, members of different
-components with a representative drawn at random; at last every pair of a bucket that still lies in different components. Pairs
-inside one component need no test, so a large group of copies costs a comparison per member, and no link between components is
-lost. A candidate's signatures are compared in batches: it goes as soon as the posterior probability that its similarity reaches
+candidates. In each bucket, members are first compared with one representative. What then still lies in different components of
+a bucket is compared in blocks of bounded size, each block by arrays: first the likeliest partners of each member, then every
+pair that is left, in the first bucket that it shares. Pairs inside one component need no test, so a large group of copies costs
+a comparison per member, and no link between components is lost. A candidate's signatures are compared in batches: it goes as soon as the posterior probability that its similarity reaches
 the threshold falls below ``miss``. What survives is verified on the full sets of both texts.
 """
 
@@ -33,7 +33,8 @@ class Near:
     rows: int = 6
     batch: int = 24
     miss: float = 1e-6
-    rounds: int = 4
+    chunk: int = 512  # members of a bucket on either side of a block
+    best: int = 2  # partners of a member in the first pass over the blocks
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[slice, list[np.ndarray]]]:
@@ -177,6 +178,121 @@ def _linked(pairs: DataFrame, body: DataFrame, how: Near) -> DataFrame:
     return two.mapInArrow(run, "a long, b long")
 
 
+def _blocks(rest: DataFrame, how: Near) -> DataFrame:
+    """``rest`` (key, id, comp, top, outside) dealt to blocks: key, p, q, left, id, comp.
+
+    A bucket's members outside of its largest component, and the others, are cut into chunks; a block pairs a chunk of the first
+    with a later one or with one of the others.
+    """
+    size = rest.groupBy("key").agg(F.count_if("outside").alias("_o"), F.count_if(~F.col("outside")).alias("_t"))
+    size = size.select("key", F.ceil(F.col("_o") / how.chunk).cast("int").alias("_no"), F.ceil(F.col("_t") / how.chunk).cast("int").alias("_nt"))
+    rows = rest.join(size, "key")
+    chunk = F.pmod(F.xxhash64(F.lit(5), "id"), F.when(F.col("outside"), F.col("_no")).otherwise(F.col("_nt"))).cast("int")
+    rows = rows.withColumn("_c", chunk)
+    as_left = F.when(F.col("outside"), F.expr("transform(sequence(_c, _no + _nt - 1), q -> struct(_c AS p, q AS q, true AS left))")).otherwise(F.expr("slice(array(struct(0 AS p, 0 AS q, true AS left)), 1, 0)"))
+    as_right = F.when(F.col("outside"), F.expr("transform(sequence(0, _c), p -> struct(p AS p, _c AS q, false AS left))")).otherwise(F.expr("transform(sequence(0, _no - 1), p -> struct(p AS p, _no + _c AS q, false AS left))"))
+    return rows.withColumn("_b", F.explode(F.concat(as_left, as_right))).select("key", "_b.p", "_b.q", "_b.left", "id", "comp")
+
+
+def _block_pairs(rest: DataFrame, sigs: DataFrame, how: Near, every: bool) -> DataFrame:
+    """a, b, family of pairs in different components that the sequential test leaves; ``every``: all, else each member's likeliest partners."""
+    total, bounds = how.bands * how.rows, least_matches(how)
+    family = rest.select("key", F.col("top").alias("family")).distinct()
+    rows = _blocks(rest, how).join(sigs, "id").join(family, "key").select("key", "p", "q", "left", "id", "comp", "family", "sig", "short")
+    rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def solve(ids: np.ndarray, comp: np.ndarray, left: np.ndarray, sig: np.ndarray, short: np.ndarray, band_key: int) -> tuple[np.ndarray, np.ndarray]:
+        l, r = np.flatnonzero(left), np.flatnonzero(~left)
+        matches = np.zeros((len(l), len(r)), np.int16)
+        n, m = bounds[0]
+        for k in range(n):
+            matches += sig[l, k][:, None] == sig[r, k][None, :]
+        i, j = np.nonzero((matches >= m) & (comp[l][:, None] != comp[r][None, :]))
+        found, done = matches[i, j].astype(np.int64), n
+        i, j = l[i], r[j]
+        for n, m in bounds[1:]:
+            found += (sig[i, done:n] == sig[j, done:n]).sum(1)
+            ok = found >= m
+            i, j, found, done = i[ok], j[ok], found[ok], n
+        if every:
+            # A pair stands in the first bucket that it shares; an earlier band that agrees has its own block.
+            same = short[i] == short[j]
+            here = short[i] == np.uint32(band_key & 0xFFFFFFFF)
+            first = same.argmax(1) == (same & here).argmax(1)
+            return i[first], j[first]
+        order = np.lexsort((j, -found, i))
+        i, j = i[order], j[order]
+        start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+        return i[rank < how.best], j[rank < how.best]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+
+        def out(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
+            key, p, q, ids, comp, fam = (np.asarray(table.column(c), np.int64) for c in ("key", "p", "q", "id", "comp", "family"))
+            left = table.column("left").to_numpy().astype(bool)
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, total)
+            short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint32).reshape(-1, how.bands)
+            cut_at = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+            edges = [0, *cut_at.tolist(), *([len(key)] if last else [])]
+            a, b, f = [], [], []
+            for x, y in zip(edges[:-1], edges[1:]):
+                i, j = solve(ids[x:y], comp[x:y], left[x:y], sig[x:y], short[x:y], int(key[x]))
+                if len(i):
+                    u, v = ids[x:y][i], ids[x:y][j]
+                    a.append(np.maximum(u, v))
+                    b.append(np.minimum(u, v))
+                    f.append(np.full(len(u), fam[x]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b, f)], names=["a", "b", "family"])
+            if not last:
+                yield table.slice(edges[-1])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            kept = table if kept is None else pa.concat_tables([kept, table])
+            for got in out(kept, False):
+                if isinstance(got, pa.Table):
+                    kept = got
+                else:
+                    yield got
+        if kept is not None and kept.num_rows:
+            yield from out(kept, True)
+
+    found = rows.mapInArrow(run, "a long, b long, family long")
+    return found.groupBy("a", "b").agg(F.min("family").alias("family"))
+
+
+def _linked_blocks(pairs: DataFrame, body: DataFrame, how: Near) -> DataFrame:
+    """``pairs`` (a, b, family) whose full sets are similar enough. Texts of a family's chunk travel once per block, not once per pair."""
+    def chunk(c: str):
+        return F.pmod(F.xxhash64(F.lit(5), c), F.lit(16))
+
+    keyed = cut(pairs.select(F.xxhash64("family", chunk("a"), chunk("b")).alias("h"), "a", "b"))
+    ends = keyed.select("h", F.col("a").alias("id")).union(keyed.select("h", F.col("b").alias("id"))).distinct()
+    n = max(1, ends.count() // 4096 + 1)  # texts of a block
+    block = F.pmod(F.col("h"), F.lit(n))
+    ends = ends.select(block.alias("block"), "id").distinct().join(body, "id").select("block", "id", "text")
+    keyed = keyed.select(block.alias("block"), "a", "b")
+
+    def verify(asked: pa.Table, there: pa.Table) -> pa.Table:
+        known: dict[int, np.ndarray] = {}
+        ids = there.column("id").to_pylist()
+        for rows, sets in shingle_sets(there.column("text"), how.width):
+            known.update(zip(ids[rows], sets))
+        keep = []
+        for k, (a, b) in enumerate(zip(asked.column("a").to_pylist(), asked.column("b").to_pylist())):
+            x, y = known[a], known[b]
+            if 100 * min(len(x), len(y)) >= how.percent * max(len(x), len(y)):
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                if same and 100 * same >= how.percent * (len(x) + len(y) - same):
+                    keep.append(k)
+        return asked.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return keyed.groupBy("block").cogroup(ends.groupBy("block")).applyInArrow(verify, "a long, b long")
+
+
 def near_components(docs: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, n_shingles, component_id (smallest id reachable by links, itself included), kept (it is that id).
 
@@ -194,38 +310,26 @@ def near_components(docs: DataFrame, how: Near = Near(), id_col: str = "doc_id",
     ids = cut(buckets.select("id").distinct())
     few = ids.count() <= SMALL_IDS
     some = (lambda t: F.broadcast(t)) if few else (lambda t: t)
-    sigs = _written(first.select("id", "sig").join(some(ids), "id", "left_semi"), "near-sigs")
+    short = F.expr("unhex(array_join(transform(bands, x -> concat(substr(lpad(hex(x), 16, '0'), 15, 2), substr(lpad(hex(x), 16, '0'), 13, 2), substr(lpad(hex(x), 16, '0'), 11, 2), substr(lpad(hex(x), 16, '0'), 9, 2))), ''))")
+    # The low four bytes of each band's key, lowest first.
+    sigs = _written(first.select("id", "sig", short.alias("short")).join(some(ids), "id", "left_semi"), "near-sigs")
     body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     body = _written(body.join(some(ids), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
     tested = cut(buckets.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
     links = cut(_linked(_likely(tested, sigs, how), body, how))
     label = components(links)
-    n_ids = ids.count()
-    for number in range(how.rounds + 1):
+    for every in (False, True):
         named = buckets.join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
         parts_of = named.groupBy("key", "comp").agg(F.count("*").alias("m"))
-        open_ = cut(parts_of.groupBy("key").agg(F.sum("m").alias("size"), F.sum(F.col("m").cast("double") * F.col("m")).alias("sq"), F.max(F.struct("m", "comp")).alias("top")).where("sq < CAST(size AS DOUBLE) * size"))
-        total = open_.agg(F.sum((F.col("size").cast("double") * F.col("size") - F.col("sq")) / 2)).first()[0] or 0.0
-        if not total:
+        open_ = parts_of.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("m", "comp")).alias("top")).where("k > 1")
+        rest = _written(named.join(open_.select("key", F.col("top.comp").alias("top")), "key").withColumn("outside", F.col("comp") != F.col("top")), "near-open")
+        if rest.isEmpty():
             break
-        rest = cut(named.join(open_.select("key", F.col("top.comp").alias("top")), "key"))
-        last = total <= 4 * n_ids or number == how.rounds
-        if last:
-            # Every pair of a bucket whose ends lie in different components; one end at least lies outside its largest component.
-            out = rest.where("comp != top").select("key", F.col("id").alias("a"), F.col("comp").alias("_ca"))
-            into = rest.select("key", F.col("id").alias("b"), F.col("comp").alias("_cb"))
-            pairs = out.join(into, "key").where("_ca != _cb")
-        else:
-            # One member of the largest component, another one for each bucket and round, for all outside of it.
-            drawn = rest.where("comp = top").groupBy("key").agg(F.min_by("id", F.xxhash64(F.lit(number), "key", "id")).alias("b"))
-            pairs = rest.where("comp != top").select("key", F.col("id").alias("a")).join(drawn, "key")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = _block_pairs(rest, sigs, how, every)
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = cut(_linked(_likely(pairs, sigs, how), body, how))
-        links, tested = links.union(found), tested.union(pairs)
-        label = components(links) if found.limit(1).count() else label
-        if last:
-            break
+        found = cut(_linked_blocks(pairs, body, how))
+        links, tested = links.union(found), tested.union(pairs.select("a", "b"))
+        label = label if found.isEmpty() else components(links)
     named = prints.select("id", "n", "s", "t").join(sets.select("s", "t", "rep"), ["s", "t"], "left")
     named = named.join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     own = F.when(F.col("n") > 0, F.coalesce("comp", "rep", "id")).otherwise(F.col("id"))
