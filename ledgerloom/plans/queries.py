@@ -321,3 +321,289 @@ def p20(spark, d):
 )
 def a08(spark, d):
     return journal.risk(journal.audit(*_audit_inputs(spark, d)))
+
+
+# --- lookups ---------------------------------------------------------------------------------------------------------------
+
+
+@query("j12_counterparts", f"WITH {t.ORDER_LINES_SQL} SELECT b.entry_id, b.line_id AS bank_line_id, b.account AS bank_account, o.line_id AS other_line_id, o.account AS other_account, o.debit, o.credit FROM lines b JOIN lines o ON b.entry_id = o.entry_id AND b.account = 100 AND o.account <> 100 AND (o.debit <> 0 OR o.credit <> 0)")
+def j12(spark, d):
+    return lookup.counterparts(t.order_lines(spark, d), "account = 100", "entry_id")
+
+
+@query("j13_new_references", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def j13(spark, d):
+    existing = t.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return lookup.new_references(t.table(spark, d, "orders").select("o_orderkey", "o_custkey"), existing, "o_orderkey")
+
+
+@query("j14_catalog_lookup", "SELECT o_orderkey, o_custkey, c_name, c_custkey IS NOT NULL AS resolved FROM orders LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey")
+def j14(spark, d):
+    catalog = t.table(spark, d, "customer").where("c_custkey % 3 != 0").select("c_custkey", "c_name")
+    return lookup.resolve_ids(t.table(spark, d, "orders").select("o_orderkey", "o_custkey"), catalog, "o_custkey", "c_custkey").drop("c_custkey")
+
+
+_LABELS = """catalog AS (SELECT n_nationkey AS id, 'N' || n_nationkey AS code, n_name AS name FROM nation UNION ALL SELECT 100 + r_regionkey, 'N' || r_regionkey, r_name FROM region),
+labels AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'n' || c_nationkey WHEN 1 THEN lower(n_name) ELSE 'none' END AS label FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query(
+    "j15_label_resolve",
+    f"""WITH {_LABELS}, c AS (SELECT lower(trim(code)) AS k, min(id) AS by_code FROM catalog GROUP BY 1), n AS (SELECT lower(trim(name)) AS k, min(id) AS by_name FROM catalog GROUP BY 1)
+    SELECT c_custkey, label, coalesce(by_code, by_name)::BIGINT AS id FROM labels LEFT JOIN c ON c.k = lower(trim(label)) LEFT JOIN n ON n.k = lower(trim(label))""",
+)
+def j15(spark, d):
+    n = t.table(spark, d, "nation")
+    catalog = n.select(F.col("n_nationkey").cast("long").alias("id"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("name"))
+    r = t.table(spark, d, "region")
+    catalog = catalog.unionByName(r.select((F.col("r_regionkey") + 100).cast("long").alias("id"), F.concat(F.lit("N"), F.col("r_regionkey").cast("string")).alias("code"), F.col("r_name").alias("name")))
+    rows = t.table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    label = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).when(F.col("c_custkey") % 3 == 1, F.lower("n_name")).otherwise("none")
+    return lookup.resolve_labels(rows.select("c_custkey", label.alias("label")), catalog)
+
+
+@query("j16_presence_split", "SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) AS has FROM orders")
+def j16(spark, d):
+    present = t.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    yes, no = lookup.split_by_presence(t.table(spark, d, "orders").select("o_orderkey"), present, "o_orderkey")
+    return yes.withColumn("has", F.lit(True)).unionByName(no.withColumn("has", F.lit(False)))
+
+
+@query("j17_moves_with_lines", "SELECT o_orderkey AS move_id, o_orderstatus, l_linenumber, l_quantity FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey")
+def j17(spark, d):
+    moves = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("move_id"), "o_orderstatus")
+    return lookup.moves_with_lines(moves, t.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("move_id"), "l_linenumber", "l_quantity"))
+
+
+@query(
+    "j21_find_references",
+    """WITH m AS (SELECT c_custkey AS id, c_name AS name, 'ref-' || c_custkey AS ref FROM customer), r(ref) AS (VALUES ('ref-7'), ('ref-12'), ('REF-9'), ('nothing')),
+    e AS (SELECT DISTINCT r.ref, id FROM r JOIN m ON r.ref = m.ref OR r.ref = m.name)
+    SELECT ref, id, 'exact' AS how FROM e UNION ALL SELECT r.ref, id, 'contains' FROM r JOIN m ON contains(lower(m.name || chr(10) || m.ref), lower(r.ref)) WHERE r.ref NOT IN (SELECT ref FROM e)""",
+)
+def j21(spark, d):
+    moves = t.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.concat(F.lit("ref-"), F.col("c_custkey").cast("string")).alias("ref"))
+    asked = spark.createDataFrame([("ref-7",), ("ref-12",), ("REF-9",), ("nothing",)], "ref string")
+    return lookup.find_references(asked, moves, ["name", "ref"])
+
+
+@query("j22_amount_membership", f"WITH {t.LEDGER_SQL} SELECT l_orderkey, l_linenumber, EXISTS (SELECT 1 FROM ledger WHERE abs(amount) = round(l_extendedprice / 500)::BIGINT * 500) AS matched FROM lineitem")
+def j22(spark, d):
+    amounts = t.ledger(spark, d).select(F.abs("amount").cast("long").alias("v")).distinct().withColumn("_in", F.lit(True))
+    rows = t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.round(F.col("l_extendedprice") / 500).cast("long") * 500).alias("v"))
+    return rows.join(amounts, "v", "left").select("l_orderkey", "l_linenumber", F.coalesce("_in", F.lit(False)).alias("matched"))
+
+
+@query(
+    "j25_ownership_errors",
+    """WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey % 2 END AS company_id, c_acctbal > 0 AS active FROM customer WHERE c_custkey % 5 <> 0), r AS (SELECT DISTINCT o_custkey AS id FROM orders),
+    j AS (SELECT r.id, CASE WHEN c.id IS NULL THEN 'missing' WHEN company_id <> 1 THEN 'wrong_company' WHEN NOT active THEN 'deprecated' END AS code FROM r LEFT JOIN c USING (id)) SELECT id, code FROM j WHERE code IS NOT NULL""",
+)
+def j25(spark, d):
+    catalog = t.table(spark, d, "customer").where("c_custkey % 5 != 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey") % 2).alias("company_id"), (F.col("c_acctbal") > 0).alias("active"))
+    return lookup.ownership_errors(t.table(spark, d, "orders").select(F.col("o_custkey").alias("id")), catalog, 1)
+
+
+@query(
+    "j26_read_back",
+    """WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_quantity AS q, l_tax AS x FROM lineitem), b AS (SELECT k, CASE WHEN k % 37 = 0 THEN q + 1 ELSE q END AS q, CASE WHEN k % 41 = 0 THEN NULL ELSE x END AS x FROM a WHERE k % 43 <> 0)
+    SELECT a.k, 'q' AS "column" FROM a JOIN b USING (k) WHERE a.q IS DISTINCT FROM b.q UNION ALL SELECT a.k, 'x' FROM a JOIN b USING (k) WHERE a.x IS DISTINCT FROM b.x UNION ALL SELECT k, 'row' FROM a WHERE k % 43 = 0""",
+)
+def j26(spark, d):
+    a = t.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("x"))
+    b = a.where("k % 43 != 0").select("k", F.when(F.col("k") % 37 == 0, F.col("q") + 1).otherwise(F.col("q")).alias("q"), F.when(F.col("k") % 41 != 0, F.col("x")).alias("x"))
+    return lookup.differences(a, b, "k", ["q", "x"])
+
+
+@query(
+    "j27_journal_choice",
+    """SELECT company_id, id, type FROM (SELECT s_nationkey AS company_id, s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'bank' WHEN 1 THEN 'general' ELSE 'sale' END AS type FROM supplier)
+    WHERE type IN ('bank', 'general') QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY type <> 'bank', id) = 1""",
+)
+def j27(spark, d):
+    kind = F.when(F.col("s_suppkey") % 4 == 0, "bank").when(F.col("s_suppkey") % 4 == 1, "general").otherwise("sale")
+    rows = t.table(spark, d, "supplier").select(F.col("s_nationkey").alias("company_id"), F.col("s_suppkey").alias("id"), kind.alias("type"))
+    return lookup.choose_journal(rows, "bank").select("company_id", "id", "type")
+
+
+@query(
+    "j28_unique_or_error",
+    """WITH c AS (SELECT p_brand || p_size AS code, count(*) AS n, min(p_partkey) AS id FROM part GROUP BY 1), r AS (SELECT DISTINCT p_brand || (p_size + 1) AS code FROM part)
+    SELECT r.code, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' END AS error FROM r LEFT JOIN c USING (code)""",
+)
+def j28(spark, d):
+    p = t.table(spark, d, "part")
+    asked = p.select(F.concat("p_brand", (F.col("p_size") + 1).cast("string")).alias("code")).distinct()
+    return lookup.unique_or_error(asked, p.select(F.concat("p_brand", F.col("p_size").cast("string")).alias("key"), F.col("p_partkey").alias("id")), "code", "key")
+
+
+@query("w05_largest_line", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(l_extendedprice) DESC, l_linenumber) = 1")
+def w05(spark, d):
+    return lookup.first_by(t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_orderkey"], F.desc(F.abs("l_extendedprice")), "l_linenumber")
+
+
+@query("w06_round_robin", "SELECT l_orderkey, l_linenumber, rank FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rank FROM lineitem) WHERE rank <= 3 ORDER BY rank, l_orderkey, l_linenumber LIMIT 100")
+def w06(spark, d):
+    return lookup.round_robin(t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
+
+
+@query(
+    "w08_confident_candidates",
+    """SELECT l_orderkey, l_linenumber, s, round(s - coalesce(nxt, 0), 6) AS lead, s >= 0.85 AND round(s - coalesce(nxt, 0), 6) >= 0.15 AS accepted
+    FROM (SELECT l_orderkey, l_linenumber, s, row_number() OVER o AS n, lead(s) OVER o AS nxt FROM (SELECT l_orderkey, l_linenumber, round(l_quantity / 50, 6) AS s FROM lineitem) WINDOW o AS (PARTITION BY l_orderkey ORDER BY s DESC, l_linenumber)) WHERE n = 1""",
+)
+def w08(spark, d):
+    rows = t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") / 50, 6).alias("s"))
+    return lookup.confident(rows, "l_orderkey", "s", tie="l_linenumber")
+
+
+@query("u01_first_and_last_wins", "SELECT user_id, min_by(event_id, event_id) AS first_event, max_by(event_id, event_id) AS last_event FROM events GROUP BY user_id")
+def u01(spark, d):
+    e = t.table(spark, d, "events").select("user_id", "event_id")
+    a = lookup.first_by(e, ["user_id"], "event_id").withColumnRenamed("event_id", "first_event")
+    return a.join(lookup.first_by(e, ["user_id"], F.desc("event_id")).withColumnRenamed("event_id", "last_event"), "user_id")
+
+
+@query("u04_split_overlap", "SELECT DISTINCT md5(text) AS sha FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT md5(text) FROM documents WHERE doc_id % 2 = 1")
+def u04(spark, d):
+    docs = t.table(spark, d, "documents").select("doc_id", F.md5("text").alias("sha"))
+    return docs.where("doc_id % 2 = 0").select("sha").intersect(docs.where("doc_id % 2 = 1").select("sha"))
+
+
+@query("u05_unseen_labels", "SELECT DISTINCT l_suppkey AS label FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 3")
+def u05(spark, d):
+    rows = t.table(spark, d, "lineitem")
+    return rows.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("label")).subtract(rows.where("l_returnflag = 'A' AND l_quantity < 3").select("l_suppkey"))
+
+
+@query("k02_upsert", "SELECT event_type, user_id, event_id, value FROM (SELECT *, event_id % 3 = 0 AS new FROM events) QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY new DESC, event_id DESC) = 1")
+def k02(spark, d):
+    e = t.table(spark, d, "events").select("event_type", "user_id", "event_id", "value")
+    return lookup.upsert(e.where("event_id % 3 != 0"), e.where("event_id % 3 = 0"), ["event_type", "user_id"], "event_id")
+
+
+@query(
+    "k03_sync_counts",
+    """WITH a AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 10 <> 0), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'x' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 9 <> 0)
+    SELECT CASE WHEN a.k IS NULL THEN 'created' WHEN b.k IS NULL THEN 'absent' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'unchanged' ELSE 'updated' END AS status, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""",
+)
+def k03(spark, d):
+    c = t.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
+    incoming = c.where("k % 9 != 0").withColumn("v", F.when(F.col("k") % 7 == 0, "x").otherwise(F.col("v")))
+    return lookup.sync_counts(c.where("k % 10 != 0"), incoming, "k", "v")
+
+
+@query("s13_domain_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE (o_orderpriority ILIKE '%urgent%' OR (o_totalprice >= 100000 AND NOT o_orderstatus IN ('F', 'P'))) AND o_orderkey > 100 ORDER BY o_orderkey LIMIT 500")
+def s13(spark, d):
+    terms = ["|", ("o_orderpriority", "ilike", "urgent"), "&", ("o_totalprice", ">=", 100000), "!", ("o_orderstatus", "in", ["F", "P"]), ("o_orderkey", ">", 100)]
+    return t.table(spark, d, "orders").where(lookup.domain(terms)).orderBy("o_orderkey").limit(500).select("o_orderkey", "o_totalprice")
+
+
+@query("p32_tenant_scan", "SELECT event_id, user_id FROM events WHERE user_id % 5 = 3")
+def p32(spark, d):
+    return lookup.for_tenant(t.table(spark, d, "events").withColumn("organization_id", F.col("user_id") % 5), 3).select("event_id", "user_id")
+
+
+# --- retrieval and votes ---------------------------------------------------------------------------------------------------
+
+_COS = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+hits AS (SELECT q.vec_id AS query_id, h.vec_id AS row_id, h.label, round(greatest(list_cosine_similarity(q.e, h.e), 0), 4) AS score FROM v q JOIN v h ON q.vec_id < 20 AND h.vec_id <> q.vec_id),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM hits WHERE score >= 0.05 QUALIFY rank <= 12)"""
+
+
+def _found(spark, d):
+    e = t.table(spark, d, "embeddings")
+    asked = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = retrieval.nearest(asked, e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector")), 12, 0.05)
+    return found.join(e.select(F.col("vec_id").alias("row_id"), "label"), "row_id")
+
+
+@query("t01_vector_top_k", f"WITH {_COS} SELECT query_id, row_id, label, score, rank FROM top")
+def t01(spark, d):
+    return _found(spark, d).select("query_id", "row_id", "label", "score", "rank")
+
+
+@query(
+    "a09_weighted_vote",
+    f"""WITH {_COS}, l AS (SELECT query_id, score, unnest(list_distinct([label, label % 3])) AS label, len(list_distinct([label, label % 3])) AS n FROM top), s AS (SELECT query_id, sum(score) AS total FROM top GROUP BY 1)
+    SELECT query_id, label, round(least(1.0, sum(score / n) / max(total)), 6) AS vote FROM l JOIN s USING (query_id) WHERE total > 0 GROUP BY ALL""",
+)
+def a09(spark, d):
+    return retrieval.weighted_vote(_found(spark, d).withColumn("labels", F.array(F.col("label"), F.col("label") % 3)))
+
+
+@query("a10_knn_vote", f"WITH {_COS}, s AS (SELECT query_id, label, sum(greatest(score, 1e-6)) AS s FROM top GROUP BY ALL) SELECT query_id, label, round(s / sum(s) OVER (PARTITION BY query_id), 6) AS share FROM s")
+def a10(spark, d):
+    return retrieval.knn_vote(_found(spark, d))
+
+
+@query(
+    "f28_hash_embedding",
+    r"""WITH w AS (SELECT o_orderkey AS k, sha256(unnest(regexp_extract_all(lower(o_orderpriority || ' ' || o_orderstatus), '([a-z0-9_]+)', 1))) AS h FROM orders),
+    s AS (SELECT k, ('0x' || left(h, 8))::BIGINT % 1024 AS dim, sum(CASE WHEN ('0x' || substr(h, 9, 2))::INT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS w FROM w GROUP BY ALL)
+    SELECT k, dim, round(w / sqrt(sum(w * w) OVER (PARTITION BY k)), 9) AS weight FROM s WHERE w <> 0""",
+)
+def f28(spark, d):
+    rows = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("text"))
+    return retrieval.hash_embedding(rows, "k", "text")
+
+
+@query(
+    "a22_classification_metrics",
+    """WITH r AS (SELECT quality AS t, CASE WHEN n_chars > 300 THEN 1 ELSE 0 END AS g FROM labels JOIN documents USING (doc_id)), c AS (SELECT x AS label, (SELECT count(*) FROM r WHERE t = x) AS s, (SELECT count(*) FROM r WHERE g = x) AS p, (SELECT count(*) FROM r WHERE t = x AND g = x) AS tp FROM (SELECT DISTINCT t AS x FROM r UNION SELECT DISTINCT g FROM r))
+    SELECT sum(s)::BIGINT AS n, round(sum(tp) / sum(s), 6) AS accuracy, round(avg(CASE WHEN s > 0 THEN tp / s END), 6) AS balanced_accuracy, round(avg(2 * tp / (s + p)), 6) AS macro_f1, round(sum(2 * tp / (s + p) * s) / sum(s), 6) AS weighted_f1 FROM c""",
+)
+def a22(spark, d):
+    rows = t.table(spark, d, "labels").join(t.table(spark, d, "documents"), "doc_id").select("quality", F.when(F.col("n_chars") > 300, 1).otherwise(0).alias("g"))
+    return retrieval.classification_metrics(rows, "quality", "g")
+
+
+# --- streams in their batch forms --------------------------------------------------------------------------------------------
+
+
+@query("r02_late_events", "SELECT event_id, epoch(ts + to_seconds(CAST(event_id % 200 - 40 AS INTEGER))) - epoch(ts) > 120 OR epoch(ts + to_seconds(CAST(event_id % 200 - 40 AS INTEGER))) - epoch(ts) < -30 AS dropped FROM events")
+def r02(spark, d):
+    e = t.table(spark, d, "events").withColumn("now", F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, CAST(event_id % 200 - 40 AS INT))"))
+    return e.select("event_id", limits.too_old_or_early(F.col("ts"), F.col("now")).alias("dropped"))
+
+
+@query("r05_expired_jobs", "SELECT event_id, event_id % 600 > 300 AS expired FROM events")
+def r05(spark, d):
+    e = t.table(spark, d, "events").withColumn("now", F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, CAST(event_id % 600 AS INT))"))
+    return e.select("event_id", limits.expired(F.col("ts"), F.col("now")).alias("expired"))
+
+
+@query("r03_rate_limit")
+def r03(spark, d):
+    return limits.rate_limit(t.table(spark, d, "events"), "user_id", "ts", "event_id", most=2, seconds=86_400)
+
+
+@query(
+    "r08_lockout",
+    """WITH e AS (SELECT event_id, user_id, ts, event_type = 'error' AS f, event_type = 'signup' AS s FROM events WHERE event_type IN ('error', 'signup')),
+    g AS (SELECT *, CASE WHEN s OR lag(ts) OVER w IS NULL OR epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER w)) > 604800 OR lag(s) OVER w THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g)
+    SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS failures, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) >= 3 AS locked FROM r WHERE f""",
+)
+def r08(spark, d):
+    e = t.table(spark, d, "events")
+    return limits.lockouts(e, F.col("event_type") == "error", F.col("event_type") == "signup", "user_id", "ts", "event_id", most=3, seconds=604_800)
+
+
+@query("r_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def r_windows(spark, d):
+    return limits.windowed_counts(t.table(spark, d, "events"), "ts", ["event_type"], "1 hour")
+
+
+@query("w03_chain_append")
+def w03(spark, d):
+    e = t.table(spark, d, "events").withColumn("organization_id", F.col("user_id"))
+    return chain.append(e, "organization_id", "event_id", ["event_type", "value", "props"])
+
+
+@query("w04_chain_verify", "SELECT user_id AS organization_id, count(*) AS n, NOT bool_or(event_id % 997 = 0) AS ok, min(k) FILTER (event_id % 997 = 0) AS failed_at, CASE WHEN bool_or(event_id % 997 = 0) THEN 'event_hash' END AS code FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) GROUP BY user_id")
+def w04(spark, d):
+    e = t.table(spark, d, "events").withColumn("organization_id", F.col("user_id"))
+    made = chain.append(e, "organization_id", "event_id", ["event_type", "value", "props"])
+    spoiled = made.withColumn("event_type", F.when(F.col("event_id") % 997 == 0, "changed").otherwise(F.col("event_type")))
+    return chain.verify(spoiled, "organization_id", ["event_type", "value", "props"])
