@@ -74,22 +74,40 @@ def within(a: str, b: str, edits: int) -> Column:
     return F.expr(whole.replace("RUN", f"transform(array(named_struct('x', split({a}, ''), 'y', split({b}, ''))), p -> {run.replace('_x', 'p.x').replace('_y', 'p.y')})[0]"))
 
 
+BAG = "eanitros"  # letters whose counts, modulo 64, are compared before two lines are
+
+
+def bag(line: str) -> Column:
+    """The counts of eight letters in one long, six bits each."""
+    parts = [f"shiftleft(CAST((length({line}) - length(replace({line}, '{c}', ''))) % 64 AS BIGINT), {6 * k})" for k, c in enumerate(BAG)]
+    return F.expr(" | ".join(parts))
+
+
+def bags_within(a: str, b: str, edits: int) -> Column:
+    """Whether two bags may belong to lines within ``edits``: an edit changes two counts by one at most."""
+    out = F.lit(0)
+    for k in range(len(BAG)):
+        x, y = (F.shiftright(F.col(c), 6 * k).bitwiseAND(63) for c in (a, b))
+        out = out + F.least(F.pmod(x - y, F.lit(64)), F.pmod(y - x, F.lit(64)))
+    return out <= 2 * edits
+
+
 def lines_of(docs: DataFrame, least_chars: int, id_col: str, text_col: str) -> DataFrame:
     """id, line number (from 0), line, its length and 128 bits of hash, for lines with a word and enough code points."""
     line = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("no", "line"))
     line = line.withColumn("len", F.length("line")).where(f"len >= {max(1, least_chars)}").where(F.expr(r"btrim(line, ' \t\n\u000B\u000C\r') != ''"))
-    return line.select("id", "no", "line", "len", F.xxhash64(F.lit(1), "line").alias("h"), F.xxhash64(F.lit(2), "line").alias("g"))
+    return line.select("id", "no", "line", "len", F.xxhash64(F.lit(1), "line").alias("h"), F.xxhash64(F.lit(2), "line").alias("g"), bag("line").alias("bag"))
 
 
 def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     """Pairs (h, g, h2, g2) of different lines within ``edits``, from ``lines_of`` rows; each pair once, smaller hashes first."""
-    each = lines.select("h", "g", F.explode(keys(edits)).alias("_k")).select("h", "g", "_k.key", "_k.role").where("key IS NOT NULL")
+    each = lines.select("h", "g", "bag", F.explode(keys(edits)).alias("_k")).select("h", "g", "bag", "_k.key", "_k.role").where("key IS NOT NULL")
     # A key under which one line alone stands makes no pair. Equal lines meet in the tasks that read them.
     met = each.groupBy("key").agg(F.min("h").alias("_a"), F.max("h").alias("_b"), F.min("role").alias("_r")).where("_a != _b AND _r = 0").select("key")
     some = cut(each.join(met, "key", "left_semi").distinct())
-    left = some.where("role = 0").select("key", "h", "g")
-    right = some.select("key", F.col("h").alias("h2"), F.col("g").alias("g2"))
-    pairs = left.join(right, "key").where("h != h2 OR g != g2")
+    left = some.where("role = 0").select("key", "h", "g", "bag")
+    right = some.select("key", F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("bag").alias("bag2"))
+    pairs = left.join(right, "key").where("h != h2 OR g != g2").where(bags_within("bag", "bag2", edits))
     low, high = F.struct("h", "g"), F.struct(F.col("h2").alias("h"), F.col("g2").alias("g"))
     pairs = pairs.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b")).distinct()
     pairs = cut(pairs.select("a.h", "a.g", F.col("b.h").alias("h2"), F.col("b.g").alias("g2")))
