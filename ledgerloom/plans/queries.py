@@ -607,3 +607,189 @@ def w04(spark, d):
     made = chain.append(e, "organization_id", "event_id", ["event_type", "value", "props"])
     spoiled = made.withColumn("event_type", F.when(F.col("event_id") % 997 == 0, "changed").otherwise(F.col("event_type")))
     return chain.verify(spoiled, "organization_id", ["event_type", "value", "props"])
+
+
+# --- texts, amounts and dates ------------------------------------------------------------------------------------------------
+
+from ..functions import documents as documents_  # noqa: E402
+from ..functions import names  # noqa: E402
+from ..sources import statements  # noqa: E402
+
+
+@query(
+    "f02_parse_number",
+    r"""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '(' || CAST(o_totalprice AS DECIMAL(20, 2)) || ')' WHEN 1 THEN 'SAR ' || CAST(o_totalprice AS DECIMAL(20, 2)) WHEN 2 THEN '-' || CAST(o_totalprice AS DECIMAL(20, 2)) WHEN 3 THEN '.' ELSE 'none' END AS t FROM orders)
+    SELECT o_orderkey, CASE WHEN t = '.' THEN 0 WHEN regexp_replace(t, '[^0-9.-]', '', 'g') IN ('', '-', '.') THEN NULL WHEN t LIKE '(%' THEN -CAST(regexp_replace(t, '[^0-9.-]', '', 'g') AS DECIMAL(20, 2)) ELSE CAST(regexp_replace(t, '[^0-9.-]', '', 'g') AS DECIMAL(20, 2)) END::DECIMAL(20, 2) AS amount FROM s""",
+)
+def f02(spark, d):
+    v = F.col("o_totalprice").cast("decimal(20,2)").cast("string")
+    k = F.col("o_orderkey") % 5
+    text_ = F.when(k == 0, F.concat(F.lit("("), v, F.lit(")"))).when(k == 1, F.concat(F.lit("SAR "), v)).when(k == 2, F.concat(F.lit("-"), v)).when(k == 3, ".").otherwise("none")
+    return t.table(spark, d, "orders").select("o_orderkey", money.parse_number(text_).alias("amount"))
+
+
+@query(
+    "f04_normalize_date",
+    """WITH s AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
+    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN 'n/a' WHEN 1 THEN CASE WHEN day(d) <= 12 THEN strftime(d, '%Y-%m-%d') ELSE strftime(d, '%Y-%m-%d') END ELSE strftime(d, '%Y-%m-%d') END AS date FROM s""",
+)
+def f04(spark, d):
+    day = F.col("o_orderdate").cast("date")
+    k = F.col("o_orderkey") % 4
+    text_ = F.when(k == 0, F.date_format(day, "yyyy/MM/dd")).when(k == 1, F.date_format(day, "d-M-yyyy")).when(k == 2, F.date_format(day, "yyyyMMdd")).otherwise("n/a")
+    return t.table(spark, d, "orders").select("o_orderkey", text.normalize_date(text_).alias("date"))
+
+
+@query("f14_amount_bucket", "SELECT o_orderkey, CASE WHEN v = 0 THEN 'zero' WHEN v < 100 THEN 'lt_100' WHEN v < 1000 THEN '100_999' WHEN v < 10000 THEN '1k_9k' WHEN v < 100000 THEN '10k_99k' WHEN v < 1000000 THEN '100k_999k' ELSE 'gte_1m' END AS bucket FROM (SELECT o_orderkey, abs(o_totalprice) * (o_orderkey % 9) AS v FROM orders)")
+def f14(spark, d):
+    return t.table(spark, d, "orders").select("o_orderkey", scores.amount_bucket(F.abs("o_totalprice") * (F.col("o_orderkey") % 9)).alias("bucket"))
+
+
+@query(
+    "f13_amount_similarity",
+    """WITH p AS (SELECT l_orderkey, l_linenumber, least(l_extendedprice, x) / greatest(l_extendedprice, x) AS r FROM (SELECT *, l_extendedprice * (1 + (l_linenumber - 4) * 0.012) AS x FROM lineitem))
+    SELECT l_orderkey, l_linenumber, CASE WHEN r >= 0.995 THEN 1.0 WHEN r >= 0.98 THEN 0.82 WHEN r >= 0.95 THEN 0.65 WHEN r >= 0.9 THEN 0.45 ELSE 0.0 END::DOUBLE AS similarity FROM p""",
+)
+def f13(spark, d):
+    other = F.col("l_extendedprice") * (1 + (F.col("l_linenumber") - 4) * 0.012)
+    return t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scores.amount_similarity(F.col("l_extendedprice"), other).alias("similarity"))
+
+
+@query(
+    "f16_ngram_jaccard",
+    """WITH p AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part), g AS (SELECT p_partkey, list_distinct([substr(a, i, 3) FOR i IN range(1, greatest(length(a) - 2, 1) + 1)]) AS x, list_distinct([substr(b, i, 3) FOR i IN range(1, greatest(length(b) - 2, 1) + 1)]) AS y FROM p)
+    SELECT p_partkey, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM g""",
+)
+def f16(spark, d):
+    a, b = scores.ngrams(F.lower("p_name"), 3), scores.ngrams(F.lower("p_type"), 3)
+    return t.table(spark, d, "part").select("p_partkey", F.round(scores.jaccard(a, b), 6).alias("jaccard"))
+
+
+@query(
+    "f17_dice",
+    """WITH p AS (SELECT p_partkey, lower(p_name) AS a, lower(p_brand) AS b FROM part), g AS (SELECT p_partkey, a, b, [substr(a, i, 2) FOR i IN range(1, length(a))] AS x, [substr(b, i, 2) FOR i IN range(1, length(b))] AS y FROM p)
+    SELECT p_partkey, round(CASE WHEN a = b THEN 1 WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE 2.0 * coalesce(list_sum([least(len([h FOR h IN x IF h = g]), len([h FOR h IN y IF h = g])) FOR g IN list_distinct(x)]), 0) / (len(x) + len(y)) END, 6)::DOUBLE AS dice FROM g""",
+)
+def f17(spark, d):
+    return t.table(spark, d, "part").select("p_partkey", F.round(scores.dice(F.lower("p_name"), F.lower("p_brand")), 6).alias("dice"))
+
+
+@query("f21_strip_html", r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '[\t\n\v\f\r ]+', ' ', 'g'))) AS text_md5 FROM pages")
+def f21(spark, d):
+    return t.table(spark, d, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("text_md5"))
+
+
+@query(
+    "f22_long_numbers",
+    r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\b([0-9]{6,})\b', 1)))[1:10] AS numbers FROM documents WHERE regexp_matches(text, '\b[0-9]{6,}\b')",
+)
+def f22(spark, d):
+    numbers = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([0-9]{6,})\b"), 1))), 1, 10)
+    return t.table(spark, d, "documents").select("doc_id", numbers.alias("numbers")).where(F.size("numbers") > 0)
+
+
+@query("f29_redaction")
+def f29(spark, d):
+    left, counts = text.redact(F.col("text"))
+    return t.table(spark, d, "documents").select("doc_id", F.md5(left).alias("text_md5"), *[c.alias(f"n_{k}") for k, c in counts.items()])
+
+
+def _hits(keywords: list[str]) -> str:
+    return " + ".join(f"contains(n, '{text.fold_literal(w)}')::INT" for w in keywords)
+
+
+def _category_sql() -> str:
+    cols = []
+    for k, (name, words) in enumerate(text.CATEGORY_KEYWORDS.items()):
+        bonus = 0.06 if name in ("bank_charge", "payroll", "sadad_government_payment") else 0
+        minus = 0.04 if name in ("bank_charge", "supplier_payment", "sadad_government_payment", "atm_withdrawal", "loan_payment", "vat_tax") else 0
+        plus = 0.06 if name == "customer_receipt" else 0
+        cols.append(f"SELECT id, {k} AS k, '{name}' AS category, {_hits(words)} AS h, {bonus} + CASE WHEN a < 0 THEN {minus} WHEN a > 0 THEN {plus} ELSE 0 END AS b FROM s")
+    return f"""WITH s AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE -1 END AS a,
+      trim(regexp_replace(regexp_replace(lower(text || CASE conv_id % 4 WHEN 0 THEN ' bank fee' WHEN 1 THEN ' customer deposit' WHEN 2 THEN ' card loan' ELSE '' END), '[^\\p{{L}}\\p{{N}}_\\s:/#.-]', ' ', 'g'), '\\s+', ' ', 'g')) AS n FROM conversations),
+    e AS ({' UNION ALL '.join(cols)}), r AS (SELECT id, category, round(least(0.58 + least(h, 4) * 0.08 + b, 0.95), 4) AS score FROM e WHERE h > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(least(0.58 + least(h, 4) * 0.08 + b, 0.95), 4) DESC, k) = 1)
+    SELECT s.id, coalesce(category, 'needs_review') AS category, coalesce(score, 0.35)::DOUBLE AS score FROM s LEFT JOIN r USING (id)"""
+
+
+def _talk(spark, d):
+    c = t.table(spark, d, "conversations")
+    tail = F.when(F.col("conv_id") % 4 == 0, " bank fee").when(F.col("conv_id") % 4 == 1, " customer deposit").when(F.col("conv_id") % 4 == 2, " card loan").otherwise("")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat("text", tail).alias("text"), F.when(F.col("conv_id") % 2 == 0, 1).otherwise(-1).alias("amount"))
+
+
+@query("f32_best_category", _category_sql())
+def f32(spark, d):
+    found = text.best_category(F.col("text"), F.col("amount"))
+    return _talk(spark, d).select("id", found["category"].alias("category"), found["score"].alias("score"))
+
+
+@query(
+    "f38_signals",
+    "WITH s AS (SELECT conv_id * 1000 + turn AS id, lower(text || CASE conv_id % 4 WHEN 0 THEN ' bank fee' WHEN 1 THEN ' customer deposit' WHEN 2 THEN ' card loan' ELSE '' END) AS n FROM conversations) SELECT id, "
+    + ", ".join("(" + " OR ".join(f"contains(n, '{text.fold_literal(w)}')" for w in words) + f") AS {name}" for name, words in text.SIGNAL_TOKENS.items())
+    + " FROM s",
+)
+def f38(spark, d):
+    return _talk(spark, d).select("id", *[c.alias(k) for k, c in text.signals(F.col("text")).items()])
+
+
+@query(
+    "f35_document_class",
+    "WITH s AS (SELECT item_id, lower(text || CASE item_id % 6 WHEN 0 THEN ' Tax Invoice' WHEN 1 THEN ' purchase order' WHEN 2 THEN ' Opening Balance' WHEN 3 THEN ' bill to' WHEN 4 THEN ' receipt' ELSE '' END) AS n FROM benchmark) SELECT item_id, CASE "
+    + " ".join("WHEN " + " OR ".join(f"contains(n, '{m}')" for m in markers) + f" THEN '{name}'" for name, markers in documents_.CLASS_MARKERS.items())
+    + " ELSE 'unknown' END AS class FROM s",
+)
+def f35(spark, d):
+    tails = {0: " Tax Invoice", 1: " purchase order", 2: " Opening Balance", 3: " bill to", 4: " receipt"}
+    tail = F.lit("")
+    for k, v in tails.items():
+        tail = F.when(F.col("item_id") % 6 == k, v).otherwise(tail)
+    return t.table(spark, d, "benchmark").select("item_id", documents_.document_class(F.concat("text", tail)).alias("class"))
+
+
+@query("f24_vat_check", "WITH o AS (SELECT l_orderkey, list(CAST(l_extendedprice AS DECIMAL(20, 2)) ORDER BY l_linenumber, CAST(l_extendedprice AS DECIMAL(20, 2))) AS a FROM lineitem GROUP BY 1), w AS (SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN list_append(a, round(a[1] * 0.15, 2)::DECIMAL(20, 2)) ELSE a END AS a FROM o) SELECT l_orderkey, [x FOR x IN a IF x > 0 AND (list_contains(a, round(x * 0.15, 2)::DECIMAL(20, 2)) OR list_contains(a, (x + round(x * 0.15, 2))::DECIMAL(20, 2)))][1] AS base FROM w")
+def f24(spark, d):
+    v = F.col("l_extendedprice").cast("decimal(20,2)")
+    lists = t.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", v.alias("v")))), lambda s: s["v"]).alias("a"))
+    more = F.when(F.col("l_orderkey") % 3 == 0, F.array_append("a", F.round(F.get("a", F.lit(0)) * F.lit("0.15").cast("decimal(4,2)"), 2).cast("decimal(20,2)"))).otherwise(F.col("a"))
+    return lists.withColumn("a", more).select("l_orderkey", documents_.vat_agrees(F.col("a")).alias("base"))
+
+
+@query("u06_ordered_distinct", "SELECT o_orderkey, string_agg(v, ' | ' ORDER BY k) AS joined FROM (SELECT o_orderkey, arg_min(v, k) AS v, min(k) AS k FROM (SELECT o_orderkey, unnest([o_orderpriority, lower(o_orderpriority), o_orderstatus, 'f', '']) AS v, unnest([1, 2, 3, 4, 5]) AS k FROM orders) WHERE v <> '' GROUP BY o_orderkey, lower(v)) GROUP BY o_orderkey")
+def u06(spark, d):
+    parts = F.array("o_orderpriority", F.lower("o_orderpriority"), "o_orderstatus", F.lit("f"), F.lit(""))
+    return t.table(spark, d, "orders").select("o_orderkey", text.ordered_distinct(parts).alias("joined"))
+
+
+@query("f15_partner_similarity")
+def f15(spark, d):
+    """Suppliers against the names of nations: each supplier's best one."""
+    nations = t.table(spark, d, "nation").select("n_nationkey", F.lower("n_name").alias("n"))
+    rows = t.table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.lower("s_name").alias("s"), "n")
+    return rows.select("s_suppkey", F.round(names.partner_similarity(F.col("s"), F.col("n")), 6).alias("similarity"))
+
+
+@query(
+    "s03_text_statement",
+    """WITH l AS (SELECT CAST(o_orderdate AS DATE) AS d, 'order ' || o_orderkey AS description, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * CAST(o_totalprice AS DECIMAL(20, 2)) AS amount, o_orderkey FROM orders)
+    SELECT 'orders-' || (o_orderkey % 7) AS path, row_number() OVER (PARTITION BY o_orderkey % 7 ORDER BY o_orderkey)::INT AS row_number, strftime(d, '%Y-%m-%d') AS date, description, amount::DECIMAL(20, 2) AS amount,
+           CASE WHEN amount < 0 THEN -amount ELSE 0 END::DECIMAL(20, 2) AS debit, CASE WHEN amount > 0 THEN amount ELSE 0 END::DECIMAL(20, 2) AS credit, NULL::DECIMAL(20, 2) AS balance FROM l""",
+)
+def s03(spark, d):
+    """Seven statements written from the orders, each with its own delimiter and two title rows, and parsed again."""
+    k = F.col("o_orderkey") % 7
+    marks = {0: "\t", 1: " | ", 2: ";", 3: ","}
+    mark = F.lit("   ")
+    for n, m in marks.items():
+        mark = F.when(k == n, m).otherwise(mark)
+    v = F.col("o_totalprice").cast("decimal(20,2)").cast("string")
+    out = F.col("o_orderkey") % 3 == 0
+    # Where runs of spaces delimit, an empty cell would be lost: a zero stands for it.
+    empty = F.when(k >= 4, "0").otherwise("")
+    line = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), mark, F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), mark, F.when(out, v).otherwise(empty), mark, F.when(out, empty).otherwise(v))
+    rows = t.table(spark, d, "orders").select(k.alias("k"), mark.alias("mark"), F.struct("o_orderkey", line.alias("line")).alias("l"))
+    files = rows.groupBy("k", "mark").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    head = F.concat_ws("\n", F.lit("Statement of the orders"), F.lit("made for the query"), F.concat(F.lit("Date"), F.col("mark"), F.lit("Description"), F.col("mark"), F.lit("Debit"), F.col("mark"), F.lit("Credit")))
+    text_ = F.concat_ws("\n", head, F.array_join(F.transform("ls", lambda s: s["line"]), "\n"))
+    files = files.select(F.concat(F.lit("orders-"), F.col("k").cast("string")).alias("path"), text_.alias("text"))
+    return statements.transactions(statements.text_rows(files))
