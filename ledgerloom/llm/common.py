@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_SPACE = " \t\n\x0b\f\r"  # what separates words: [\x20\x09-\x0D]
 
@@ -47,6 +48,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_key(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` as two columns, ``_row`` (a struct of all) and ``_key`` (the id): no name in ``docs`` can clash with a name used in a join."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"))
+
+
 class Texts:
     """A run of documents as one byte buffer: document i is ``data[starts[i]:starts[i + 1]]``."""
 

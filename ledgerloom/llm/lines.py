@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import by_key, cut
 
 SMALL_ENDS = 1_000_000  # lines of candidate pairs up to which their hashes (16 bytes each) are broadcast; beyond it the join shuffles
 
@@ -138,17 +138,17 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
     stay in each. Within a document that is left whole (see ``LineRules``) nothing is removed.
     """
     nos = kept_places(docs, rules, id_col, text_col).withColumnsRenamed({"id": "_id", "nos": "_nos"})
-    rows = docs.join(nos, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
-    rows = rows.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+    rows = by_key(docs, id_col).join(nos, F.col("_key").eqNullSafe(F.col("_id")), "left").drop("_id", "_key")
+    body = F.coalesce(F.col("_row")[text_col], F.lit(""))
+    rows = rows.withColumn("_lines", F.split(body, "\n"))
     rows = rows.withColumn("_flags", F.expr(f"transform(_lines, (x, i) -> length(x) >= {max(1, rules.least_chars)} AND btrim(x, ' \\t\\n\\u000B\\u000C\\r') != '')"))
     rows = rows.withColumn("_bad", F.expr("array_except(filter(transform(_flags, (f, i) -> IF(f, i, -1)), i -> i >= 0), coalesce(_nos, array()))"))
     lost = F.expr("aggregate(_bad, 0L, (a, i) -> a + length(_lines[i]))")
-    whole = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    rows = rows.withColumn("_bad", F.when(lost * 100 <= whole * rules.most_percent, F.col("_bad")).otherwise(F.expr("slice(_bad, 1, 0)")))
+    rows = rows.withColumn("_bad", F.when(lost * 100 <= F.length(body) * rules.most_percent, F.col("_bad")).otherwise(F.expr("slice(_bad, 1, 0)")))
     # Both lists ascend: the kept lines are the runs between the removed ones.
     runs = "transform(sequence(0, size(_bad)), k -> slice(_lines, IF(k = 0, 0, _bad[k - 1] + 1) + 1, IF(k = size(_bad), size(_lines), _bad[k]) - IF(k = 0, 0, _bad[k - 1] + 1)))"
-    text = F.when(F.col(text_col).isNull() | (F.size("_bad") == 0), F.col(text_col)).otherwise(F.expr(f"array_join(flatten({runs}), '\\n')"))
-    out = [F.col(c) if c != text_col else text.alias(c) for c in docs.columns]
+    text = F.when(F.col("_row")[text_col].isNull() | (F.size("_bad") == 0), F.col("_row")[text_col]).otherwise(F.expr(f"array_join(flatten({runs}), '\\n')"))
+    out = [F.col("_row")[c].alias(c) if c != text_col else text.alias(c) for c in docs.columns]
     if counts:
         out += [F.expr("CAST(size(filter(_flags, f -> f)) AS BIGINT)").alias("n_lines"), F.size("_bad").cast("long").alias("n_removed")]
     return rows.select(*out)

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, cut
+from .common import WORD_SPACE, by_key, cut
 
 LEVELS = ("_domain", "_lang", "_source")
 SMALL_TABLE = 10_000  # leaves up to which the table of leaves is broadcast; beyond it the join shuffles
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], part_percent: int =
     """The rows of ``docs``, all columns, as often as they are taken (at most ``epochs`` times); ids are taken to be unique."""
     decided, _ = plan(docs, weights, part_percent, epochs, seed, id_col, **named)
     chosen = decided.where("copies > 0").select(F.col(id_col).alias("_id"), F.col("copies").alias("_copies"))
+    rows, same = by_key(docs, id_col), F.col("_key").eqNullSafe(F.col("_id"))
     if epochs == 1:
-        return docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    joined = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_k", "_copies")
+        return rows.join(chosen, same, "left_semi").select("_row.*")
+    return rows.join(chosen, same).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, byte_values, cut, lower_ascii, mix, shared_path, texts, words
+from .common import Prefix, by_key, byte_values, cut, lower_ascii, mix, shared_path, texts, words
 
 SMALL_IDS = 1_000_000  # candidate ids up to which they are broadcast (8 bytes each); beyond it the join shuffles
 
@@ -340,4 +340,4 @@ def near_components(docs: DataFrame, how: Near = Near(), id_col: str = "doc_id",
 def drop_near(docs: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without those that are not the smallest id of their component."""
     gone = near_components(docs, how, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return by_key(docs, id_col).join(gone, F.col("_key").cast("long") == F.col("_gone"), "left_anti").select("_row.*")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import by_key, cut
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -149,4 +149,4 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
 def keep_good(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns, whose ids pass. Rows that share an id stay or go together: all have to pass."""
     bad = judge(docs, rules, id_col, text_col, lang_col, source_col).where(~F.col("kept")).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    return by_key(docs, id_col).join(bad, F.col("_key").eqNullSafe(F.col("_id")), "left_anti").select("_row.*")
