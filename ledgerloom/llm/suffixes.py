@@ -37,7 +37,7 @@ def suffix_array(symbols: np.ndarray, length: int) -> np.ndarray:
         key = (key << 9) | part
     done = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # the order of equal keys does not matter
         new = np.ones(n, bool)
         ordered = key[order]
         new[1:] = ordered[1:] != ordered[:-1]
@@ -105,6 +105,17 @@ def repeats_in_block(segments: list[bytes], doc: np.ndarray, at: np.ndarray, n:
     return who[rank][later], off[rank][later]
 
 
+def joined(who: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that follow each other in a segment: its number, and the first and last window."""
+    order = np.lexsort((off, who))
+    who, off = who[order], off[order]
+    new = np.ones(len(who), bool)
+    new[1:] = (who[1:] != who[:-1]) | (off[1:] != off[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(who)) - 1
+    return (who[first], off[first], off[last]) if len(who) else (who, off, off)
+
+
 def _segments(column: pa.Array, window: int, gram: int) -> Iterator[tuple[slice, Segments, Prefix, np.ndarray]]:
     for run in texts(column):
         sums = Prefix(byte_values(run.data))
@@ -140,13 +151,13 @@ def repeated_ranges(docs: DataFrame, window: int = 100, gram: int = 20, id_col:
     path = shared_path(spark, "segments")
     rows.mapInArrow(candidates, f"id {kind}, at int, n int, h long, seg long").join(met, "h", "left_semi").write.parquet(path)
     found = spark.read.parquet(path)
-    firsts = cut(found.groupBy("h", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")))
+    firsts = cut(found.groupBy("h", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c"), F.first("n").alias("n")))
     crowd = cut(firsts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
     # Later occurrences of a whole segment.
     again = found.join(firsts.where("c > 1").select("h", "seg", "first"), ["h", "seg"]).where("struct(id, at) != first")
     again = again.select("id", F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + window).alias("b"))
     # The earliest occurrence of each segment whose anchor has several: these go to the blocks, or are taken apart.
-    chosen = firsts.join(crowd, "h").select("h", "seg", F.col("first.id").alias("id"), F.col("first.at").alias("at"), (F.col("k") > CROWD).alias("large"))
+    chosen = firsts.join(crowd, "h").select("h", "seg", F.col("first.id").alias("id"), F.col("first.at").alias("at"), "n", (F.col("k") > CROWD).alias("large"))
     chosen = cut(chosen)
 
     def marks(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +176,8 @@ def repeated_ranges(docs: DataFrame, window: int = 100, gram: int = 20, id_col:
                 parts = [raw[x:y] for x, y in zip(s.start[hit].tolist(), (s.start[hit] + s.n[hit] - 1 + window).tolist())]
                 yield from batch_rows(b.column(0), s.doc[hit] + at.start, {"at": s.at[hit].astype(np.int32), "n": s.n[hit].astype(np.int32), "h": s.h[hit], "seg": s.seg[hit], "body": pa.array(parts, pa.binary())}, 5_000)
 
-    path = shared_path(spark, "bodies")
     body = rows.mapInArrow(bodies, f"id {kind}, at int, n int, h long, seg long, body binary")
-    body.write.parquet(path)
-    body = spark.read.parquet(path)
-    size = body.agg(F.sum(F.octet_length("body") + 1)).first()[0] or 0
+    size = chosen.where("NOT large").agg(F.sum(F.col("n") + window)).first()[0] or 0
     n_blocks = max(1, math.ceil(size / BLOCK))
 
     def solve(table: pa.Table) -> pa.Table:
@@ -177,8 +185,8 @@ def repeated_ranges(docs: DataFrame, window: int = 100, gram: int = 20, id_col:
         ids, at = table.column("id"), np.asarray(table.column("at"), np.int64)
         number = np.asarray(pa.compute.rank(ids.combine_chunks(), tiebreaker="dense"), np.int64)
         who, off = repeats_in_block(table.column("body").to_pylist(), number, at, n, window)
-        start = at[who] + off
-        return pa.table([ids.take(pa.array(who)), pa.array(start.astype(np.int32)), pa.array((start + window).astype(np.int32))], names=["id", "a", "b"])
+        who, first, last = joined(who, off)
+        return pa.table([ids.take(pa.array(who)), pa.array((at[who] + first).astype(np.int32)), pa.array((at[who] + last + window).astype(np.int32))], names=["id", "a", "b"])
 
     keyed = body.select(F.pmod(F.xxhash64("h"), F.lit(n_blocks)).alias("block"), "id", "at", "n", "body")
     within = keyed.groupBy("block").applyInArrow(solve, f"id {kind}, a int, b int")
