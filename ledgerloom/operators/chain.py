@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +26,11 @@ def append(events: DataFrame, scope: str, order: str, payload: list[str]) -> Dat
     rows = events.select(scope, order, *payload, canonical(payload).alias("_body"))
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in (scope, order, *payload))
 
-    def walk(batches):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_scope, previous, number = object(), GENESIS, 0
-        for pdf in batches:
+        for batch in batches:
             seq, before, made = [], [], []
-            for s, body in zip(pdf[scope], pdf["_body"]):
+            for s, body in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 if s != last_scope:
                     last_scope, previous, number = s, GENESIS, 0
                 number += 1
@@ -37,9 +38,10 @@ def append(events: DataFrame, scope: str, order: str, payload: list[str]) -> Dat
                 before.append(previous)
                 previous = hashlib.sha256(f"{number}|{previous}|{body}".encode()).hexdigest()
                 made.append(previous)
-            yield pd.DataFrame(pdf.drop(columns=["_body"])).assign(sequence_number=seq, previous_hash=before, event_hash=made)
+            kept = batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(seq, pa.int64()), pa.array(before, pa.string()), pa.array(made, pa.string())], names=[*batch.schema.names[:-1], "sequence_number", "previous_hash", "event_hash"])
 
-    return rows.repartition(scope).sortWithinPartitions(scope, order).mapInPandas(walk, f"{fields}, sequence_number long, previous_hash string, event_hash string")
+    return rows.repartition(scope).sortWithinPartitions(scope, order).mapInArrow(walk, f"{fields}, sequence_number long, previous_hash string, event_hash string")
 
 
 def verify(chained: DataFrame, scope: str, payload: list[str]) -> DataFrame:

@@ -49,7 +49,8 @@ def rate_limit(events: DataFrame, actor: str = "actor", time: str = "ts", event:
         recent: list[float] = []
         for pdf in batches:
             out = []
-            for who, at in zip(pdf[actor], pd.to_datetime(pdf[time]).astype("int64") / 1e9 if str(pdf[time].dtype).startswith("datetime64[ns") else pd.to_datetime(pdf[time]).astype("datetime64[ns]").astype("int64") / 1e9):
+            seconds_ = pd.to_datetime(pdf[time]).astype("datetime64[ns]").astype("int64") / 1e9
+            for who, at in zip(pdf[actor].astype(object).where(pdf[actor].notna(), None), seconds_):
                 if who != last:
                     last, recent = who, []
                 ok, recent = decide([at], recent, most, seconds)
