@@ -1,11 +1,12 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian pruning, exact verification, components.
 
 Equal shingle sets collapse to their smallest id before anything is paired. Sets that agree on a band of their signatures are
-candidates. In each bucket, members are first compared with one representative. What then still lies in different components of
-a bucket is compared in blocks of bounded size, each block by arrays: first the likeliest partners of each member, then every
-pair that is left, in the first bucket that it shares. Pairs inside one component need no test, so a large group of copies costs
-a comparison per member, and no link between components is lost. A candidate's signatures are compared in batches: it goes as soon as the posterior probability that its similarity reaches
-the threshold falls below ``miss``. What survives is verified on the full sets of both texts.
+candidates. In each bucket, members are first compared with one representative. Buckets that then still hold different components
+are joined to families and compared in blocks of bounded size, each block by arrays: first the likeliest partners of each member,
+then every pair that is left. A candidate's signatures are compared in batches: it goes as soon as the posterior probability that
+its similarity reaches the threshold falls below ``miss``. What survives is verified in its block on the full sets of both texts,
+so only links leave a block. Pairs inside one component need no test: a large group of copies costs a comparison per member, and
+no link between components is lost.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, by_key, byte_values, cut, lower_ascii, mix, shared_path, texts, words
+from .common import Prefix, by_key, byte_values, cut, lower_ascii, mix, partitions, shared_path, texts, words
 
 SMALL_IDS = 1_000_000  # candidate ids up to which they are broadcast (8 bytes each); beyond it the join shuffles
 
@@ -33,7 +34,8 @@ class Near:
     rows: int = 6
     batch: int = 24
     miss: float = 1e-6
-    chunk: int = 512  # members of a bucket on either side of a block
+    chunk: int = 256  # members of a family on either side of a block
+    chunk_shingles: int = 1 << 20  # and their shingles, but for a larger text
     best: int = 2  # partners of a member in the first pass over the blocks
 
 
@@ -178,119 +180,117 @@ def _linked(pairs: DataFrame, body: DataFrame, how: Near) -> DataFrame:
     return two.mapInArrow(run, "a long, b long")
 
 
-def _blocks(rest: DataFrame, how: Near) -> DataFrame:
-    """``rest`` (key, id, comp, top, outside) dealt to blocks: key, p, q, left, id, comp.
+def _blocks(rest: DataFrame, sigs: DataFrame, how: Near) -> DataFrame:
+    """``rest`` (key, id, comp, top, outside) dealt to blocks: family, p, q, left, id, comp, n, sig.
 
-    A bucket's members outside of its largest component, and the others, are cut into chunks; a block pairs a chunk of the first
-    with a later one or with one of the others.
+    A family is all open buckets whose largest component is the same one. Its members outside of that component, and the others,
+    are cut into chunks of bounded rows and shingles; a block pairs a chunk of the first with a later one or with one of the others.
     """
-    size = rest.groupBy("key").agg(F.count_if("outside").alias("_o"), F.count_if(~F.col("outside")).alias("_t"))
-    size = size.select("key", F.ceil(F.col("_o") / how.chunk).cast("int").alias("_no"), F.ceil(F.col("_t") / how.chunk).cast("int").alias("_nt"))
-    rows = rest.join(size, "key")
-    chunk = F.pmod(F.xxhash64(F.lit(5), "id"), F.when(F.col("outside"), F.col("_no")).otherwise(F.col("_nt"))).cast("int")
-    rows = rows.withColumn("_c", chunk)
+    rows = rest.select(F.col("top").alias("family"), "id", "comp", "outside").distinct().join(sigs, "id")
+
+    def chunks(of: Column) -> Column:
+        return F.greatest(F.ceil(F.count_if(of) / how.chunk), F.ceil(F.sum(F.when(of, F.col("n")).otherwise(0)) / how.chunk_shingles)).cast("int")
+
+    size = rows.groupBy("family").agg(chunks(F.col("outside")).alias("_no"), chunks(~F.col("outside")).alias("_nt"))
+    rows = rows.join(size, "family")
+    rows = rows.withColumn("_c", F.pmod(F.xxhash64(F.lit(5), "id"), F.when(F.col("outside"), F.col("_no")).otherwise(F.col("_nt"))).cast("int"))
     as_left = F.when(F.col("outside"), F.expr("transform(sequence(_c, _no + _nt - 1), q -> struct(_c AS p, q AS q, true AS left))")).otherwise(F.expr("slice(array(struct(0 AS p, 0 AS q, true AS left)), 1, 0)"))
     as_right = F.when(F.col("outside"), F.expr("transform(sequence(0, _c), p -> struct(p AS p, _c AS q, false AS left))")).otherwise(F.expr("transform(sequence(0, _no - 1), p -> struct(p AS p, _no + _c AS q, false AS left))"))
-    return rows.withColumn("_b", F.explode(F.concat(as_left, as_right))).select("key", "_b.p", "_b.q", "_b.left", "id", "comp")
+    return rows.withColumn("_b", F.explode(F.concat(as_left, as_right))).select("family", "_b.p", "_b.q", "_b.left", "id", "comp", "n", "sig")
+
+
+def _survivors(left: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, bounds: list[tuple[int, int]], how: Near, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block in different components whose sizes allow a link and that the sequential test (``bounds``) leaves, likeliest first for each left row."""
+    (first, least), *more = bounds
+    l, r = np.flatnonzero(left), np.flatnonzero(~left)
+    matches = np.zeros((len(l), len(r)), np.int16)
+    for k in range(first):
+        matches += sig[l, k][:, None] == sig[r, k][None, :]
+    i, j = np.nonzero((matches >= least) & (comp[l][:, None] != comp[r][None, :]))
+    found, done = matches[i, j].astype(np.int64), first
+    i, j = l[i], r[j]
+    ok = 100 * np.minimum(n[i], n[j]) >= how.percent * np.maximum(n[i], n[j])
+    i, j, found = i[ok], j[ok], found[ok]
+    for upto, least in more:
+        found += (sig[i, done:upto] == sig[j, done:upto]).sum(1)
+        ok = found >= least
+        i, j, found, done = i[ok], j[ok], found[ok], upto
+    order = np.lexsort((j, -found, i))
+    i, j = i[order], j[order]
+    if every or not len(i):
+        return i, j
+    start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+    return i[rank < how.best], j[rank < how.best]
+
+
+def _links_of(i: np.ndarray, j: np.ndarray, comp: np.ndarray, sets: dict[int, np.ndarray], how: Near) -> list[tuple[int, int]]:
+    """Of the pairs (i, j), links that join components: a pair whose ends have met by then is not tested."""
+    root, out = comp.copy(), []
+    edges = [*np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])).tolist(), len(i)]
+    for x, y in zip(edges[:-1], edges[1:]):
+        one = int(i[x])
+        own = sets[one]
+        for at in range(x, y, 64):
+            others = j[at : min(at + 64, y)]
+            others = others[root[others] != root[one]]
+            if not len(others):
+                continue
+            there = [sets[k] for k in others.tolist()]
+            sizes = np.array([len(t) for t in there])
+            flat = np.concatenate(there)
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            same = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+            for k in others[100 * same >= how.percent * (len(own) + sizes - same)].tolist():
+                if root[k] != root[one]:
+                    out.append((one, k))
+                    root[root == root[k]] = root[one]
+    return out
 
 
-def _block_pairs(rest: DataFrame, sigs: DataFrame, how: Near, every: bool) -> DataFrame:
-    """a, b, family of pairs in different components that the sequential test leaves; ``every``: all, else each member's likeliest partners."""
+def _block_links(rest: DataFrame, sigs: DataFrame, body: DataFrame, how: Near, every: bool) -> DataFrame:
+    """a, b: links between different components, tested and verified block by block; a block gives fewer links than it has rows.
+
+    ``every``: all pairs of the blocks count, else each row's likeliest partners in a block.
+    """
     total, bounds = how.bands * how.rows, least_matches(how)
-    family = rest.select("key", F.col("top").alias("family")).distinct()
-    rows = _blocks(rest, how).join(sigs, "id").join(family, "key").select("key", "p", "q", "left", "id", "comp", "family", "sig", "short")
-    rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-
-    def solve(ids: np.ndarray, comp: np.ndarray, left: np.ndarray, sig: np.ndarray, short: np.ndarray, band_key: int) -> tuple[np.ndarray, np.ndarray]:
-        l, r = np.flatnonzero(left), np.flatnonzero(~left)
-        matches = np.zeros((len(l), len(r)), np.int16)
-        n, m = bounds[0]
-        for k in range(n):
-            matches += sig[l, k][:, None] == sig[r, k][None, :]
-        i, j = np.nonzero((matches >= m) & (comp[l][:, None] != comp[r][None, :]))
-        found, done = matches[i, j].astype(np.int64), n
-        i, j = l[i], r[j]
-        for n, m in bounds[1:]:
-            found += (sig[i, done:n] == sig[j, done:n]).sum(1)
-            ok = found >= m
-            i, j, found, done = i[ok], j[ok], found[ok], n
-        if every:
-            # A pair stands in the first bucket that it shares; an earlier band that agrees has its own block.
-            same = short[i] == short[j]
-            here = short[i] == np.uint32(band_key & 0xFFFFFFFF)
-            first = same.argmax(1) == (same & here).argmax(1)
-            return i[first], j[first]
-        order = np.lexsort((j, -found, i))
-        i, j = i[order], j[order]
-        start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
-        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
-        return i[rank < how.best], j[rank < how.best]
+    rows = _blocks(rest, sigs, how).join(body, "id").select("family", "p", "q", "left", "id", "comp", "n", "sig", "text")
+    # A block's work grows with its pairs, not its bytes, so a number of partitions is given: else small ones would be joined.
+    rows = rows.repartition(4 * partitions(rest.sparkSession), "family", "p", "q").sortWithinPartitions("family", "p", "q")
+
+    def solve(block: pa.Table) -> pa.RecordBatch | None:
+        ids, comp, n = (np.asarray(block.column(c), np.int64) for c in ("id", "comp", "n"))
+        sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(-1, total)
+        i, j = _survivors(block.column("left").to_numpy().astype(bool), comp, n, sig, bounds, how, every)
+        if not len(i):
+            return None
+        used = np.unique(np.concatenate([i, j]))
+        sets = dict(zip(used.tolist(), (s for _, some in shingle_sets(block.column("text").take(pa.array(used)), how.width) for s in some)))
+        found = np.array(_links_of(i, j, comp, sets, how), np.int64).reshape(-1, 2)
+        a, b = ids[found[:, 0]], ids[found[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
 
-        def out(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
-            key, p, q, ids, comp, fam = (np.asarray(table.column(c), np.int64) for c in ("key", "p", "q", "id", "comp", "family"))
-            left = table.column("left").to_numpy().astype(bool)
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, total)
-            short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint32).reshape(-1, how.bands)
-            cut_at = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-            edges = [0, *cut_at.tolist(), *([len(key)] if last else [])]
-            a, b, f = [], [], []
+        def blocks(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal kept
+            family, p, q = (np.asarray(kept.column(c), np.int64) for c in ("family", "p", "q"))
+            edges = [0, *(np.flatnonzero((family[1:] != family[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist(), *([len(family)] if last else [])]
             for x, y in zip(edges[:-1], edges[1:]):
-                i, j = solve(ids[x:y], comp[x:y], left[x:y], sig[x:y], short[x:y], int(key[x]))
-                if len(i):
-                    u, v = ids[x:y][i], ids[x:y][j]
-                    a.append(np.maximum(u, v))
-                    b.append(np.minimum(u, v))
-                    f.append(np.full(len(u), fam[x]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b, f)], names=["a", "b", "family"])
-            if not last:
-                yield table.slice(edges[-1])
+                got = solve(kept.slice(x, y - x))
+                if got is not None:
+                    yield got
+            kept = kept.slice(edges[-1])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
             kept = table if kept is None else pa.concat_tables([kept, table])
-            for got in out(kept, False):
-                if isinstance(got, pa.Table):
-                    kept = got
-                else:
-                    yield got
+            yield from blocks(False)
         if kept is not None and kept.num_rows:
-            yield from out(kept, True)
-
-    found = rows.mapInArrow(run, "a long, b long, family long")
-    return found.groupBy("a", "b").agg(F.min("family").alias("family"))
-
-
-def _linked_blocks(pairs: DataFrame, body: DataFrame, how: Near) -> DataFrame:
-    """``pairs`` (a, b, family) whose full sets are similar enough. Texts of a family's chunk travel once per block, not once per pair."""
-    def chunk(c: str):
-        return F.pmod(F.xxhash64(F.lit(5), c), F.lit(16))
-
-    keyed = cut(pairs.select(F.xxhash64("family", chunk("a"), chunk("b")).alias("h"), "a", "b"))
-    ends = keyed.select("h", F.col("a").alias("id")).union(keyed.select("h", F.col("b").alias("id"))).distinct()
-    n = max(1, ends.count() // 4096 + 1)  # texts of a block
-    block = F.pmod(F.col("h"), F.lit(n))
-    ends = ends.select(block.alias("block"), "id").distinct().join(body, "id").select("block", "id", "text")
-    keyed = keyed.select(block.alias("block"), "a", "b")
-
-    def verify(asked: pa.Table, there: pa.Table) -> pa.Table:
-        known: dict[int, np.ndarray] = {}
-        ids = there.column("id").to_pylist()
-        for rows, sets in shingle_sets(there.column("text"), how.width):
-            known.update(zip(ids[rows], sets))
-        keep = []
-        for k, (a, b) in enumerate(zip(asked.column("a").to_pylist(), asked.column("b").to_pylist())):
-            x, y = known[a], known[b]
-            if 100 * min(len(x), len(y)) >= how.percent * max(len(x), len(y)):
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                if same and 100 * same >= how.percent * (len(x) + len(y) - same):
-                    keep.append(k)
-        return asked.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield from blocks(True)
 
-    return keyed.groupBy("block").cogroup(ends.groupBy("block")).applyInArrow(verify, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,9 +310,7 @@ def near_components(docs: DataFrame, how: Near = Near(), id_col: str = "doc_id",
     ids = cut(buckets.select("id").distinct())
     few = ids.count() <= SMALL_IDS
     some = (lambda t: F.broadcast(t)) if few else (lambda t: t)
-    short = F.expr("unhex(array_join(transform(bands, x -> concat(substr(lpad(hex(x), 16, '0'), 15, 2), substr(lpad(hex(x), 16, '0'), 13, 2), substr(lpad(hex(x), 16, '0'), 11, 2), substr(lpad(hex(x), 16, '0'), 9, 2))), ''))")
-    # The low four bytes of each band's key, lowest first.
-    sigs = _written(first.select("id", "sig", short.alias("short")).join(some(ids), "id", "left_semi"), "near-sigs")
+    sigs = _written(first.select("id", "n", "sig").join(some(ids), "id", "left_semi"), "near-sigs")
     body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     body = _written(body.join(some(ids), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
     tested = cut(buckets.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
@@ -325,11 +323,10 @@ def near_components(docs: DataFrame, how: Near = Near(), id_col: str = "doc_id",
         rest = _written(named.join(open_.select("key", F.col("top.comp").alias("top")), "key").withColumn("outside", F.col("comp") != F.col("top")), "near-open")
         if rest.isEmpty():
             break
-        pairs = _block_pairs(rest, sigs, how, every)
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = cut(_linked_blocks(pairs, body, how))
-        links, tested = links.union(found), tested.union(pairs.select("a", "b"))
-        label = label if found.isEmpty() else components(links)
+        found = cut(_block_links(rest, sigs, body, how, every))
+        if not found.isEmpty():
+            links = links.union(found)
+            label = components(links)
     named = prints.select("id", "n", "s", "t").join(sets.select("s", "t", "rep"), ["s", "t"], "left")
     named = named.join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     own = F.when(F.col("n") > 0, F.coalesce("comp", "rep", "id")).otherwise(F.col("id"))
