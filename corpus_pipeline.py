@@ -14,6 +14,8 @@ from ledgerloom.llm.queries import BPE_FILE
 
 #: A clean document may be short: here only wordless ones fail for their length.
 LEAST_WORDS = 1
+#: What a text with a word in it has.
+WORD = r"[^ \t\n\x0B\f\r]"
 #: Share of the tokens that goes on, by weight; sources that hold less than their share give it to their siblings.
 MIX_PERCENT = 90
 MIX_WEIGHTS = {"lang": {"en": 6, "de": 2, "fr": 2, "es": 2}}
@@ -25,8 +27,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go; every document stays. n_chars follows the text."""
-    out = lines.dedup_lines(docs)
+    """Lines that repeat an earlier line go, in every document. n_chars follows the text.
+
+    Documents that lose all their words go, and whole copies of an earlier text too: what is left of those are short lines.
+    """
+    out = lines.dedup_lines(docs, lines.LineRules(most_percent=100), counts=True)
+    text = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy(F.xxhash64(F.lit(1), "text").alias("h"), F.xxhash64(F.lit(2), "text").alias("g"))
+    first = text.agg(F.min("doc_id").alias("_first")).select("_first").distinct()
+    worded = F.coalesce("text", F.lit("")).rlike(WORD)
+    stays = F.when(worded, F.col("_first").isNotNull() | F.col("doc_id").isNull()).otherwise(F.col("n_removed") == 0)
+    out = out.join(first, F.col("doc_id") == F.col("_first"), "left").where(stays).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

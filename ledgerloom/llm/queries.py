@@ -52,8 +52,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines (that take part), n_removed, kept_sha256 of the text that is left."""
-    left = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    """doc_id, n_lines (that take part), n_removed, kept_sha256 of the text that is left; no document is exempt."""
+    left = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), lines.LineRules(most_percent=100), counts=True)
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
 
 

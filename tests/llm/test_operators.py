@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, ctw, lines, mixing, near, quality, substrings, suffixes, topk, unigram
-from ledgerloom.llm.queries import BPE_FILE, UNIGRAM_FILE
+from ledgerloom.llm.queries import BPE_FILE, UNIGRAM_FILE, op8_line_dedup
 
 from . import cases
 
@@ -323,6 +323,19 @@ def test_op8(spark, docs):
         assert (got[i].text, got[i].n_removed) == (want, len(bad)), i
 
 
+def test_op8_exempts_no_document(spark, tmp_path):
+    a, b, c = ("A line of the first document, long enough.", "Quite another line that both of them have.", "And the third one, which only the last has.")
+    texts = {1: f"{a}\n{b}\n--", 2: f"{a}\n{b}\n--", 3: f"{a}\n{b}\n{c}", 4: b, 5: None, 6: " "}
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in texts.items()], cases.SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(op8_line_dedup(spark, str(tmp_path)))
+    want = {1: (0, texts[1]), 2: (2, "--"), 3: (2, c), 4: (1, ""), 5: (0, ""), 6: (0, " ")}
+    assert {i: (r.n_removed, r.kept_sha256) for i, r in got.items()} == {i: (n, sha(t.encode())) for i, (n, t) in want.items()}
+    pipeline = pytest.importorskip("corpus_pipeline")
+    left = by_id(pipeline.line_dedup(spark, docs, str(tmp_path)))
+    assert {i: r.text for i, r in left.items()} == {1: texts[1], 3: c, 5: None, 6: " "}
+
+
 def test_op9_shares():
     """The water filling of one family against a plain loop is covered by the SQL of op9; here the plan as a whole."""
 
