@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Segments, batch_rows, bloom_has, bloom_of, covered
-from .common import Prefix, byte_values, cut, shared_path, texts
+from .common import Prefix, byte_values, cut, mix, shared_path, texts
 
 BLOCK = 1 << 20  # bytes of segments in one suffix array
 CROWD = 256  # distinct segments of one anchor up to which they go to one block; the windows of larger groups are grouped one by one
@@ -122,9 +122,13 @@ def _segments(column: pa.Array, window: int, gram: int) -> Iterator[tuple[slice,
         yield run.rows, Segments(sums, run.starts, window, gram), sums, run.data
 
 
-def _named(h: np.ndarray, seg: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One hash of an occurrence of a segment, but for its document."""
-    return (h * np.uint64(0x9E3779B97F4A7C15) ^ seg) * np.uint64(0xD6E8FEB86659FD93) + at.astype(np.uint64)
+def _named(h: np.ndarray, seg: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One hash of an occurrence of a segment; ``doc`` has hashes of ids."""
+    return mix((h * np.uint64(0x9E3779B97F4A7C15) ^ seg) * np.uint64(0xD6E8FEB86659FD93) + at.astype(np.uint64)) ^ doc
+
+
+def _longs(column: pa.Array) -> np.ndarray:
+    return np.asarray(column, np.int64).view(np.uint64)
 
 
 def repeated_ranges(docs: DataFrame, window: int = 100, gram: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,21 +166,25 @@ def repeated_ranges(docs: DataFrame, window: int = 100, gram: int = 20, id_col:
 
     def marks(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some:
-            h, seg = (np.asarray(b.column(k), np.int64).view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(_named(h, seg, np.asarray(b.column(2), np.int64)).view(np.int64))], names=["mark"])
+            mark = _named(_longs(b.column(0)), _longs(b.column(1)), np.asarray(b.column(2), np.int64), _longs(b.column(3)))
+            yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64))], names=["mark"])
 
-    small = spark.sparkContext.broadcast(bloom_of(chosen.where("NOT large").select("h", "seg", "at").mapInArrow(marks, "mark long"), "mark"))
-    large = spark.sparkContext.broadcast(bloom_of(chosen.where("large").select("h", "seg", "at").mapInArrow(marks, "mark long"), "mark"))
+    hashed = F.xxhash64("id").alias("doc")
+    small = spark.sparkContext.broadcast(bloom_of(chosen.where("NOT large").select("h", "seg", "at", hashed).mapInArrow(marks, "mark long"), "mark"))
+    large = spark.sparkContext.broadcast(bloom_of(chosen.where("large").select("h", "seg", "at", hashed).mapInArrow(marks, "mark long"), "mark"))
+    rows = rows.select("id", "text", hashed)
 
     def bodies(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some:
             for at, s, _, data in _segments(b.column(1), window, gram):
-                hit = np.flatnonzero(bloom_has(small.value, _named(s.h, s.seg, s.at)))
+                hit = np.flatnonzero(bloom_has(small.value, _named(s.h, s.seg, s.at, _longs(b.column(2))[s.doc + at.start])))
                 raw = data.tobytes()
                 parts = [raw[x:y] for x, y in zip(s.start[hit].tolist(), (s.start[hit] + s.n[hit] - 1 + window).tolist())]
                 yield from batch_rows(b.column(0), s.doc[hit] + at.start, {"at": s.at[hit].astype(np.int32), "n": s.n[hit].astype(np.int32), "h": s.h[hit], "seg": s.seg[hit], "body": pa.array(parts, pa.binary())}, 5_000)
 
+    # The filter lets a few more through: the join leaves one body for each distinct (h, seg), as ``size`` has counted them.
     body = rows.mapInArrow(bodies, f"id {kind}, at int, n int, h long, seg long, body binary")
+    body = body.join(chosen.where("NOT large").select("h", "seg", "id", "at"), ["h", "seg", "id", "at"], "left_semi")
     size = chosen.where("NOT large").agg(F.sum(F.col("n") + window)).first()[0] or 0
     n_blocks = max(1, math.ceil(size / BLOCK))
 
@@ -194,7 +202,7 @@ def repeated_ranges(docs: DataFrame, window: int = 100, gram: int = 20, id_col:
     def single(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some:
             for at, s, sums, data in _segments(b.column(1), window, gram):
-                hit = np.flatnonzero(bloom_has(large.value, _named(s.h, s.seg, s.at)))
+                hit = np.flatnonzero(bloom_has(large.value, _named(s.h, s.seg, s.at, _longs(b.column(2))[s.doc + at.start])))
                 if not len(hit):
                     continue
                 other = Prefix(byte_values(data), 1)

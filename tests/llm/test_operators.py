@@ -89,6 +89,21 @@ def test_op2(spark, docs, monkeypatch, window, gram, crowd):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256, bytes(got[i].kept)) == (len(data), bad.sum(), spans, sha(kept), kept)
 
 
+def test_op2_copies_reach_a_block_once(spark, monkeypatch):
+    solve = suffixes.repeats_in_block
+
+    def distinct_only(segments, *rest):
+        assert len(set(segments)) == len(segments), "copies in a block"
+        return solve(segments, *rest)
+
+    monkeypatch.setattr(suffixes, "repeats_in_block", distinct_only)
+    text = cases.passage(1, 60)
+    start = text.index(" ", 50)
+    docs = spark.createDataFrame([(k, text) for k in range(40)] + [(40, "another beginning" + text[start:] + " and end")], "doc_id long, text string")
+    got = by_id(suffixes.remove_repeats(docs.repartition(3)))
+    assert [got[k].n_removed for k in range(41)] == [0] + [len(text)] * 39 + [len(text) - start]
+
+
 def test_op2_blocks_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(40):
