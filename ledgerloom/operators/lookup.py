@@ -75,17 +75,13 @@ def moves_with_lines(moves: DataFrame, lines: DataFrame, move: str = "move_id")
 def find_references(requests: DataFrame, moves: DataFrame, fields: list[str]) -> DataFrame:
     """ref and move id: first exact hits in any field; only refs without one look for moves that contain them.
 
-    The second pass compares the (few) references not found with every move; ``requests`` is a stated list, not a table.
+    The second pass compares every reference not found with every move, in a join without a key: its cost is their product.
     """
     each = F.explode(F.array(*[F.col(c) for c in fields]))
     exact = moves.select("id", each.alias("ref")).where("ref IS NOT NULL").join(requests.select("ref").distinct(), "ref").select("ref", "id").distinct()
     rest = requests.select("ref").distinct().join(exact.select("ref").distinct(), "ref", "left_anti")
-    missing = [r.ref for r in rest.limit(1000).collect()]
-    if not missing:
-        return exact.withColumn("how", F.lit("exact"))
-    text = F.lower(F.concat_ws("\n", *[F.col(c) for c in fields]))
-    hits = F.array(*[F.when(text.contains(m.lower()), F.lit(m)) for m in missing])
-    loose = moves.select("id", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("ref")).select("ref", "id")
+    text = moves.select("id", F.lower(F.concat_ws("\n", *[F.col(c) for c in fields])).alias("_text"))
+    loose = text.join(rest, F.col("_text").contains(F.lower("ref"))).select("ref", "id")
     return exact.withColumn("how", F.lit("exact")).unionByName(loose.withColumn("how", F.lit("contains")))
 
 

@@ -5,7 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scores
-from ledgerloom.operators import review
+from ledgerloom.operators import lookup, review
 
 
 def test_next_state(spark):
@@ -57,3 +57,10 @@ def test_alias(spark):
 def test_multi_label_mean(spark):
     found = spark.createDataFrame([(1, 0.5, [1, 1, 2]), (1, 0.5, [2])], "query_id long, score double, labels array<int>")
     assert {r.label: r.share for r in review.multi_label_mean(found, "labels").collect()} == {1: 0.5, 2: 1.0}
+
+
+def test_find_references_searches_all_not_found(spark):
+    moves = spark.createDataFrame([(k, f"note X{k:04d} end", None if k % 2 else f"ref-{k}") for k in range(1200)], "id long, name string, ref string")
+    asked = spark.createDataFrame([(f"x{k:04d}",) for k in range(1200)] + [("ref-8",), ("nothing",)], "ref string")
+    got = sorted((r.ref, r.id, r.how) for r in lookup.find_references(asked, moves, ["name", "ref"]).collect())
+    assert got == sorted([(f"x{k:04d}", k, "contains") for k in range(1200)] + [("ref-8", 8, "exact")])
