@@ -32,7 +32,11 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, n_unknown, score: pieces of every whole text under the unigram vocabulary."""
+    """doc_id, n_tokens, n_unknown, score: best pieces of every whole text, by the scores of a BPE file.
+
+    No unigram file is installed. These scores are negative merge ranks, not log probabilities: counts are not those of that
+    file's own encoder.
+    """
     return unigram.count_tokens(read_table(spark, sf_dir, "documents"), UNIGRAM_FILE)
 
 
