@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,11 @@ _IS_SPACE[list(WORD_SPACE.encode())] = True
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; where that is unset, a local one for a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -104,56 +107,99 @@ def words(run: Texts, is_space: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.
     return begin, end, np.searchsorted(begin, run.starts)
 
 
-_rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASK = (1 << 64) - 1
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so each has an inverse modulo 2**64
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads every bit."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+PRIME = np.uint64((1 << 61) - 1)
+_61, _31, _30 = np.uint64(61), np.uint64(31), np.uint64(30)
+_LOW31, _LOW30, _LOW32, _LOW29 = (np.uint64((1 << b) - 1) for b in (31, 30, 32, 29))
+BASES = (0x0B3A1D5C9E8F2471, 0x15D27F0A6C3B9E85)  # below the prime
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime."""
+    x = (x & PRIME) + (x >> _61)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, from halves of 31 and 30 bits."""
+    xh, xl, yh, yl = x >> _31, x & _LOW31, y >> _31, y & _LOW31
+    middle = xh * yl + xl * yh
+    return reduced(((xh * yh) << np.uint64(1)) + (middle >> _30) + ((middle & _LOW30) << _31) + xl * yl)
 
 
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, made longer when needed."""
+    """Powers of a base and of its inverse modulo the prime, made longer when needed."""
 
     def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.bases = (base, pow(base, -1, int(PRIME)))
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                a = np.full(n, b, np.uint64)
-                a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
+            tables = []
+            for b in self.bases:
+                a = np.ones(1, np.uint64)
+                while len(a) < n:
+                    a = np.concatenate([a, times(a, np.full(1, pow(b, len(a), int(PRIME)), np.uint64))])
+                tables.append(a)
+            self.up, self.down = tables
         return self.up, self.down
 
 
 _POWERS = [Powers(b) for b in BASES]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
-    return x
-
-
 class Prefix:
-    """Hashes of any slices of a sequence of 64-bit values, from one running sum."""
+    """Hashes of any slices of a sequence of 64-bit values, from one running sum: polynomials modulo 2**61 - 1."""
 
     def __init__(self, values: np.ndarray, which: int = 0):
-        self.powers, n = _POWERS[which], len(values)
-        up, self.down = self.powers.upto(n + 1)
+        n = len(values)
+        up, self.down = _POWERS[which].upto(n + 1)
+        terms = times(reduced(values), up[:n])
+        high, low = np.cumsum(terms >> np.uint64(32)), np.cumsum(terms & _LOW32)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * up[:n], out=self.sums[1:])
+        self.sums[1:] = reduced(((high & _LOW29) << np.uint64(32)) + (high >> np.uint64(29)) + low)
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
+        part = times(reduced(self.sums[end] + PRIME - self.sums[begin]), self.down[begin])
+        return mix(part + ((end - begin).astype(np.uint64) << _61))
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def byte_values(data: np.ndarray) -> np.ndarray:
-    return _BYTE[data]
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each word: words up to eight bytes are told apart exactly within their length, longer ones are chained by ``mix`` or, above 64 bytes, by XXH3."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = end - begin
+
+    def part(some: np.ndarray | slice, k: int) -> np.ndarray:
+        left = np.minimum(size[some] - 8 * k, 8).astype(np.uint64)
+        return eight[begin[some] + 8 * k] & (np.uint64(_MASK) >> (np.uint64(64) - np.uint64(8) * left))
+
+    out = mix(part(slice(None), 0) + size.astype(np.uint64) * _ODD)
+    for k in range(1, 8):
+        some = np.flatnonzero(size > 8 * k)
+        if not len(some):
+            return out
+        out[some] = mix((out[some] ^ part(some, k)) * _ODD + np.uint64(k))
+    raw = data.tobytes() if (size > 64).any() else b""
+    for i in np.flatnonzero(size > 64).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[begin[i] : end[i]])
+    return out
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

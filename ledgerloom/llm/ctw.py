@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, Texts, byte_values, cut, lower_ascii, partitions, texts, words
+from .common import Texts, cut, lower_ascii, partitions, texts, word_hashes, words
 
 DEPTH, SPLIT = 5, 3
 END = 0xFF  # the byte before and after a text
@@ -54,7 +54,7 @@ def grams(run: Texts, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_keys(run: Texts, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A key of every word and of every document's end, and each document's first place."""
     begin, end, first = words(Texts(run.rows, data, run.starts))
-    hashed = Prefix(byte_values(data)).of(begin, end) | WORD
+    hashed = word_hashes(data, begin, end) | WORD
     hashed[hashed == END_WORD] -= np.uint64(1)
     n = len(run)
     return np.insert(hashed, first[1:], END_WORD), first[:-1] + np.arange(n)

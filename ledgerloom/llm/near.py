@@ -11,7 +11,7 @@ no link between components is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, by_key, byte_values, cut, lower_ascii, mix, partitions, shared_path, texts, words
+from .common import by_key, cut, lower_ascii, mix, partitions, shared_path, texts, word_hashes, words
 
 SMALL_IDS = 1_000_000  # candidate ids up to which they are broadcast (8 bytes each); beyond it the join shuffles
 
@@ -39,21 +39,23 @@ class Near:
     best: int = 2  # partners of a member in the first pass over the blocks
 
 
+def chained(hashed: np.ndarray, width: int) -> np.ndarray:
+    """One hash of each ``width`` hashes in a row; every step is a bijection of the last hash, for a given one before."""
+    n = max(len(hashed) - width + 1, 0)
+    out = mix(hashed[:n] + np.uint64(width))
+    for k in range(1, width):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashed[k : n + k])
+    return out
+
+
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[slice, list[np.ndarray]]]:
     """Sorted distinct hashes of the shingles of each text of a run; texts of fewer words have one shingle, texts without words none."""
     for run in texts(column):
         begin, end, first = words(run)
-        hashed = Prefix(byte_values(lower_ascii(run.data))).of(begin, end)
-        sums = Prefix(hashed, 1)
-        out = []
-        for a, b in zip(first[:-1], first[1:]):
-            if b - a >= width:
-                at = np.arange(a, b - width + 1)
-                out.append(np.unique(sums.of(at, at + width)))
-            elif b > a:
-                out.append(sums.of(np.array([a]), np.array([b])))
-            else:
-                out.append(np.zeros(0, np.uint64))
+        hashed = word_hashes(lower_ascii(run.data), begin, end)
+        shingles, out = chained(hashed, width), []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            out.append(np.unique(shingles[a : b - width + 1]) if b - a >= width else chained(hashed[a:b], b - a) if b > a else np.zeros(0, np.uint64))
         yield run.rows, out
 
 
@@ -87,13 +89,17 @@ def least_matches(how: Near) -> list[tuple[int, int]]:
     return out
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("text"))
+
+
 def fingerprint(docs: DataFrame, how: Near, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), s and t (128 bits that name the set), bands (array of hashes) and sig (one byte of each minimum)."""
+    """id, x (hash of the text), n (set size), s and t (128 bits that name the set), bands (array of hashes) and sig (one byte of each minimum)."""
     total = how.bands * how.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows, sets in shingle_sets(b.column(1), how.width):
+            for rows, sets in shingle_sets(b.column(2), how.width):
                 full = [k for k, s in enumerate(sets) if len(s)]
                 names = np.zeros((len(sets), 2), np.uint64)
                 bands: list[np.ndarray | None] = [None] * len(sets)
@@ -113,11 +119,11 @@ def fingerprint(docs: DataFrame, how: Near, id_col: str, text_col: str) -> DataF
                     for i, k in enumerate(full):
                         bands[k], sig[k] = key[i].view(np.int64), short[i].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(rows.start, len(sets)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(names[:, c].view(np.int64)) for c in (0, 1)), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                    names=["id", "n", "s", "t", "bands", "sig"],
+                    [*(b.column(c).slice(rows.start, len(sets)) for c in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(names[:, c].view(np.int64)) for c in (0, 1)), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                    names=["id", "x", "n", "s", "t", "bands", "sig"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, s long, t long, bands array<long>, sig binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, x long, n long, s long, t long, bands array<long>, sig binary")
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -254,22 +260,44 @@ def _block_links(rest: DataFrame, sigs: DataFrame, body: DataFrame, how: Near, e
     ``every``: all pairs of the blocks count, else each row's likeliest partners in a block.
     """
     total, bounds = how.bands * how.rows, least_matches(how)
-    rows = _blocks(rest, sigs, how).join(body, "id").select("family", "p", "q", "left", "id", "comp", "n", "sig", "text")
-    # A block's work grows with its pairs, not its bytes, so a number of partitions is given: else small ones would be joined.
-    rows = rows.repartition(4 * partitions(rest.sparkSession), "family", "p", "q").sortWithinPartitions("family", "p", "q")
+    dealt = _written(_blocks(rest, sigs, how), "near-blocks")
+    number = 4 * partitions(rest.sparkSession)
 
-    def solve(block: pa.Table) -> pa.RecordBatch | None:
-        ids, comp, n = (np.asarray(block.column(c), np.int64) for c in ("id", "comp", "n"))
+    def pairs(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        comp, n = (np.asarray(block.column(c), np.int64) for c in ("comp", "n"))
         sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(-1, total)
-        i, j = _survivors(block.column("left").to_numpy().astype(bool), comp, n, sig, bounds, how, every)
+        return comp, *_survivors(block.column("left").to_numpy().astype(bool), comp, n, sig, bounds, how, every)
+
+    def used(block: pa.Table) -> pa.RecordBatch | None:
+        _, i, j = pairs(block)
         if not len(i):
             return None
-        used = np.unique(np.concatenate([i, j]))
-        sets = dict(zip(used.tolist(), (s for _, some in shingle_sets(block.column("text").take(pa.array(used)), how.width) for s in some)))
+        return block.select(["family", "p", "q", "id"]).take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()[0]
+
+    def solve(block: pa.Table) -> pa.RecordBatch | None:
+        comp, i, j = pairs(block)
+        if not len(i):
+            return None
+        ids = np.asarray(block.column("id"), np.int64)
+        some = np.unique(np.concatenate([i, j]))
+        sets = dict(zip(some.tolist(), (s for _, part in shingle_sets(block.column("text").take(pa.array(some)), how.width) for s in part)))
         found = np.array(_links_of(i, j, comp, sets, how), np.int64).reshape(-1, 2)
         a, b = ids[found[:, 0]], ids[found[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
+    # Only members that the signatures leave fetch their texts. A block's work grows with its pairs, not its bytes, so a number of
+    # partitions is given: else small ones would be joined.
+    def by_block(rows: DataFrame, of, schema: str) -> DataFrame:
+        return rows.repartition(number, "family", "p", "q").sortWithinPartitions("family", "p", "q", "left", "id").mapInArrow(_each_block(of), schema)
+
+    likely = cut(by_block(dealt, used, "family long, p int, q int, id long"))
+    rows = dealt.join(likely, ["family", "p", "q", "id"], "left_semi").join(body, "id").select("family", "p", "q", "left", "id", "comp", "n", "sig", "text")
+    return by_block(rows, solve, "a long, b long").distinct()
+
+
+def _each_block(of: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``of`` over the blocks of a partition that is sorted by them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
 
@@ -278,7 +306,7 @@ def _block_links(rest: DataFrame, sigs: DataFrame, body: DataFrame, how: Near, e
             family, p, q = (np.asarray(kept.column(c), np.int64) for c in ("family", "p", "q"))
             edges = [0, *(np.flatnonzero((family[1:] != family[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist(), *([len(family)] if last else [])]
             for x, y in zip(edges[:-1], edges[1:]):
-                got = solve(kept.slice(x, y - x))
+                got = of(kept.slice(x, y - x))
                 if got is not None:
                     yield got
             kept = kept.slice(edges[-1])
@@ -290,29 +318,35 @@ def _block_links(rest: DataFrame, sigs: DataFrame, body: DataFrame, how: Near, e
         if kept is not None and kept.num_rows:
             yield from blocks(True)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return run
 
 
 def near_components(docs: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, n_shingles, component_id (smallest id reachable by links, itself included), kept (it is that id).
 
     Null and wordless texts have empty sets, linked with nothing. Rows with a null id take no part: component null, kept true.
-    Rows that share an id are copies of one document; each has a row.
+    Rows that share an id are one document, each has a row; if their texts differ, one of them (the least by a hash of its set)
+    stands for the id where links are looked for, and a row whose set equals another document's joins that one's component too.
+    Ids have to be whole numbers.
     """
     spark = docs.sparkSession
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} has to hold whole numbers")
     prints = _written(fingerprint(docs, how, id_col, text_col), "near-prints")
     parts = prints.where("n > 0 AND id IS NOT NULL")
     sets = cut(parts.groupBy("s", "t").agg(F.min("id").alias("rep")))
-    first = parts.join(sets.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
+    first = parts.join(sets.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi")
+    first = first.groupBy("id").agg(F.min(F.struct("s", "t", "x", "n", "bands", "sig")).alias("_r")).select("id", "_r.x", "_r.n", "_r.bands", "_r.sig")
     every = first.select("id", F.explode("bands").alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1")
     buckets = _written(every.join(shared, "key").select("key", "id", "least"), "near-buckets")
     ids = cut(buckets.select("id").distinct())
     few = ids.count() <= SMALL_IDS
     some = (lambda t: F.broadcast(t)) if few else (lambda t: t)
-    sigs = _written(first.select("id", "n", "sig").join(some(ids), "id", "left_semi"), "near-sigs")
-    body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    body = _written(body.join(some(ids), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+    sigs = _written(first.select("id", "x", "n", "sig").join(some(ids), "id", "left_semi"), "near-sigs")
+    body = _texts(docs, id_col, text_col).join(some(sigs.select("id", "x")), ["id", "x"], "left_semi").select("id", "text")
+    body = _written(body.dropDuplicates(["id"]), "near-texts")
+    sigs = sigs.drop("x")
     tested = cut(buckets.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
     links = cut(_linked(_likely(tested, sigs, how), body, how))
     label = components(links)

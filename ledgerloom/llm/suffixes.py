@@ -1,7 +1,9 @@
 """Removal of repeated byte strings with suffix arrays.
 
 Windows of ``window`` bytes are gathered by their anchors (see ``anchors``), so that all windows that may be equal meet in one
-block; segments equal as a whole collapse to their earliest place before that. A block's segments are sorted into a suffix
+block; segments equal as a whole collapse to their earliest place before that. Where one anchor has more distinct segments than a
+block can hold, they are cut in halves by the anchor's distance from the window's start and gathered by the bytes that all windows
+of a half have, again and again, until a group fits or its windows are all one. A block's segments are sorted into a suffix
 array, and a breadth-first expansion of intervals by backward extension on its Burrows-Wheeler transform sets common-prefix
 lengths in increasing order. It stops at ``window``: neighbours whose common prefix has not been set by then share a window.
 In each run of such neighbours every window but the earliest is a repeat.
@@ -12,19 +14,23 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from .anchors import Segments, batch_rows, bloom_has, bloom_of, covered
-from .common import Prefix, byte_values, cut, mix, shared_path, texts
+from .anchors import Rolling, Segments, batch_rows, bloom_has, bloom_of, covered, key_type, keyed
+from .common import cut, mix, shared_path, texts
 
-BLOCK = 1 << 20  # bytes of segments in one suffix array
-CROWD = 256  # distinct segments of one anchor up to which they go to one block; the windows of larger groups are grouped one by one
+AT_ONCE = 1 << 17  # bytes of text whose windows are worked at one time
+BLOCK = 1 << 19  # bytes of segments in one suffix array, on average
+GROUP = 1 << 20  # bytes of distinct segments of one anchor up to which they go to one block as they are; larger groups are split first
 SEPARATOR = 256
+MASK = (1 << 64) - 1
 
 
 def suffix_array(symbols: np.ndarray, length: int) -> np.ndarray:
@@ -116,118 +122,166 @@ def joined(who: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return (who[first], off[first], off[last]) if len(who) else (who, off, off)
 
 
-def _segments(column: pa.Array, window: int, gram: int) -> Iterator[tuple[slice, Segments, Prefix, np.ndarray]]:
-    for run in texts(column):
-        sums = Prefix(byte_values(run.data))
-        yield run.rows, Segments(sums, run.starts, window, gram), sums, run.data
+def _segments(column: pa.Array, window: int, gram: int) -> Iterator[tuple[int, int, Segments, bytes]]:
+    """Number of the first document, its first byte, segments and bytes; a long text comes in parts that share ``window`` - 1 bytes."""
+    for run in texts(column, AT_ONCE):
+        long = len(run) == 1 and len(run.data) > AT_ONCE
+        for base in range(0, len(run.data), AT_ONCE) if long else (0,):
+            data = run.data[base : base + AT_ONCE + window - 1] if long else run.data
+            yield run.rows.start, base, Segments(Rolling(data), np.array([0, len(data)]) if long else run.starts, window, gram), data.tobytes()
 
 
-def _named(h: np.ndarray, seg: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """One hash of an occurrence of a segment; ``doc`` has hashes of ids."""
-    return mix((h * np.uint64(0x9E3779B97F4A7C15) ^ seg) * np.uint64(0xD6E8FEB86659FD93) + at.astype(np.uint64)) ^ doc
+def _two(values: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit numbers as two columns of longs."""
+    return np.array([v & MASK for v in values], np.uint64), np.array([v >> 64 for v in values], np.uint64)
+
+
+def _named(s: Segments, hit: np.ndarray, raw: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the bytes of segments."""
+    return _two([xxh3_128_intdigest(raw[x:y]) for x, y in zip(s.start[hit].tolist(), (s.start[hit] + s.n[hit] - 1 + window).tolist())])
+
+
+def _mark(h: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One hash of an occurrence of a segment; ``key`` has hashes of keys."""
+    return mix(h * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)) ^ key
 
 
 def _longs(column: pa.Array) -> np.ndarray:
     return np.asarray(column, np.int64).view(np.uint64)
 
 
+def _ordinal(keys: pa.StructArray) -> np.ndarray:
+    """Numbers in the order of the keys, as Spark orders them: null ids first."""
+    keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    ids = np.asarray(pa.compute.rank(keys.field("id"), null_placement="at_start", tiebreaker="dense"), np.int64)
+    t = np.asarray(keys.field("t"), np.int64)
+    order = np.lexsort((t, ids))
+    new = np.zeros(len(order), np.int64)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (t[order][1:] != t[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _halves(live: DataFrame, window: int) -> DataFrame:
+    """Segments of crowded groups, each cut in two by the anchor's distance from a window's start: the halves of low .. high.
+
+    All windows of a half contain the same piece around the anchor; its hash is the half's ``group``. Equal windows have equal
+    distances and pieces, so they meet in one group of the next round.
+    """
+
+    def run(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in some:
+            rows, columns = [], {c: [] for c in ("at", "n", "off", "low", "high", "group", "body")}
+            fields = [b.column(i).to_pylist() for i in range(1, 7)]
+            for i, (at, n, off, low, high, body) in enumerate(zip(*fields)):
+                middle = (low + high) // 2
+                for lo, hi in ((low, middle), (middle + 1, high)):
+                    first, last = max(off - hi, 0), min(off - lo, n - 1)  # windows from the segment's start
+                    if lo > hi or first > last:
+                        continue
+                    rows.append(i)
+                    group = xxh3_64_intdigest(body[off - lo : off + window - hi], seed=lo * 4096 + hi)
+                    for c, v in zip(columns, (at + first, last - first + 1, off - first, lo, hi, group - (1 << 64) if group >> 63 else group, body[first : last + window])):
+                        columns[c].append(v)
+            kinds = dict(zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())))
+            names = _two([xxh3_128_intdigest(x) for x in columns["body"]])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(v, kinds[c]) for c, v in columns.items()), *(pa.array(v.view(np.int64)) for v in names)], names=["key", *columns, "s1", "s2"])
+
+    schema = f"key {key_type(live)}, at int, n int, off int, low int, high int, group long, body binary, s1 long, s2 long"
+    return live.select("key", "at", "n", "off", "low", "high", "body").mapInArrow(run, schema)
+
+
 def repeated_ranges(docs: DataFrame, window: int = 100, gram: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, starts, ends: ranges of bytes covered by windows that also start earlier (smaller id, or same document further up)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["id"]
+    """key, starts, ends: ranges of bytes covered by windows that also start earlier (smaller key, or same document further up)."""
+    spark, span = docs.sparkSession, F.col("n") - 1 + window
+    rows = keyed(docs, id_col, text_col)
+    kind = key_type(rows)
 
     def anchors(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some:
-            for _, s, _, _ in _segments(b.column(0), window, gram):
-                for first in range(0, len(s.h), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(s.h[first : first + 50_000].view(np.int64))], names=["h"])
+            for _, _, s, _ in _segments(b.column(0), window, gram):
+                yield pa.RecordBatch.from_arrays([pa.array(s.h.view(np.int64))], names=["h"])
 
     met = cut(rows.select("text").mapInArrow(anchors, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    bloom = spark.sparkContext.broadcast(bloom_of(met, "h"))
+    bloom = spark.sparkContext.broadcast(bloom_of(met, F.col("h")))
 
     def candidates(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some:
-            for at, s, _, _ in _segments(b.column(1), window, gram):
-                hit = bloom_has(bloom.value, s.h)
-                yield from batch_rows(b.column(0), s.doc[hit] + at.start, {"at": s.at[hit].astype(np.int32), "n": s.n[hit].astype(np.int32), "h": s.h[hit], "seg": s.seg[hit]})
-
-    path = shared_path(spark, "segments")
-    rows.mapInArrow(candidates, f"id {kind}, at int, n int, h long, seg long").join(met, "h", "left_semi").write.parquet(path)
-    found = spark.read.parquet(path)
-    firsts = cut(found.groupBy("h", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c"), F.first("n").alias("n")))
-    crowd = cut(firsts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))
-    # Later occurrences of a whole segment.
-    again = found.join(firsts.where("c > 1").select("h", "seg", "first"), ["h", "seg"]).where("struct(id, at) != first")
-    again = again.select("id", F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + window).alias("b"))
-    # The earliest occurrence of each segment whose anchor has several: these go to the blocks, or are taken apart.
-    chosen = firsts.join(crowd, "h").select("h", "seg", F.col("first.id").alias("id"), F.col("first.at").alias("at"), "n", (F.col("k") > CROWD).alias("large"))
-    chosen = cut(chosen)
+            for doc, base, s, raw in _segments(b.column(1), window, gram):
+                hit = np.flatnonzero(bloom_has(bloom.value, s.h))
+                s1, s2 = _named(s, hit, raw, window)
+                yield from batch_rows(b.column(0), s.doc[hit] + doc, {"at": (s.at[hit] + base).astype(np.int32), "n": s.n[hit].astype(np.int32), "h": s.h[hit], "s1": s1, "s2": s2})
+
+    found = _written(rows.mapInArrow(candidates, f"key {kind}, at int, n int, h long, s1 long, s2 long").join(met, "h", "left_semi"), "segments")
+    # Copies of a segment collapse to the earliest, before anything is brought together.
+    firsts = cut(found.groupBy("h", "s1", "s2").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("c"), F.first("n").alias("n")))
+    again = found.join(firsts.where("c > 1").select("h", "s1", "s2", "first"), ["h", "s1", "s2"]).where("struct(key, at) != first")
+    results = [again.select("key", F.col("at").alias("a"), (F.col("at") + span).alias("b"))]
+    crowd = firsts.groupBy("h").agg(F.count("*").alias("k"), F.sum(span).alias("bytes")).where("k > 1")
+    chosen = cut(firsts.join(crowd, "h").select("h", "first.key", "first.at", "n", "bytes"))
 
     def marks(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some:
-            mark = _named(_longs(b.column(0)), _longs(b.column(1)), np.asarray(b.column(2), np.int64), _longs(b.column(3)))
-            yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64))], names=["mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(_mark(_longs(b.column(0)), np.asarray(b.column(1), np.int64), _longs(b.column(2))).view(np.int64))], names=["mark"])
 
-    hashed = F.xxhash64("id").alias("doc")
-    small = spark.sparkContext.broadcast(bloom_of(chosen.where("NOT large").select("h", "seg", "at", hashed).mapInArrow(marks, "mark long"), "mark"))
-    large = spark.sparkContext.broadcast(bloom_of(chosen.where("large").select("h", "seg", "at", hashed).mapInArrow(marks, "mark long"), "mark"))
-    rows = rows.select("id", "text", hashed)
+    wanted = spark.sparkContext.broadcast(bloom_of(chosen.select("h", "at", F.xxhash64("key").alias("t")).mapInArrow(marks, "mark long"), F.col("mark")))
 
     def bodies(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some:
-            for at, s, _, data in _segments(b.column(1), window, gram):
-                hit = np.flatnonzero(bloom_has(small.value, _named(s.h, s.seg, s.at, _longs(b.column(2))[s.doc + at.start])))
-                raw = data.tobytes()
+            for doc, base, s, raw in _segments(b.column(1), window, gram):
+                hit = np.flatnonzero(bloom_has(wanted.value, _mark(s.h, s.at + base, _longs(b.column(2))[s.doc + doc])))
                 parts = [raw[x:y] for x, y in zip(s.start[hit].tolist(), (s.start[hit] + s.n[hit] - 1 + window).tolist())]
-                yield from batch_rows(b.column(0), s.doc[hit] + at.start, {"at": s.at[hit].astype(np.int32), "n": s.n[hit].astype(np.int32), "h": s.h[hit], "seg": s.seg[hit], "body": pa.array(parts, pa.binary())}, 5_000)
-
-    # The filter lets a few more through: the join leaves one body for each distinct (h, seg), as ``size`` has counted them.
-    body = rows.mapInArrow(bodies, f"id {kind}, at int, n int, h long, seg long, body binary")
-    body = body.join(chosen.where("NOT large").select("h", "seg", "id", "at"), ["h", "seg", "id", "at"], "left_semi")
-    size = chosen.where("NOT large").agg(F.sum(F.col("n") + window)).first()[0] or 0
-    n_blocks = max(1, math.ceil(size / BLOCK))
+                yield from batch_rows(b.column(0), s.doc[hit] + doc, {"at": (s.at[hit] + base).astype(np.int32), "n": s.n[hit].astype(np.int32), "off": s.off[hit].astype(np.int32), "h": s.h[hit], "body": pa.array(parts, pa.binary())}, 5_000)
+
+    body = rows.select("key", "text", F.xxhash64("key").alias("t")).mapInArrow(bodies, f"key {kind}, at int, n int, off int, h long, body binary")
+    body = _written(body.join(chosen.select("h", "key", "at", "bytes"), ["h", "key", "at"]).dropDuplicates(["h", "key", "at"]), "bodies")
+    columns = ["key", "at", "n", "group", "body"]
+    blocks = [body.where(F.col("bytes") <= GROUP).withColumnRenamed("h", "group").select(*columns)]
+    live = body.where(F.col("bytes") > GROUP).select("key", "at", "n", "off", F.lit(0).alias("low"), F.lit(window - gram).alias("high"), "body")
+    # Groups too large for a block: each round halves the distances, until a group's windows are all one.
+    while not live.isEmpty():
+        parts = _written(_halves(live, window), "halves")
+        name = ["group", "s1", "s2"]
+        heads = cut(parts.groupBy(*name).agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("c"), F.first("n").alias("n")))
+        later = parts.join(heads.where("c > 1").select(*name, "first"), name).where("struct(key, at) != first")
+        results.append(later.select("key", F.col("at").alias("a"), (F.col("at") + span).alias("b")))
+        size = heads.groupBy("group").agg(F.count("*").alias("k"), F.sum(span).alias("bytes")).where("k > 1")
+        left = parts.join(heads.join(size, "group").select(*name, "first.key", "first.at", "bytes"), [*name, "key", "at"]).dropDuplicates([*name, "key", "at"])
+        left = _written(left, "left")
+        blocks.append(left.where(F.col("bytes") <= GROUP).select(*columns))
+        live = left.where(F.col("bytes") > GROUP).select("key", "at", "n", "off", "low", "high", "body")
+    body = reduce(DataFrame.unionByName, blocks)
+    n_blocks = max(1, math.ceil((body.agg(F.sum(F.length("body"))).first()[0] or 0) / BLOCK))
 
     def solve(table: pa.Table) -> pa.Table:
-        n = np.asarray(table.column("n"), np.int64)
-        ids, at = table.column("id"), np.asarray(table.column("at"), np.int64)
-        number = np.asarray(pa.compute.rank(ids.combine_chunks(), tiebreaker="dense"), np.int64)
-        who, off = repeats_in_block(table.column("body").to_pylist(), number, at, n, window)
+        n, keys, at = np.asarray(table.column("n"), np.int64), table.column("key"), np.asarray(table.column("at"), np.int64)
+        who, off = repeats_in_block(table.column("body").to_pylist(), _ordinal(keys), at, n, window)
         who, first, last = joined(who, off)
-        return pa.table([ids.take(pa.array(who)), pa.array((at[who] + first).astype(np.int32)), pa.array((at[who] + last + window).astype(np.int32))], names=["id", "a", "b"])
+        return pa.table([keys.take(pa.array(who)), pa.array((at[who] + first).astype(np.int32)), pa.array((at[who] + last + window).astype(np.int32))], names=["key", "a", "b"])
 
-    keyed = body.select(F.pmod(F.xxhash64("h"), F.lit(n_blocks)).alias("block"), "id", "at", "n", "body")
-    within = keyed.groupBy("block").applyInArrow(solve, f"id {kind}, a int, b int")
-
-    def single(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in some:
-            for at, s, sums, data in _segments(b.column(1), window, gram):
-                hit = np.flatnonzero(bloom_has(large.value, _named(s.h, s.seg, s.at, _longs(b.column(2))[s.doc + at.start])))
-                if not len(hit):
-                    continue
-                other = Prefix(byte_values(data), 1)
-                n = s.n[hit]
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = np.repeat(s.start[hit], n) + step
-                yield from batch_rows(b.column(0), np.repeat(s.doc[hit], n) + at.start, {"at": (np.repeat(s.at[hit], n) + step).astype(np.int32), "x": sums.of(start, start + window), "y": other.of(start, start + window)})
-
-    path = shared_path(spark, "windows")
-    rows.mapInArrow(single, f"id {kind}, at int, x long, y long").write.parquet(path)
-    each = spark.read.parquet(path)
-    heads = each.groupBy("x", "y").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    apart = each.join(heads, ["x", "y"]).where("struct(id, at) != first").select("id", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
-    ranges = again.unionByName(within).unionByName(apart).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("r"))
-    return ranges.select("id", F.col("r.a").alias("starts"), F.col("r.b").alias("ends"))
+    block = F.pmod(F.xxhash64("group"), F.lit(n_blocks)).alias("block")
+    results.append(body.select(block, "key", "at", "n", "body").groupBy("block").applyInArrow(solve, f"key {kind}, a int, b int"))
+    ranges = reduce(DataFrame.unionByName, results).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("r"))
+    return ranges.select("key", F.col("r.a").alias("starts"), F.col("r.b").alias("ends"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", texts_out: bool = False, gram: int = 20) -> DataFrame:
     """One row for each input row: id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (binary) with ``texts_out``.
 
-    A null text counts as empty. Ids are taken to be unique and not null; rows of equal ids share their removed ranges.
+    A null text counts as empty; long texts are worked in parts. Rows of one id and unlike texts are documents of their own, in the
+    order of a hash of their texts; null ids come before all others. Rows equal in id and text are one document read twice: they
+    share their result. Only the two named columns are read.
     """
     ranges = repeated_ranges(docs, window, gram, id_col, text_col)
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ranges, "id", "left")
+    rows = keyed(docs, id_col, text_col).join(ranges, "key", "left").select(F.col("key.id").alias("id"), "text", "starts", "ends")
 
     def run(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some:

@@ -56,23 +56,64 @@ def test_op1(spark, docs, window, gram):
 
 def test_op1_index_runs(spark):
     index = substrings.FingerprintIndex(spark, buckets=3, most_runs=2)
-    batches = [[1, 2, 2, 3], [3, 4], [5, 1], [6, 6, 7]]
-    seen: Counter = Counter()
+    batches = [[(1, 5), (2, 5), (2, 4), (3, 9)], [(3, 8), (4, 1)], [(5, 1), (1, 5)], [(6, 2), (6, 2), (7, 0)]]
+    seen: list = []
     for b in batches:
-        hits = {r.h: (r.n, r.before) for r in index.add(spark.createDataFrame([(x,) for x in b], "h long")).collect()}
-        now = Counter(b)
-        assert hits == {h: (n, seen[h]) for h, n in now.items() if n + seen[h] > 1}
-        seen += now
+        hits = {r.h: (r.c, r.low, r.high) for r in index.add(spark.createDataFrame(b, "h long, x long")).collect()}
+        seen += b
+        of = {h: [x for g, x in seen if g == h] for h, _ in b}
+        assert hits == {h: (len(x), min(x), max(x)) for h, x in of.items() if len(x) > 1}
         assert len(index.runs) <= 2
     index.compact()
-    assert {r.h: r.n for r in spark.table(index.runs[0]).collect()} == dict(seen)
+    assert {r.h: r.c for r in spark.table(index.runs[0]).collect()} == dict(Counter(h for h, _ in seen))
     index.drop()
     assert index.runs == []
 
 
-@pytest.mark.parametrize("window,gram,crowd", [(100, 20, 256), (12, 4, 256), (12, 4, 2)])
-def test_op2(spark, docs, monkeypatch, window, gram, crowd):
-    monkeypatch.setattr(suffixes, "CROWD", crowd)
+def test_op1_incremental(spark):
+    """Batches through one index: each loses what it has in common with itself and with all before."""
+    index, done = substrings.FingerprintIndex(spark, buckets=3, most_runs=2), None
+    shared = cases.passage(1, 60)
+    steps = [
+        {1: "first " + shared + " end", 2: cases.passage(2, 90)},
+        {3: cases.passage(9, 20) + " " + shared[:250] + " other", 4: cases.passage(2, 90), 5: cases.passage(7, 50)},
+        {6: "x " + cases.passage(7, 50) + " y", 7: shared, 8: cases.passage(13, 45) + " - " + cases.passage(13, 45), 9: None},
+    ]
+    seen: Counter = Counter()
+    for step in steps:
+        docs = spark.createDataFrame(list(step.items()), "doc_id long, text string")
+        got = by_id(substrings.remove_repeats(docs, index=index, history=done, texts_out=True, batches=2))
+        done = docs if done is None else done.unionByName(docs)
+        words = {i: WORD.findall(t or "") for i, t in step.items()}
+        seen += Counter(tuple(w[k : k + 35]) for w in words.values() for k in range(len(w) - 34))
+        for i, w in words.items():
+            bad = cover(len(w), [(k, k + 35) for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1])
+            assert got[i].kept == " ".join(x for x, b in zip(w, bad) if not b), i
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(docs, index=index)
+    index.drop()
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words that polynomials modulo a power of two don't tell apart."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_alike_words_apart(spark):
+    a, b = thue_morse(1024)
+    rest = cases.passage(3, 34)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {rest}"), (4, f"{b} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near.near_components(docs.where("doc_id < 3")).collect()} == {1: 1, 2: 2}
+    assert {r.n_removed for r in substrings.remove_repeats(docs).collect()} == {0}
+    assert {r.n_known for r in ctw.score(docs.where("doc_id < 3")).collect()} == {1 + (zlib.crc32(b"%d" % i) % 7 != 2) for i in (1, 2)}
+
+
+@pytest.mark.parametrize("how", [{}, {"AT_ONCE": 300}, {"AT_ONCE": 300, "GROUP": 200, "BLOCK": 500}, {"GROUP": 0}])
+@pytest.mark.parametrize("window,gram", [(100, 20), (12, 4)])
+def test_op2(spark, docs, monkeypatch, window, gram, how):
+    for name, value in how.items():
+        monkeypatch.setattr(suffixes, name, value)
     got = by_id(suffixes.remove_repeats(docs, window, gram=gram, texts_out=True))
     seen: set = set()
     assert len(got) == len(TEXTS)
@@ -415,13 +456,31 @@ def test_empty_tables(spark):
 
 
 def test_rows_repeated_and_null_ids(spark):
-    """Every row has a result; rows that share an id share it."""
+    """Every row has a result."""
     rows = [(1, cases.passage(3, 60), "en", "a")] * 2 + [(None, cases.passage(4, 60), "en", "a"), (2, None, "en", "a")]
     df = spark.createDataFrame(rows, cases.SCHEMA)
     for out in (substrings.remove_repeats(df), suffixes.remove_repeats(df), ctw.score(df), bpe.encode_documents(df, BPE_FILE), near.near_components(df), quality.judge(df), lines.dedup_lines(df), unigram.count_tokens(df, UNIGRAM_FILE)):
         assert out.count() == 4
 
 
+def test_rows_of_one_id_and_null_ids_by_value(spark):
+    """Rows that share an id or have none are documents of their own if their texts differ."""
+    long, other = cases.passage(5, 80), cases.passage(9, 50)
+    rows = [(1, "short"), (1, long), (2, long), (None, other), (7, other), (None, "short"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.remove_repeats(df).collect())
+    assert got == sorted([(1, 1, 0), (1, 80, 80), (2, 80, 80), (0, 50, 50), (7, 50, 50), (0, 1, 0), (0, 0, 0)])
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(df).collect())
+    n, m = len(long), len(other)
+    assert got == sorted([(1, 5, 0), (1, n, 0), (2, n, n), (0, m, 0), (7, m, m), (0, 5, 0), (0, 0, 0)])
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near.near_components(df, near.Near(width=2)).collect())
+    sizes = {t: len(set(zip(t.split(), t.split()[1:]))) for t in (long, other)}
+    assert got == sorted([(1, 1, 1, True), (1, sizes[long], 1, True), (2, sizes[long], 1, False), (0, sizes[other], 0, True), (7, sizes[other], 7, True), (0, 1, 0, True), (0, 0, 0, True)])
+    same = spark.createDataFrame([(3, long)] * 2, "doc_id long, text string")
+    assert [r.n_removed for r in suffixes.remove_repeats(same).collect()] == [0, 0]  # one document read twice
+    assert [r.n_removed for r in substrings.remove_repeats(same).collect()] == [80, 80]
+
+
 def test_filters_keep_columns(spark, docs):
     assert quality.keep_good(docs).columns == docs.columns
     assert near.drop_near(docs).columns == docs.columns
