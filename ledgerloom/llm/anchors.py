@@ -23,9 +23,9 @@ _PLACE = np.uint64((1 << 28) - 1)
 
 
 class Slices(Protocol):
-    """Hashes of slices of a sequence."""
+    """Hashes of all slices of one width of a sequence."""
 
-    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray: ...
+    def grams(self, width: int) -> np.ndarray: ...
 
 
 _BYTE = np.random.default_rng(0x5EED).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,10 +46,14 @@ class Rolling:
                 a[0] = 1
                 setattr(Rolling, name, np.multiply.accumulate(a))
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(_BYTE[data] * Rolling.up[: n - 1], out=self.sums[1:])
+        terms = _BYTE[data]
+        terms *= Rolling.up[: n - 1]
+        np.cumsum(terms, out=self.sums[1:])
 
-    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[begin]) * Rolling.down[begin] + (end - begin).astype(np.uint64))
+    def grams(self, width: int) -> np.ndarray:
+        out = self.sums[width:] - self.sums[:-width]
+        out *= Rolling.down[: len(out)]
+        return out
 
 
 class Segments:
@@ -59,33 +63,33 @@ class Segments:
 
     def __init__(self, sums: Slices, first: np.ndarray, window: int, gram: int):
         total = int(first[-1])
-        sizes = np.diff(first)
-        w = window - gram + 1
-        grams = total - gram + 1
-        counts = np.maximum(sizes - window + 1, 0)  # windows of each document
-        if grams < w or not counts.any():
+        w, places = window - gram + 1, total - window + 1
+        if places < 1:
             for name in self.__slots__:
                 setattr(self, name, np.zeros(0, np.uint64 if name == "h" else np.int64))
             return
-        place = np.arange(grams)
-        value = sums.of(place, place + gram)
-        low = (value & ~_PLACE) | place.astype(np.uint64)  # ties go to the left
+        value = sums.grams(gram)
+        low = (value & ~_PLACE) | np.arange(len(value), dtype=np.uint64)  # ties go to the left
         span = 1
         while span * 2 <= w:
             low = np.minimum(low[: len(low) - span], low[span:])
             span *= 2
         if span < w:
             low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
-        doc = np.repeat(np.arange(len(sizes)), counts)
-        start = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + first[:-1][doc]
-        anchor = (low[start] & _PLACE).astype(np.int64)
-        new = np.ones(len(start), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-        begin = np.flatnonzero(new)
-        self.n = np.diff(np.append(begin, len(start)))
-        self.start, self.doc = start[begin], doc[begin]
-        self.at = self.start - first[:-1][self.doc]
-        self.h, self.off = value[anchor[begin]], anchor[begin] - self.start
+        low &= _PLACE
+        new = np.ones(places, bool)
+        np.not_equal(low[1:], low[:-1], out=new[1:])
+        new[first[first < places]] = True
+        past = first[1:] - window + 1  # the first windows that would reach into the next document
+        new[past[(past >= 0) & (past < places)]] = True
+        start = np.flatnonzero(new)
+        n = np.diff(np.append(start, places))
+        doc = np.searchsorted(first, start, "right") - 1
+        inside = start + window <= first[doc + 1]
+        self.start, self.n, self.doc = start[inside], n[inside], doc[inside]
+        self.at = self.start - first[self.doc]
+        anchor = low[self.start].astype(np.int64)
+        self.h, self.off = value[anchor], anchor - self.start
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -177,6 +177,12 @@ class Prefix:
         return mix(part + ((end - begin).astype(np.uint64) << _61))
 
 
+    def grams(self, width: int) -> np.ndarray:
+        """Hashes of all slices of ``width`` values."""
+        part = times(reduced(self.sums[width:] + PRIME - self.sums[:-width]), self.down[: len(self.sums) - width])
+        return mix(part + (np.uint64(width) << _61))
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

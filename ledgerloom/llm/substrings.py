@@ -73,7 +73,7 @@ class FingerprintIndex:
 
 def _segments(column: pa.Array, window: int, gram: int) -> Iterator[tuple[int, int, Segments, np.ndarray, Prefix]]:
     """Number of the first document, its first word, segments, hashes of words and their sums; a long text comes in parts that share ``window`` - 1 words."""
-    for run in texts(column, 1 << 19):
+    for run in texts(column, 1 << 18):
         begin, end, first = words(run)
         hashed = word_hashes(run.data, begin, end)
         if len(run) > 1:

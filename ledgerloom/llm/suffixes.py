@@ -26,7 +26,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 from .anchors import Rolling, Segments, batch_rows, bloom_has, bloom_of, covered, key_type, keyed
 from .common import cut, mix, shared_path, texts
 
-AT_ONCE = 1 << 17  # bytes of text whose windows are worked at one time
+AT_ONCE = 1 << 15  # bytes of text whose windows are worked at one time
 BLOCK = 1 << 19  # bytes of segments in one suffix array, on average
 GROUP = 1 << 20  # bytes of distinct segments of one anchor up to which they go to one block as they are; larger groups are split first
 SEPARATOR = 256
