@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
+from xxhash import xxh3_64_intdigest
 
 from .anchors import Rolling, Segments, batch_rows, bloom_has, bloom_of, covered, key_type, keyed
 from .common import cut, mix, shared_path, texts
@@ -30,7 +30,6 @@ AT_ONCE = 1 << 15  # bytes of text whose windows are worked at one time
 BLOCK = 1 << 19  # bytes of segments in one suffix array, on average
 GROUP = 1 << 20  # bytes of distinct segments of one anchor up to which they go to one block as they are; larger groups are split first
 SEPARATOR = 256
-MASK = (1 << 64) - 1
 
 
 def suffix_array(symbols: np.ndarray, length: int) -> np.ndarray:
@@ -131,14 +130,12 @@ def _segments(column: pa.Array, window: int, gram: int) -> Iterator[tuple[int, i
             yield run.rows.start, base, Segments(Rolling(data), np.array([0, len(data)]) if long else run.starts, window, gram), data.tobytes()
 
 
-def _two(values: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit numbers as two columns of longs."""
-    return np.array([v & MASK for v in values], np.uint64), np.array([v >> 64 for v in values], np.uint64)
+def _names(bodies: list[bytes]) -> np.ndarray:
+    return np.array(list(map(xxh3_64_intdigest, bodies)), np.uint64)
 
 
-def _named(s: Segments, hit: np.ndarray, raw: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of the bytes of segments."""
-    return _two([xxh3_128_intdigest(raw[x:y]) for x, y in zip(s.start[hit].tolist(), (s.start[hit] + s.n[hit] - 1 + window).tolist())])
+def _bodies(s: Segments, hit: np.ndarray, raw: bytes, window: int) -> list[bytes]:
+    return [raw[x:y] for x, y in zip(s.start[hit].tolist(), (s.start[hit] + s.n[hit] - 1 + window).tolist())]
 
 
 def _mark(h: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -191,10 +188,9 @@ def _halves(live: DataFrame, window: int) -> DataFrame:
                     for c, v in zip(columns, (at + first, last - first + 1, off - first, lo, hi, group - (1 << 64) if group >> 63 else group, body[first : last + window])):
                         columns[c].append(v)
             kinds = dict(zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())))
-            names = _two([xxh3_128_intdigest(x) for x in columns["body"]])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(v, kinds[c]) for c, v in columns.items()), *(pa.array(v.view(np.int64)) for v in names)], names=["key", *columns, "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(v, kinds[c]) for c, v in columns.items()), pa.array(_names(columns["body"]).view(np.int64))], names=["key", *columns, "s"])
 
-    schema = f"key {key_type(live)}, at int, n int, off int, low int, high int, group long, body binary, s1 long, s2 long"
+    schema = f"key {key_type(live)}, at int, n int, off int, low int, high int, group long, body binary, s long"
     return live.select("key", "at", "n", "off", "low", "high", "body").mapInArrow(run, schema)
 
 
@@ -216,49 +212,59 @@ def repeated_ranges(docs: DataFrame, window: int = 100, gram: int = 20, id_col:
         for b in some:
             for doc, base, s, raw in _segments(b.column(1), window, gram):
                 hit = np.flatnonzero(bloom_has(bloom.value, s.h))
-                s1, s2 = _named(s, hit, raw, window)
-                yield from batch_rows(b.column(0), s.doc[hit] + doc, {"at": (s.at[hit] + base).astype(np.int32), "n": s.n[hit].astype(np.int32), "h": s.h[hit], "s1": s1, "s2": s2})
-
-    found = _written(rows.mapInArrow(candidates, f"key {kind}, at int, n int, h long, s1 long, s2 long").join(met, "h", "left_semi"), "segments")
-    # Copies of a segment collapse to the earliest, before anything is brought together.
-    firsts = cut(found.groupBy("h", "s1", "s2").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("c"), F.first("n").alias("n")))
-    again = found.join(firsts.where("c > 1").select("h", "s1", "s2", "first"), ["h", "s1", "s2"]).where("struct(key, at) != first")
+                yield from batch_rows(b.column(0), s.doc[hit] + doc, {"at": (s.at[hit] + base).astype(np.int32), "n": s.n[hit].astype(np.int32), "h": s.h[hit], "s": _names(_bodies(s, hit, raw, window))})
+
+    # Made from the texts twice rather than kept: that costs less than what it would take of the disk.
+    found = rows.mapInArrow(candidates, f"key {kind}, at int, n int, h long, s long")
+    # Copies of a segment (by 64 bits of XXH3 beside the anchor's) collapse to the earliest, before anything is brought together.
+    firsts = found.groupBy("h", "s").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("c"), F.first("n").alias("n"))
+    firsts = cut(firsts)
+    again = found.join(firsts.where("c > 1").select("h", "s", "first"), ["h", "s"]).where("struct(key, at) != first")
     results = [again.select("key", F.col("at").alias("a"), (F.col("at") + span).alias("b"))]
     crowd = firsts.groupBy("h").agg(F.count("*").alias("k"), F.sum(span).alias("bytes")).where("k > 1")
-    chosen = cut(firsts.join(crowd, "h").select("h", "first.key", "first.at", "n", "bytes"))
+    chosen = cut(firsts.join(crowd, "h").select("h", "first.key", "first.at", "n", (F.col("bytes") > GROUP).alias("large")))
+    sizes = {r.large: (r.rows, r.bytes) for r in chosen.groupBy("large").agg(F.count("*").alias("rows"), F.sum(span).alias("bytes")).collect()}
 
-    def marks(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in some:
-            yield pa.RecordBatch.from_arrays([pa.array(_mark(_longs(b.column(0)), np.asarray(b.column(1), np.int64), _longs(b.column(2))).view(np.int64))], names=["mark"])
+    def bodies(large: bool) -> DataFrame:
+        """The chosen segments with their bytes, each once: what the filter lets through beside them is dropped by a join."""
+        some = chosen.where(F.col("large") == large)
 
-    wanted = spark.sparkContext.broadcast(bloom_of(chosen.select("h", "at", F.xxhash64("key").alias("t")).mapInArrow(marks, "mark long"), F.col("mark")))
+        def marks(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in some:
+                yield pa.RecordBatch.from_arrays([pa.array(_mark(_longs(b.column(0)), np.asarray(b.column(1), np.int64), _longs(b.column(2))).view(np.int64))], names=["mark"])
 
-    def bodies(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in some:
-            for doc, base, s, raw in _segments(b.column(1), window, gram):
-                hit = np.flatnonzero(bloom_has(wanted.value, _mark(s.h, s.at + base, _longs(b.column(2))[s.doc + doc])))
-                parts = [raw[x:y] for x, y in zip(s.start[hit].tolist(), (s.start[hit] + s.n[hit] - 1 + window).tolist())]
-                yield from batch_rows(b.column(0), s.doc[hit] + doc, {"at": (s.at[hit] + base).astype(np.int32), "n": s.n[hit].astype(np.int32), "off": s.off[hit].astype(np.int32), "h": s.h[hit], "body": pa.array(parts, pa.binary())}, 5_000)
-
-    body = rows.select("key", "text", F.xxhash64("key").alias("t")).mapInArrow(bodies, f"key {kind}, at int, n int, off int, h long, body binary")
-    body = _written(body.join(chosen.select("h", "key", "at", "bytes"), ["h", "key", "at"]).dropDuplicates(["h", "key", "at"]), "bodies")
-    columns = ["key", "at", "n", "group", "body"]
-    blocks = [body.where(F.col("bytes") <= GROUP).withColumnRenamed("h", "group").select(*columns)]
-    live = body.where(F.col("bytes") > GROUP).select("key", "at", "n", "off", F.lit(0).alias("low"), F.lit(window - gram).alias("high"), "body")
+        wanted = spark.sparkContext.broadcast(bloom_of(some.select("h", "at", F.xxhash64("key").alias("t")).mapInArrow(marks, "mark long"), F.col("mark")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for doc, base, s, raw in _segments(b.column(1), window, gram):
+                    hit = np.flatnonzero(bloom_has(wanted.value, _mark(s.h, s.at + base, _longs(b.column(2))[s.doc + doc])))
+                    columns = {"at": (s.at[hit] + base).astype(np.int32), "n": s.n[hit].astype(np.int32), "off": s.off[hit].astype(np.int32), "h": s.h[hit]}
+                    yield from batch_rows(b.column(0), s.doc[hit] + doc, columns | {"body": pa.array(_bodies(s, hit, raw, window), pa.binary())}, 5_000)
+
+        body = rows.select("key", "text", F.xxhash64("key").alias("t")).mapInArrow(run, f"key {kind}, at int, n int, off int, h long, body binary")
+        return body.join(some.select("h", "key", "at"), ["h", "key", "at"], "left_semi").dropDuplicates(["h", "key", "at"])
+
+    columns, total = ["key", "at", "n", "group", "body"], sizes.get(False, (0, 0))[1]
+    blocks, live = [bodies(False).withColumnRenamed("h", "group").select(*columns)], None
+    if True in sizes:
+        live = _written(bodies(True).select("key", "at", "n", "off", F.lit(0).alias("low"), F.lit(window - gram).alias("high"), "body"), "crowds")
     # Groups too large for a block: each round halves the distances, until a group's windows are all one.
-    while not live.isEmpty():
+    while live is not None:
         parts = _written(_halves(live, window), "halves")
-        name = ["group", "s1", "s2"]
-        heads = cut(parts.groupBy(*name).agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("c"), F.first("n").alias("n")))
-        later = parts.join(heads.where("c > 1").select(*name, "first"), name).where("struct(key, at) != first")
+        heads = cut(parts.groupBy("group", "s").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("c"), F.first("n").alias("n")))
+        later = parts.join(heads.where("c > 1").select("group", "s", "first"), ["group", "s"]).where("struct(key, at) != first")
         results.append(later.select("key", F.col("at").alias("a"), (F.col("at") + span).alias("b")))
         size = heads.groupBy("group").agg(F.count("*").alias("k"), F.sum(span).alias("bytes")).where("k > 1")
-        left = parts.join(heads.join(size, "group").select(*name, "first.key", "first.at", "bytes"), [*name, "key", "at"]).dropDuplicates([*name, "key", "at"])
-        left = _written(left, "left")
-        blocks.append(left.where(F.col("bytes") <= GROUP).select(*columns))
+        left = parts.join(heads.join(size, "group").select("group", "s", "first.key", "first.at", "bytes"), ["group", "s", "key", "at"])
+        left = _written(left.dropDuplicates(["group", "s", "key", "at"]), "left")
+        fits = left.where(F.col("bytes") <= GROUP).select(*columns)
+        blocks.append(fits)
+        total += fits.agg(F.sum(F.length("body"))).first()[0] or 0
         live = left.where(F.col("bytes") > GROUP).select("key", "at", "n", "off", "low", "high", "body")
+        live = None if live.isEmpty() else live
     body = reduce(DataFrame.unionByName, blocks)
-    n_blocks = max(1, math.ceil((body.agg(F.sum(F.length("body"))).first()[0] or 0) / BLOCK))
+    n_blocks = max(1, math.ceil(total / BLOCK))
 
     def solve(table: pa.Table) -> pa.Table:
         n, keys, at = np.asarray(table.column("n"), np.int64), table.column("key"), np.asarray(table.column("at"), np.int64)
