@@ -55,3 +55,10 @@ def vat_agrees(amounts: Column, rate: str = "0.15") -> Column:
         return F.exists(amounts, lambda y: (y == tax) | (y == (x + tax).cast("decimal(20,2)"))) & (x > 0)
 
     return F.get(F.filter(amounts, ok), F.lit(0))
+
+
+def statement_like(document: Column, text: Column) -> Column:
+    """Whether a document reads as a bank statement: by its class, or by two of the markers."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    hits = sum((lower.contains(m).cast("int") for m in CLASS_MARKERS["bank_statement"]), F.lit(0))
+    return (F.lower(document) == "bank_statement") | (hits >= 2)

@@ -109,3 +109,47 @@ def dice(a: Column, b: Column) -> Column:
 
     same = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(times(x, g), times(y, g)))
     return F.when(a == b, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * same / (F.size(x) + F.size(y)))
+
+
+def structured_similarity(query: dict[str, Column], example: dict[str, Column], names: tuple[str, ...] = ("amount_bucket", "move_type", "currency")) -> Column:
+    """Share of the features that agree: ``names`` where both are known, all others (booleans) where either holds; .5 if none counts."""
+    checks = []
+    for key, q in query.items():
+        e = example[key]
+        if key in names:
+            known = (q != "") & (e != "") & (q != "unknown") & (e != "unknown")
+            checks.append(F.when(known, (q == e).cast("double")))
+        else:
+            checks.append(F.when(q | e, (q == e).cast("double")))
+    counted = F.filter(F.array(*checks), lambda c: c.isNotNull())
+    return F.when(F.size(counted) > 0, F.aggregate(counted, F.lit(0.0), lambda s, c: s + c) / F.size(counted)).otherwise(0.5)
+
+
+def lexical_score(query: Column, account: Column, code: Column) -> Column:
+    """Share of the query's distinct words that the account's text has, .08 more if its code occurs in the query, 1 at most."""
+    def words(text: Column) -> Column:
+        return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+    q, a = words(query), words(account)
+    bonus = F.when((code != "") & query.contains(code), 0.08).otherwise(0.0)
+    return F.when((F.size(q) == 0) | (F.size(a) == 0), 0.0).otherwise(F.least(F.lit(1.0), F.size(F.array_intersect(q, a)) / F.size(q) + bonus))
+
+
+def document_pair(a: Column, b: Column) -> Column:
+    """What kind of match two document types make."""
+    def either(kind: str) -> Column:
+        return (a == kind) | (b == kind)
+
+    voucher = either("payment_voucher") & (either("invoice") | either("vendor_bill"))
+    return (
+        F.when(either("invoice") & either("purchase_order"), "invoice_to_po")
+        .when(either("bank_statement"), "bank_transaction_to_invoice_or_payment")
+        .when(voucher, "invoice_to_payment_voucher")
+        .otherwise("semantic_financial_document_match")
+    )
+
+
+def smart_score(vector: Column, a: Column, b: Column) -> Column:
+    """A vector score, raised where the amounts are equal (.99 at most) or within 5 % of the larger of the first and 1 (.95 at most)."""
+    near = F.abs(a - b) / F.greatest(F.abs(a), F.lit(1).cast("decimal(20,2)")) < F.lit("0.05").cast("decimal(4,2)")
+    return F.when(a == b, F.least(F.lit(0.99), vector * 0.5 + 0.5)).when(near, F.least(F.lit(0.95), vector * 0.6 + 0.35)).otherwise(vector)

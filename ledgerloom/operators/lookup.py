@@ -160,3 +160,36 @@ def domain(terms: list, column_of=F.col) -> Column:
         else:
             stack.append(leaf(tuple(term)))
     return reduce(lambda a, b: a & b, reversed(stack), F.lit(True))
+
+
+def as_current(accounts: DataFrame) -> DataFrame:
+    """id, company_ids, deprecated of accounts from an older (company_id, deprecated) or a newer source (company_ids, active)."""
+    one = F.when(F.col("company_id").isNotNull(), F.array("company_id")).otherwise(F.array().cast("array<int>")) if "company_id" in accounts.columns else F.col("company_ids")
+    gone = F.col("deprecated") if "deprecated" in accounts.columns else ~F.col("active")
+    return accounts.select("id", one.alias("company_ids"), gone.alias("deprecated"))
+
+
+def page(rows: DataFrame, offset: int, size: int, most: int, *order: Column | str) -> DataFrame:
+    """One page of a list in an order: at least 1 and at most ``most`` rows."""
+    return rows.orderBy(*order).offset(max(offset, 0)).limit(min(max(size, 1), most))
+
+
+def union_by_key(parts: list[DataFrame], key: str) -> DataFrame:
+    """The rows of all results, each key once."""
+    return reduce(DataFrame.unionByName, parts).dropDuplicates([key])
+
+
+def run_audit(rows: DataFrame, run: str, amount: str) -> DataFrame:
+    """One row for each run: rows, total, and 'success' if the total is positive, else 'failure'."""
+    out = rows.groupBy(F.col(run).alias("run")).agg(F.count("*").alias("rows"), F.sum(amount).cast("decimal(28,2)").alias("total"))
+    return out.withColumn("status", F.when(F.col("total") > 0, "success").otherwise("failure"))
+
+
+def catalog_counts(catalogs: dict[str, DataFrame]) -> DataFrame:
+    """catalog and n of every catalog."""
+    return reduce(DataFrame.unionByName, [c.agg(F.count("*").alias("n")).select(F.lit(name).alias("catalog"), "n") for name, c in catalogs.items()])
+
+
+def manifest(rows: DataFrame, part: str, key: str, text: str) -> DataFrame:
+    """For each part of an export its rows, first and last key, and characters."""
+    return rows.groupBy(F.col(part).alias("part")).agg(F.count("*").alias("n"), F.min(key).alias("first_id"), F.max(key).alias("last_id"), F.sum(F.length(F.coalesce(text, F.lit("")))).cast("long").alias("chars"))

@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from ..functions.scores import cosine
 from .lookup import top_by
 
-MOST_QUERIES = 10_000  # queries that may be broadcast against the history
+MOST_QUERIES = 10_000  # queries that are broadcast at a time
 
 
 def nearest(queries: DataFrame, history: DataFrame, k: int, least: float = 0.0, query_id: str = "query_id", row_id: str = "row_id", vector: str = "vector") -> DataFrame:
     """query, row, score (cosine, four digits) and rank of each query's ``k`` best rows at or above ``least``; ties to the smaller row.
 
-    A stated set of queries against the whole history: the history is read once, in its own partitions.
+    A stated set of queries against the whole history: queries are dealt to blocks of about ``MOST_QUERIES``, each block is broadcast,
+    and the history is read in its own partitions; what every partition sends is at most its best rows of each query.
     """
     few = queries.select(F.col(query_id), F.col(vector).alias("_q"))
-    n = few.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; use the exact top-k join")
-    pairs = history.select(F.col(row_id), F.col(vector).alias("_v")).join(F.broadcast(few), F.col(row_id) != F.col(query_id))
-    score = F.round(F.greatest(cosine(F.col("_q"), F.col("_v")), F.lit(0.0)), 4)
-    scored = pairs.select(query_id, row_id, score.alias("score")).where(F.col("score") >= least)
-    return top_by(scored, [query_id], k, F.desc("score"), row_id)
+    blocks = max(1, -(-few.count() // MOST_QUERIES))
+    best: DataFrame | None = None
+    for k_ in range(blocks):
+        some = few.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == k_) if blocks > 1 else few
+        pairs = history.select(F.col(row_id), F.col(vector).alias("_v")).join(F.broadcast(some), F.col(row_id) != F.col(query_id))
+        score = F.round(F.greatest(cosine(F.col("_q"), F.col("_v")), F.lit(0.0)), 4)
+        top = top_by(pairs.select(query_id, row_id, score.alias("score")).where(F.col("score") >= least), [query_id], k, F.desc("score"), row_id)
+        best = top if best is None else best.unionByName(top)
+    return best
 
 
 def weighted_vote(found: DataFrame, labels: str = "labels", query_id: str = "query_id", score: str = "score") -> DataFrame:

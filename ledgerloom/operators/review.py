@@ -67,19 +67,30 @@ def gate(rows: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     return out.withColumn("allowed", F.col("blocked") == "")
 
 
-def best_partner(names: DataFrame, partners: DataFrame, similarity, key: str, name: str, partner_id: str, partner: str, least: float = 0.5) -> DataFrame:
-    """key, partner id and similarity of the most similar partner at or above ``least``; ties to the smaller id.
+def best_partner(names: DataFrame, partners: DataFrame, key: str, name: str, partner_id: str, partner: str, least: float = 0.5) -> DataFrame:
+    """key, partner id and Dice similarity (of bigrams, regardless of case) of the most similar partner at or above ``least``; ties to the smaller id.
 
-    Names are compared only with partners that share a three-letter beginning of a word, so no pair of all with all is made; a
-    partner without such a beginning in common has no match.
+    A prefix filter without loss: two names that reach ``least`` have so many numbered bigrams in common that one of the rarest
+    of either (in one fixed order) is among the first of the other, so the pairs come from an equi-join; equal names go once.
     """
-    def starts(text: Column) -> Column:
-        return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0), lambda w: F.substring(w, 1, 3)))
-
-    distinct = names.select(F.col(name).alias("_name")).distinct()
-    left = distinct.select("_name", F.explode(starts(F.col("_name"))).alias("_s"))
-    right = partners.select(F.col(partner_id).alias("_pid"), F.col(partner).alias("_partner"), F.explode(starts(F.col(partner))).alias("_s"))
-    pairs = left.join(right, "_s").select("_name", "_pid", "_partner").distinct()
-    scored = pairs.withColumn("similarity", F.round(similarity(F.lower("_name"), F.lower("_partner")), 6)).where(F.col("similarity") >= least)
-    best = scored.groupBy("_name").agg(F.min_by(F.struct("_pid", "similarity"), F.struct(-F.col("similarity"), F.col("_pid"))).alias("_b"))
-    return names.join(best, F.col(name) == F.col("_name")).select(key, F.col("_b._pid").alias("partner_id"), F.col("_b.similarity").alias("similarity"))
+    def numbered(text: Column) -> Column:
+        size = F.length(text)
+        grams = F.transform(F.when(size >= 2, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(2)))
+        return F.transform(grams, lambda g, i: F.concat(F.lpad(F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda h: h == g)).cast("string"), 3, "0"), F.md5(g)))
+
+    def sides(rows: DataFrame, column: str) -> DataFrame:
+        each = rows.select(F.lower(column).alias("_t")).where("_t IS NOT NULL").distinct().withColumn("_g", F.sort_array(numbered(F.col("_t")), False))
+        n = F.size("_g")
+        # The other has n * least / (2 - least) bigrams or more, and least / 2 of both together are shared.
+        need = F.ceil(F.lit(least / (2 - least)) * n - 1e-9)
+        first = F.slice("_g", F.lit(1), F.greatest((n - need + 1).cast("int"), F.lit(0)))
+        return each.select("_t", "_g", F.explode(F.concat(first, F.array(F.concat(F.lit("="), F.md5("_t"))))).alias("_p"))
+
+    left = sides(names, name)
+    right = sides(partners, partner).select(F.col("_t").alias("_u"), F.col("_g").alias("_h"), "_p")
+    pairs = left.join(right, "_p").select("_t", "_u", "_g", "_h").dropDuplicates(["_t", "_u"])
+    dice = F.when(F.col("_t") == F.col("_u"), 1.0).when((F.size("_g") == 0) | (F.size("_h") == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect("_g", "_h")) / (F.size("_g") + F.size("_h")))
+    scored = pairs.select("_t", "_u", F.round(dice, 6).alias("similarity")).where(F.col("similarity") >= least)
+    firsts = partners.groupBy(F.lower(partner).alias("_u")).agg(F.min(partner_id).alias("_pid"))
+    best = scored.join(firsts, "_u").groupBy("_t").agg(F.min_by(F.struct("_pid", "similarity"), F.struct(-F.col("similarity"), F.col("_pid"))).alias("_b"))
+    return names.join(best, F.lower(name) == F.col("_t")).select(key, F.col("_b._pid").alias("partner_id"), F.col("_b.similarity").alias("similarity"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scores
 from ..operators import review
 from . import tables as t
 from .queries import ORACLES, QUERIES, _COS, _found, query
@@ -86,15 +85,16 @@ def p22(spark, d):
 
 @query(
     "j18_closest_partner",
-    """WITH n AS (SELECT s_suppkey, lower(s_name) AS a FROM supplier), p AS (SELECT c_custkey, lower(c_name) AS b FROM customer WHERE c_custkey <= 40),
-    na AS (SELECT s_suppkey, a, list_distinct([left(w, 3) FOR w IN string_split_regex(a, '[^\\p{L}\\p{N}]+') IF w <> '']) AS s FROM n), pb AS (SELECT c_custkey, b, list_distinct([left(w, 3) FOR w IN string_split_regex(b, '[^\\p{L}\\p{N}]+') IF w <> '']) AS s FROM p),
-    g AS (SELECT s_suppkey, c_custkey, a, b, [substr(a, i, 2) FOR i IN range(1, length(a))] AS x, [substr(b, i, 2) FOR i IN range(1, length(b))] AS y FROM na JOIN pb ON len(list_intersect(na.s, pb.s)) > 0),
-    k AS (SELECT s_suppkey, c_custkey, round(CASE WHEN a = b THEN 1 WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE 2.0 * coalesce(list_sum([least(len([h FOR h IN x IF h = q]), len([h FOR h IN y IF h = q])) FOR q IN list_distinct(x)]), 0) / (len(x) + len(y)) END, 6)::DOUBLE AS similarity FROM g)
-    SELECT s_suppkey, c_custkey AS partner_id, similarity FROM k WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY similarity DESC, c_custkey) = 1""",
+    """WITH n AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS a FROM part WHERE p_partkey % 100 = 0), p AS (SELECT p_partkey AS id, lower(p_type || ' ' || p_name) AS b FROM part),
+    g AS (SELECT p_partkey, id, a, b, [substr(a, i, 2) FOR i IN range(1, length(a))] AS x, [substr(b, i, 2) FOR i IN range(1, length(b))] AS y FROM n, p),
+    k AS (SELECT p_partkey, id, round(CASE WHEN a = b THEN 1 WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE 2.0 * coalesce(list_sum([least(len([h FOR h IN x IF h = q]), len([h FOR h IN y IF h = q])) FOR q IN list_distinct(x)]), 0) / (len(x) + len(y)) END, 6)::DOUBLE AS similarity FROM g)
+    SELECT p_partkey, id AS partner_id, similarity FROM k WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY similarity DESC, id) = 1""",
 )
 def j18(spark, d):
-    partners = t.table(spark, d, "customer").where("c_custkey <= 40").select("c_custkey", "c_name")
-    return review.best_partner(t.table(spark, d, "supplier").select("s_suppkey", "s_name"), partners, scores.dice, "s_suppkey", "s_name", "c_custkey", "c_name", 0.3)
+    part = t.table(spark, d, "part")
+    asked = part.where("p_partkey % 100 = 0").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    partners = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_name").alias("partner"))
+    return review.best_partner(asked, partners, "p_partkey", "name", "id", "partner", 0.5)
 
 
 @query("u03_set_similarity", "SELECT p_partkey, len(list_intersect(a, b)) AS both_, len(list_distinct(list_concat(a, b))) AS either_ FROM (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type), ' ')) AS b FROM part)")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.money import parse_number, western_digits
 from ..functions.text import normalize_date
@@ -41,6 +42,44 @@ def decode(content: bytes) -> str:
     return content.decode("utf-8", "ignore")
 
 
+@F.pandas_udf(T.StringType())
+def _by_ladder(content: pd.Series) -> pd.Series:
+    return content.map(lambda c: None if c is None else decode(bytes(c)))
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as text by the ladder of encodings; only what is no UTF-8 leaves the JVM."""
+    plain = F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.substring(content, 4, 2147483647)).otherwise(content)
+    return F.when(F.is_valid_utf8(plain.cast("string")), plain.cast("string")).otherwise(_by_ladder(content))
+
+
+# The first bytes (hexadecimal) of file types.
+MAGIC = {"255044462D": "pdf", "504B0304": "zip", "89504E470D0A1A0A": "png", "FFD8FF": "jpeg", "D0CF11E0A1B11AE1": "ole"}
+
+
+def file_type(content: Column) -> Column:
+    """By the first bytes; 'text' if nine of ten of the first 512 are printable and none is zero; else 'unknown'."""
+    start = F.hex(F.substring(content, 1, 512))
+    odd = F.regexp_count(F.regexp_replace(start, "(..)", "$1 "), F.lit(r"(?:0[0-8BCEF]|1[0-9A-F]|7F) "))
+    size = F.length(start) / 2
+    out = F.when(size == 0, "unknown")
+    for magic, name in MAGIC.items():
+        out = out.when(start.startswith(magic), name)
+    zero = F.regexp_replace(start, "(..)", "$1 ").contains("00 ")
+    return out.when(~zero & (odd <= size * 0.1), "text").otherwise("unknown")
+
+
+def kind_of(path: Column) -> Column:
+    """Lower-case extension of a path."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+
+
+def json_rows(lines: DataFrame, schema: str) -> DataFrame:
+    """Rows of JSON lines (column value); lines that are no JSON object are left out."""
+    parsed = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("_r"), "value").where(F.get_json_object("value", "$").isNotNull())
+    return parsed.select("_r.*")
+
+
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, kind (lower-case extension) and text of each file; a file is read whole by one task."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,7 +87,7 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             yield pd.DataFrame({"path": pdf["path"], "text": [decode(bytes(c)) for c in pdf["content"]]})
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, text string")
-    return files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("kind"), "text")
+    return files.select("path", kind_of(F.col("path")).alias("kind"), "text")
 
 
 def text_rows(files: DataFrame) -> DataFrame:

@@ -206,7 +206,7 @@ def test_statement_files(spark, tmp_path):
     got = sorted((r.path.rsplit("/", 1)[1], r.row_number, r.date, r.description, str(r.amount)) for r in parsed.collect())
     assert got == [
         ("a.csv", 1, "2026-01-05", "ATM, city", "-150.00"), ("a.csv", 2, "2026-01-06", "Salary", "5000.00"), ("b.txt", 1, "2026-01-11", "إيداع نقدي", "5000.00"),
-        ("c.ofx", 1, "2026-01-05", "Shop food", "-12.50"), ("c.ofx", 2, "2026-01-06", "X1", "7.00"), ("d.qif", 5, "2026-01-05", "Fee", "-5.00"), ("d.qif", 9, "2026-01-06", "last", "9.00"),
+        ("c.ofx", 1, "2026-01-05", "Shop food", "-12.50"), ("c.ofx", 2, "2026-01-06", "X1", "7.00"), ("d.qif", 5, "2026-05-01", "Fee", "-5.00"), ("d.qif", 9, "2026-01-06", "last", "9.00"),
         ("e.sta", 1, "2026-01-05", "Fee", "-3.25"), ("f.txt", 1, "2026-01-05", "رسوم", "-1.00"),
     ]
     (tmp_path / "g.doc").write_bytes(b"?")
