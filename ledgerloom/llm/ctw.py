@@ -27,6 +27,7 @@ from .common import Texts, cut, lower_ascii, partitions, texts, word_hashes, wor
 DEPTH, SPLIT = 5, 3
 END = 0xFF  # the byte before and after a text
 BLOCK = 40 << 20  # bytes of text of a block
+BUCKET = 1 << 20  # n-grams of a bucket of contexts, on average
 WORD = np.uint64(1 << 63)  # keys with this bit are words, the others n-grams
 END_WORD = np.uint64((1 << 64) - 1)
 HELD = 2  # the remainder of a held-out document
@@ -230,7 +231,9 @@ def _merge_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(counts: DataFrame) -> DataFrame:
     """key and value (log10 probability of the byte after its context) of every n-gram in ``counts`` (key, n)."""
     spark = counts.sparkSession
-    of_bucket = F.pmod(F.xxhash64(F.shiftright("key", 8 * (DEPTH + 1 - SPLIT))), F.lit(4 * partitions(spark)))
+    # Contexts of SPLIT bytes are dealt to buckets of about BUCKET n-grams; one context has 256 ** (DEPTH + 1 - SPLIT) at most.
+    n_buckets = max(4 * partitions(spark), math.ceil(counts.where("key >= 0").count() / BUCKET))
+    of_bucket = F.pmod(F.xxhash64(F.shiftright("key", 8 * (DEPTH + 1 - SPLIT))), F.lit(n_buckets))
     rows = counts.where("key >= 0").select(of_bucket.alias("bucket"), "key", "n")
     shape = "node long, n0 double, n1 double, log double, beta double"
     levels = [cut(rows.groupBy("bucket").applyInArrow(_up, shape))]
@@ -247,7 +250,7 @@ def train(counts: DataFrame) -> DataFrame:
         seen = F.col("u_live") & (F.col("n0") + F.col("n1") > 0)
         mass = F.when(seen, F.col("u_mass") + F.col("u_left") * F.col("u_beta") * p).when(F.col("u_live"), F.col("u_mass") + F.col("u_left") * p).otherwise(F.col("u_mass"))
         above = joined.select("node", "n0", "n1", "beta", mass.alias("mass"), F.when(seen, F.col("u_left") * (1 - F.col("u_beta"))).otherwise(0.0).alias("left"), seen.alias("live"))
-    context = F.pmod(F.xxhash64(F.shiftright("node", 8)), F.lit(4 * partitions(spark)))
+    context = F.pmod(F.xxhash64(F.shiftright("node", 8)), F.lit(n_buckets))
     top = above.select(context.alias("bucket"), "node", "mass", "left", "live")
     return rows.groupBy("bucket").cogroup(top.groupBy("bucket")).applyInArrow(_down, "key long, value double")
 

@@ -21,12 +21,11 @@ SMALL_ENDS = 1_000_000  # lines of candidate pairs up to which their hashes (16
 
 @dataclass(frozen=True)
 class LineRules:
-    """``edits``: 1 to 20. Lines under ``least_chars`` code points stay. A document that would lose more than ``most_percent`` of its
-    code points is a copy rather than a carrier of repeated lines; it is left whole to document-level deduplication."""
+    """``edits``: 1 to 20. Lines under ``least_chars`` code points take no part: they stay, exact repeats too. Every later line goes,
+    however much of its document that is."""
 
     edits: int = 1
     least_chars: int = 20
-    most_percent: int = 50
 
 
 def segment(length: str, i: int, edits: int) -> tuple[str, str]:
@@ -134,8 +133,8 @@ def kept_places(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
 def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """The rows of ``docs`` with redundant lines taken out of ``text_col``; with ``counts`` also ``n_lines`` and ``n_removed``.
 
-    All rows and other columns stay. A null text stays null. Rows that share an id are one document read twice: the same lines
-    stay in each. Within a document that is left whole (see ``LineRules``) nothing is removed.
+    All rows and other columns stay. A null text stays null. Rows that share an id, null ids too, are one document read twice: line
+    numbers kept in one are kept in each.
     """
     nos = kept_places(docs, rules, id_col, text_col).withColumnsRenamed({"id": "_id", "nos": "_nos"})
     rows = by_key(docs, id_col).join(nos, F.col("_key").eqNullSafe(F.col("_id")), "left").drop("_id", "_key")
@@ -143,8 +142,6 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
     rows = rows.withColumn("_lines", F.split(body, "\n"))
     rows = rows.withColumn("_flags", F.expr(f"transform(_lines, (x, i) -> length(x) >= {max(1, rules.least_chars)} AND btrim(x, ' \\t\\n\\u000B\\u000C\\r') != '')"))
     rows = rows.withColumn("_bad", F.expr("array_except(filter(transform(_flags, (f, i) -> IF(f, i, -1)), i -> i >= 0), coalesce(_nos, array()))"))
-    lost = F.expr("aggregate(_bad, 0L, (a, i) -> a + length(_lines[i]))")
-    rows = rows.withColumn("_bad", F.when(lost * 100 <= F.length(body) * rules.most_percent, F.col("_bad")).otherwise(F.expr("slice(_bad, 1, 0)")))
     # Both lists ascend: the kept lines are the runs between the removed ones.
     runs = "transform(sequence(0, size(_bad)), k -> slice(_lines, IF(k = 0, 0, _bad[k - 1] + 1) + 1, IF(k = size(_bad), size(_lines), _bad[k]) - IF(k = 0, 0, _bad[k - 1] + 1)))"
     text = F.when(F.col("_row")[text_col].isNull() | (F.size("_bad") == 0), F.col("_row")[text_col]).otherwise(F.expr(f"array_join(flatten({runs}), '\\n')"))

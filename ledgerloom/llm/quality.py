@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import by_key, cut
 
 SYMBOLS = "#*$%&|<>"
+SMALL_GROUPS = 10_000  # groups up to which their thresholds are broadcast (under 1 MB); beyond it the join shuffles
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -130,7 +131,8 @@ def thresholds(measures: DataFrame, rules: Rules = Rules(), lang: str = "_lang",
 def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row for each input row: id, the counts, base_failed and kept.
 
-    Null languages and sources are groups of their own. A document without words fails the base rules. Measures are made once
+    Null languages and sources are groups of their own. A document without words fails the base rules; rows that share an id are
+    judged one by one. Windows of words are equal if 64-bit hashes of their words' 64-bit hashes are. Measures are made once
     and kept in the shared folder, without texts; the thresholds join them by language and source.
     """
     table = docs.withColumns({"_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
@@ -142,7 +144,8 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
     outside = F.lit(False)
     for m, _ in rules.floors:
         outside = outside | F.coalesce(F.col(m) < F.col(f"low_{m}"), F.lit(False)) | F.coalesce(F.col(m) > F.col(f"high_{m}"), F.lit(False))
-    joined = found.join(limits, ["_lang", "_source"], "left")
+    groups = cut(limits)  # a row for each language and source
+    joined = found.join(F.broadcast(groups) if groups.count() <= SMALL_GROUPS else groups, ["_lang", "_source"], "left")
     return joined.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~outside).alias("kept"))
 
 

@@ -34,7 +34,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, n_unknown, score: best pieces of every whole text, by the scores of a BPE file.
 
-    No unigram file is installed. These scores are negative merge ranks, not log probabilities: counts are not those of that
+    No unigram file is installed, and tokenizers are not trained here. These scores are negative merge ranks, not log probabilities: counts are not those of that
     file's own encoder.
     """
     return unigram.count_tokens(read_table(spark, sf_dir, "documents"), UNIGRAM_FILE)
@@ -57,7 +57,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines (that take part), n_removed, kept_sha256 of the text that is left; no document is exempt."""
-    left = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), lines.LineRules(most_percent=100), counts=True)
+    left = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -83,12 +83,10 @@ WITH l AS (
   SELECT pos FROM f WHERE pos NOT IN (SELECT pos FROM later)
 ), flagged AS (
   SELECT t.*, part AND NOT EXISTS (SELECT 1 FROM k WHERE k.pos = (t.doc_id, t.no)) AS bad FROM t
-), lost AS (
-  SELECT doc_id, sum(CASE WHEN bad THEN length(line) ELSE 0 END) AS lost, sum(length(line)) + count(*) - 1 AS whole FROM flagged GROUP BY doc_id
 )
-SELECT doc_id, count(*) FILTER (part) AS n_lines, count(*) FILTER (bad AND lost * 100 <= whole * 50) AS n_removed,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT (bad AND lost * 100 <= whole * 50)), '')) AS kept_sha256
-FROM flagged JOIN lost USING (doc_id) GROUP BY doc_id
+SELECT doc_id, count(*) FILTER (part) AS n_lines, count(*) FILTER (bad) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT bad), '')) AS kept_sha256
+FROM flagged GROUP BY doc_id
 """
 
 MIX_WEIGHTS = {"domain": {"web": 2, "books": 3, "other": 1}, "lang": {"en": 4, "de": 3, "fr": 2, "es": 2}, "source": {"src0": 3, "src1": 2}}

@@ -9,6 +9,7 @@ matrix product, and the blocks' k best are merged.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +25,13 @@ EXACT = float(1 << 53)
 
 @dataclass(frozen=True)
 class Search:
-    """``pivots``: cells, whose vectors and summaries pass through the driver. ``queries`` and ``block``: rows of one local problem."""
+    """``pivots``: the least number of cells; a quarter of the square root of the rows, up to ``most_pivots``, if that is more. Their vectors
+    and summaries pass through the driver. ``queries`` and ``block``: rows of one local problem."""
 
     k: int = 20
     scale: float = 64.0
     pivots: int = 64
+    most_pivots: int = 1024
     queries: int = 2048
     block: int = 8192
 
@@ -122,7 +125,8 @@ def top_k(vectors: DataFrame, is_query: Column, how: Search = Search(), id_col:
             yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1).fill_null(False), _pack(x)], names=["id", "q", "x"])
 
     ready = rows.mapInArrow(whole, "id long, q boolean, x binary")
-    chosen = ready.orderBy(F.xxhash64("id"), "id").limit(how.pivots).select("x").collect()  # a bounded number of vectors
+    wanted = max(how.pivots, min(how.most_pivots, math.isqrt(vectors.count()) // 4))
+    chosen = ready.orderBy(F.xxhash64("id"), "id").limit(wanted).select("x").collect()  # a bounded number of vectors
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not chosen:
         return empty
