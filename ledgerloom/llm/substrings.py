@@ -4,7 +4,7 @@ The index has immutable runs, bucketed and sorted by fingerprint: for the hash o
 met, and the least and greatest hash of the segments it stands for. A batch of documents becomes a run; it is merge-joined with the
 runs before it, what meets is verified, and the runs are compacted into one when there are too many. Fingerprints met twice are
 verified: where all their segments are one and the same, these are repeats as a whole; else each distinct segment is taken once
-from its document, earlier batches included, and compared window by window with 122 bits.
+from its document, earlier batches included, and compared window by window: by 61 bits beside the 61 of the anchor.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .anchors import Segments, batch_rows, bloom_has, bloom_of, covered, explode_windows, key_type, keyed
 from .common import Prefix, cut, mix, partitions, shared_path, texts, word_hashes, words
 
+MOST_OFTEN = 1000  # of n segments, no more than a thousand can each stand more than n / 1000 times
 WORDS_AT_ONCE = 1 << 16  # words of a text whose windows are worked at one time
 
 
@@ -71,19 +72,19 @@ class FingerprintIndex:
         self.runs, self.logs = [], []
 
 
-def _segments(column: pa.Array, window: int, gram: int) -> Iterator[tuple[int, int, Segments, np.ndarray, Prefix]]:
-    """Number of the first document, its first word, segments, hashes of words and their sums; a long text comes in parts that share ``window`` - 1 words."""
+def _segments(column: pa.Array, window: int, gram: int) -> Iterator[tuple[int, int, Segments, Prefix]]:
+    """Number of the first document, its first word, segments and sums of the words' hashes; a long text comes in parts that share ``window`` - 1 words."""
     for run in texts(column, 1 << 18):
         begin, end, first = words(run)
         hashed = word_hashes(run.data, begin, end)
         if len(run) > 1:
             sums = Prefix(hashed)
-            yield run.rows.start, 0, Segments(sums, first, window, gram), hashed, sums
+            yield run.rows.start, 0, Segments(sums, first, window, gram), sums
             continue
         for base in range(0, max(len(hashed), 1), WORDS_AT_ONCE):
             part = hashed[base : base + WORDS_AT_ONCE + window - 1]
             sums = Prefix(part)
-            yield run.rows.start, base, Segments(sums, np.array([0, len(part)]), window, gram), part, sums
+            yield run.rows.start, base, Segments(sums, np.array([0, len(part)]), window, gram), sums
 
 
 def segment_log(rows: DataFrame, window: int, gram: int) -> DataFrame:
@@ -91,7 +92,7 @@ def segment_log(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some:
-            for doc, base, s, _, sums in _segments(b.column(1), window, gram):
+            for doc, base, s, sums in _segments(b.column(1), window, gram):
                 yield from batch_rows(b.column(0), s.doc + doc, {"at": (s.at + base).astype(np.int32), "n": s.n.astype(np.int32), "h": s.h, "x": sums.of(s.start, s.start + s.n - 1 + window)})
 
     path = shared_path(rows.sparkSession, "segments")
@@ -147,8 +148,12 @@ def repeated_ranges(docs: DataFrame, window: int = 35, gram: int = 10, batches:
     # Of mixed fingerprints, each distinct segment once.
     place = F.min(F.struct((~F.col("new")).alias("old"), "key", "at")).alias("first")
     kinds = cut(found.where("mixed").groupBy("h", "x").agg(F.count("*").alias("c"), place, F.first("n").alias("n")))
-    twice = kinds.where("c > 1").select("h", "x")
-    whole = whole.unionByName(found.where("mixed AND new").join(twice, ["h", "x"], "left_semi").select("key", "at", "n"))
+    # The thousand most frequent ones at most are met without a shuffle, so no task gets all copies of one.
+    often = max(MOST_OFTEN, found.count() // MOST_OFTEN)
+    hot, rest = F.broadcast(kinds.where(F.col("c") > often).select("h", "x")), kinds.where((F.col("c") > 1) & (F.col("c") <= often)).select("h", "x")
+    repeated = found.where("mixed AND new")
+    for part in (repeated.join(hot, ["h", "x"], "left_semi"), repeated.join(hot, ["h", "x"], "left_anti").join(rest, ["h", "x"], "left_semi")):
+        whole = whole.unionByName(part.select("key", "at", "n"))
 
     def marks(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some:
@@ -161,25 +166,24 @@ def repeated_ranges(docs: DataFrame, window: int = 35, gram: int = 10, batches:
         """The windows of the chosen segments; what the filter lets through beside them are equal segments and ones that meet nothing."""
         for b in some:
             named = np.asarray(b.column(2), np.int64).view(np.uint64)
-            for doc, _, s, hashed, sums in _segments(b.column(1), window, gram):
+            for doc, _, s, sums in _segments(b.column(1), window, gram):
                 x = sums.of(s.start, s.start + s.n - 1 + window)
                 hit = np.flatnonzero(bloom_has(chosen.value, _mark(s.h, x) ^ named[s.doc + doc]))
                 if not len(hit):
                     continue
-                other = Prefix(hashed, 1)
                 who, step = explode_windows(s.n[hit])
                 start = s.start[hit][who] + step
-                columns = {"h": s.h[hit][who], "x": x[hit][who], "off": step.astype(np.int16), "u": sums.of(start, start + window), "v": other.of(start, start + window)}
+                columns = {"h": s.h[hit][who], "x": x[hit][who], "off": step.astype(np.int16), "u": sums.of(start, start + window)}
                 for first in range(0, len(who), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[first : first + 20_000].view(np.int64) if c.dtype == np.uint64 else c[first : first + 20_000]) for c in columns.values()], names=list(columns))
 
     sources = rows if not old_logs else rows.unionByName(keyed(history, id_col, text_col))
     path = shared_path(spark, "windows")
-    sources.select("key", "text", F.xxhash64("key").alias("t")).mapInArrow(single, "h long, x long, off short, u long, v long").write.parquet(path)
+    sources.select("key", "text", F.xxhash64("key").alias("t")).mapInArrow(single, "h long, x long, off short, u long").write.parquet(path)
     each = spark.read.parquet(path)
     # One segment's windows differ from each other, so a window that repeats stands in segments of unlike hash.
-    again = each.groupBy("u", "v").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low != high").select("u", "v")
-    bad = each.join(again, ["u", "v"], "left_semi").groupBy("h", "x").agg(F.collect_set("off").alias("offs"))
+    again = each.groupBy("h", "u").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low != high").select("h", "u")
+    bad = each.join(again, ["h", "u"], "left_semi").groupBy("h", "x").agg(F.collect_set("off").alias("offs"))
     alone = kinds.where("c = 1 AND NOT first.old").select("h", "x", "first.key", "first.at")
     parts = bad.join(alone, ["h", "x"]).select("key", "at", F.explode("offs").alias("off")).select("key", (F.col("at") + F.col("off")).alias("a"), (F.col("at") + F.col("off") + window).alias("b"))
     ranges = whole.select("key", F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + window).alias("b")).unionByName(parts)
