@@ -261,7 +261,10 @@ def _block_links(rest: DataFrame, sigs: DataFrame, body: DataFrame, how: Near, e
     """
     total, bounds = how.bands * how.rows, least_matches(how)
     dealt = _written(_blocks(rest, sigs, how), "near-blocks")
-    number = 4 * partitions(rest.sparkSession)
+    # Up to sixteen blocks a task: a task's Python worker costs more than a small block.
+    blocks = dealt.agg(F.approx_count_distinct(F.struct("family", "p", "q"))).first()[0]
+    least = partitions(rest.sparkSession)
+    number = max(least, min(4 * least, -(-blocks // 16)))
 
     def pairs(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         comp, n = (np.asarray(block.column(c), np.int64) for c in ("comp", "n"))
