@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import by_key, cut, lower_ascii, mix, partitions, shared_path, texts, word_hashes, words
 
-SMALL_IDS = 1_000_000  # candidate ids up to which they are broadcast (8 bytes each); beyond it the join shuffles
+SMALL_IDS = 1_000_000  # candidate ids, or families, up to which they are broadcast (8 or 16 bytes each); beyond it the join shuffles
 
 
 @dataclass(frozen=True)
@@ -198,7 +198,8 @@ def _blocks(rest: DataFrame, sigs: DataFrame, how: Near) -> DataFrame:
         return F.greatest(F.ceil(F.count_if(of) / how.chunk), F.ceil(F.sum(F.when(of, F.col("n")).otherwise(0)) / how.chunk_shingles)).cast("int")
 
     size = rows.groupBy("family").agg(chunks(F.col("outside")).alias("_no"), chunks(~F.col("outside")).alias("_nt"))
-    rows = rows.join(size, "family")
+    size = cut(size)
+    rows = rows.join(F.broadcast(size) if size.count() <= SMALL_IDS else size, "family")
     rows = rows.withColumn("_c", F.pmod(F.xxhash64(F.lit(5), "id"), F.when(F.col("outside"), F.col("_no")).otherwise(F.col("_nt"))).cast("int"))
     as_left = F.when(F.col("outside"), F.expr("transform(sequence(_c, _no + _nt - 1), q -> struct(_c AS p, q AS q, true AS left))")).otherwise(F.expr("slice(array(struct(0 AS p, 0 AS q, true AS left)), 1, 0)"))
     as_right = F.when(F.col("outside"), F.expr("transform(sequence(0, _c), p -> struct(p AS p, _c AS q, false AS left))")).otherwise(F.expr("transform(sequence(0, _no - 1), p -> struct(p AS p, _no + _c AS q, false AS left))"))
