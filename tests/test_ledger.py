@@ -237,7 +237,7 @@ def test_document_fields(spark):
 def test_redaction(spark):
     left, counts = text.redact(F.col("t"))
     row = spark.createDataFrame([("mail a.b@c.org, see https://x.y/z and SA0380000000608010167519",)], "t string").select(left.alias("l"), counts["email"].alias("e"), counts["iban"].alias("i")).first()
-    assert (row.l, row.e, row.i) == ("mail [EMAIL], see [URL] and [IBAN]", 1, 1)
+    assert (row.l, row.e, row.i) == ("mail [REDACTED:email], see https://x.y/z and [REDACTED:iban]", 1, 1)
 
 
 def test_domain(spark):
