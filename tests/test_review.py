@@ -44,9 +44,9 @@ def test_gate(spark):
 def test_best_partner_ties_and_empty(spark):
     names = spark.createDataFrame([(1, "Acme Trading"), (2, None), (3, "zzz")], "k long, n string")
     partners = spark.createDataFrame([(9, "ACME trading"), (7, "acme Trading"), (8, "Acme")], "pid long, p string")
-    got = review.best_partner(names, partners, scores.dice, "k", "n", "pid", "p").collect()
+    got = review.best_partner(names, partners, "k", "n", "pid", "p").collect()
     assert [(r.k, r.partner_id, r.similarity) for r in got] == [(1, 7, 1.0)]
-    assert review.best_partner(names.where("false"), partners, scores.dice, "k", "n", "pid", "p").count() == 0
+    assert review.best_partner(names.where("false"), partners, "k", "n", "pid", "p").count() == 0
 
 
 def test_alias(spark):
