@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, lines, mixing, near, periods, quality, substrings, suffixes, topk, unigram
+from . import bpe, ctw, lines, mixing, near, periods, quality, substrings, suffixes, topk, turns, unigram
 from .common import read_table
 
 try:
@@ -215,5 +215,68 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digest(periods.find_runs(periods.with_tails(read_table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_lm_score": op3_lm_score, "op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op6_near_dedup": op6_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing, "op10_top_k": op10_top_k, "op11_periodic_runs": op11_periodic_runs}
-ORACLES: dict[str, str] = {"op7_quality_rules": _OP7_SQL, "op8_line_dedup": _OP8_SQL, "op9_mixing": _op9_sql(), "op10_top_k": _OP10_SQL}
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of every conversation after damage."""
+    return turns.digest(turns.repair(turns.damaged(read_table(spark, sf_dir, "conversations")), live=F.col("_live")))
+
+
+def _op12_sql() -> str:
+    """States are ten digits of cost and then the audit, so that text order is their order."""
+
+    def plus(state: str, cost: str | int, letter: str) -> str:
+        return f"lpad((left({state}, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || substr({state}, 11) || {letter}"
+
+    user = f"least(u, {plus('n', 3, "'I'")}, {plus('s', 3, "'I'")}, {plus('a', 3, "'I'")})"
+    more = "CASE WHEN fault = 3 THEN 3 ELSE 0 END"
+
+    def becomes(initial: str, source: str) -> str:
+        same = f"initial = '{initial}'"
+        return f"CASE WHEN fault IN (0, 3) THEN {plus(source, f'{more} + CASE WHEN {same} THEN 0 ELSE 3 END', f"CASE WHEN {same} THEN 'K' ELSE 'R' END")} END"
+
+    gone = {k: plus(k, 4, "'D'") for k in "nsua"}
+    closed = f"SELECT c, i, n, s, u, least(a, {plus('u', 3, "'I'")}) AS a FROM (SELECT c, i, n, s, {user} AS u, a FROM {{}})"
+    return f"""
+WITH RECURSIVE table_of AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+), k AS (
+  SELECT conv_id AS c, turn AS t, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([4294967295] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+           lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])), 4294967295) % 20 AS k
+  FROM conversations, table_of
+), d AS (
+  SELECT c, t, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k
+), f AS (
+  SELECT c, t, role, text, left(role, 1) AS initial, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY t NULLS FIRST) > 1 THEN 2
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault
+  FROM e WINDOW w AS (PARTITION BY c ORDER BY t NULLS FIRST, role, text, seen)
+), step AS (
+  SELECT DISTINCT c, 0::BIGINT AS i, '0000000000' AS n, '1000000000' AS s, '1000000000' AS u, '1000000000' AS a FROM k
+  UNION ALL
+  SELECT x.c, x.i + 1, {gone['n']}, least({gone['s']}, CASE WHEN fault IN (0, 3) AND initial = 's' THEN {plus('n', more, "'K'")} END),
+         least({gone['u']}, {becomes('u', 'least(n, s, a)')}), least({gone['a']}, {becomes('a', 'u')})
+  FROM ({closed.format('step')}) x JOIN f ON f.c IS NOT DISTINCT FROM x.c AND f.i = x.i + 1
+), last AS (
+  SELECT c, left(best, 10)::BIGINT AS cost, substr(best, 11) AS audit FROM (SELECT c, i, least(n, a) AS best FROM ({closed.format('step')})) QUALIFY i = max(i) OVER (PARTITION BY c)
+), letters AS (
+  SELECT c, j, substr(audit, j, 1) AS letter, j - length(replace(left(audit, j), 'I', '')) AS inserted, length(replace(left(audit, j), 'D', '')) AS o
+  FROM (SELECT c, audit, unnest(range(1, length(audit) + 1)) AS j FROM last)
+), lines AS (
+  SELECT l.c, j, letter, o, f.role, f.text, coalesce(bool_or(o = 1 AND letter = 'K' AND initial = 's') OVER (PARTITION BY l.c), false)::INT AS led
+  FROM letters l LEFT JOIN f ON f.c IS NOT DISTINCT FROM l.c AND f.i = l.j - l.inserted
+), repaired AS (
+  SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS body
+  FROM lines WHERE letter <> 'D' GROUP BY c
+), counts AS (
+  SELECT c, coalesce(max(t) - min(t) + 1 - count(DISTINCT t), 0)::BIGINT AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c
+)
+SELECT last.c AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       cost, audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM last LEFT JOIN counts ON counts.c IS NOT DISTINCT FROM last.c LEFT JOIN repaired ON repaired.c IS NOT DISTINCT FROM last.c
+"""
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_lm_score": op3_lm_score, "op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op6_near_dedup": op6_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing, "op10_top_k": op10_top_k, "op11_periodic_runs": op11_periodic_runs, "op12_turn_repair": op12_turn_repair}
+ORACLES: dict[str, str] = {"op7_quality_rules": _OP7_SQL, "op8_line_dedup": _OP8_SQL, "op9_mixing": _op9_sql(), "op10_top_k": _OP10_SQL, "op12_turn_repair": _op12_sql()}
