@@ -235,7 +235,7 @@ def _op12_sql() -> str:
 
     gone = {k: plus(k, 4, "'D'") for k in "nsua"}
     closed = f"SELECT c, i, n, s, u, least(a, {plus('u', 3, "'I'")}) AS a FROM (SELECT c, i, n, s, {user} AS u, a FROM {{}})"
-    return f"""
+    return rf"""
 WITH RECURSIVE table_of AS (
   SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
 ), k AS (
@@ -246,11 +246,13 @@ WITH RECURSIVE table_of AS (
 ), d AS (
   SELECT c, t, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
          unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k
+), g AS (
+  SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY t NULLS FIRST) AS seen FROM d
 ), f AS (
   SELECT c, t, role, text, left(role, 1) AS initial, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS before,
-         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY t NULLS FIRST) > 1 THEN 2
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2
               WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault
-  FROM e WINDOW w AS (PARTITION BY c ORDER BY t NULLS FIRST, role, text, seen)
+  FROM g WINDOW w AS (PARTITION BY c ORDER BY t NULLS FIRST, role, text, seen)
 ), step AS (
   SELECT DISTINCT c, 0::BIGINT AS i, '0000000000' AS n, '1000000000' AS s, '1000000000' AS u, '1000000000' AS a FROM k
   UNION ALL
