@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, lines, mixing, near, periods, quality, substrings, suffixes, topk, turns, unigram
+from . import bpe, ctw, leaks, lines, mixing, near, periods, quality, substrings, suffixes, topk, turns, unigram
 from .common import read_table
 
 try:
     import public_tokenizers
 
     BPE_FILE, UNIGRAM_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    RANKS_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 except ModuleNotFoundError:
     BPE_FILE, UNIGRAM_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+    RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,5 +282,10 @@ FROM last LEFT JOIN counts ON counts.c IS NOT DISTINCT FROM last.c LEFT JOIN rep
 """
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_lm_score": op3_lm_score, "op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op6_near_dedup": op6_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing, "op10_top_k": op10_top_k, "op11_periodic_runs": op11_periodic_runs, "op12_turn_repair": op12_turn_repair}
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: secrets by pattern, and strings that a tokenizer's vocabulary finds random."""
+    return leaks.digest(leaks.find_secrets(read_table(spark, sf_dir, "documents"), RANKS_FILE))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_lm_score": op3_lm_score, "op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op6_near_dedup": op6_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing, "op10_top_k": op10_top_k, "op11_periodic_runs": op11_periodic_runs, "op12_turn_repair": op12_turn_repair, "op13_secret_scan": op13_secret_scan}
 ORACLES: dict[str, str] = {"op7_quality_rules": _OP7_SQL, "op8_line_dedup": _OP8_SQL, "op9_mixing": _op9_sql(), "op10_top_k": _OP10_SQL, "op12_turn_repair": _op12_sql()}
