@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -9,7 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import fold_arabic
+from .text import DIACRITICS, fold_arabic
+
+__all__ = ["DIACRITICS", "LATIN", "SOUNDS", "VOWELS", "consonants", "latin", "partner_similarity", "sequence_ratio", "skeleton", "spans", "token_overlap"]
 
 # Arabic letters and how they are written in Latin letters.
 LATIN = {
@@ -17,8 +20,15 @@ LATIN = {
     "ض": "d", "ط": "t", "ظ": "z", "ع": "a", "غ": "gh", "ف": "f", "ق": "q", "ك": "k", "ل": "l", "م": "m", "ن": "n", "ه": "h", "و": "w", "ي": "y", "ء": "",
 }
 
-# Letter groups and how they sound, in the order in which they are replaced.
-SOUNDS = (("ph", "f"), ("kh", "x"), ("gh", "g"), ("sh", "s"), ("th", "t"), ("ou", "u"), ("oo", "u"), ("ee", "i"), ("aa", "a"))
+# Two letters that are one consonant, and how it is written here. No pair begins in another.
+SOUNDS = (("ph", "f"), ("kh", "x"), ("gh", "g"), ("sh", "s"), ("th", "t"))
+#: What is no consonant: vowels, w, and y behind the first place.
+VOWELS = "(?<!^)y|[aeiouw]"
+
+
+def consonants(latin: str) -> str:
+    """What ``skeleton`` keeps of a name whose sounds are written as one letter."""
+    return re.sub("[^a-z0-9]", "", re.sub(VOWELS, "", latin))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -27,28 +37,24 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
 
 
-def latin(text: Column) -> Column:
+def latin(text: Column, hamza: str = "") -> Column:
     """Arabic letters written in Latin ones, white space collapsed."""
+    written = LATIN | {"ء": hamza}
     out = fold_arabic(text)
-    single = {k: v for k, v in LATIN.items() if len(v) == 1}
-    for letter, written in LATIN.items():
-        if len(written) > 1:
-            out = F.replace(out, F.lit(letter), F.lit(written))
-    gone = "".join(k for k, v in LATIN.items() if not v)
-    out = F.translate(out, "".join(single) + gone, "".join(single.values()))
+    for letter in (k for k, v in written.items() if len(v) > 1):
+        out = F.replace(out, F.lit(letter), F.lit(written[letter]))
+    single = "".join(v for v in written.values() if len(v) == 1)
+    # translate() removes the letters that have no counterpart.
+    out = F.translate(out, "".join(sorted((k for k, v in written.items() if len(v) < 2), key=lambda k: not written[k])), single)
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
 def skeleton(text: Column, relaxed: bool = False) -> Column:
     """Consonants of a name as they sound; ``relaxed`` writes doubled ones once."""
     out = latin(text)
-    for a, b in SOUNDS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    # A first y is a consonant, any other one a vowel.
-    rest = F.substring(out, F.lit(2), F.length(out))
-    out = F.when(out.startswith("y"), F.concat(F.lit("Y"), F.replace(rest, F.lit("y"), F.lit("i")))).otherwise(F.replace(out, F.lit("y"), F.lit("i")))
-    out = F.regexp_replace(F.replace(out, F.lit("w"), F.lit("u")), "[aeiou]", "")
-    out = F.regexp_replace(F.replace(out, F.lit("Y"), F.lit("y")), "[^a-z0-9]+", "")
+    for pair, sound in SOUNDS:
+        out = F.replace(out, F.lit(pair), F.lit(sound))
+    out = F.regexp_replace(F.regexp_replace(out, VOWELS, ""), "[^a-z0-9]", "")
     return F.regexp_replace(out, r"(.)\1+", "$1") if relaxed else out
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text_index import TextIndex
+
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key in an order."""
@@ -73,15 +75,13 @@ def moves_with_lines(moves: DataFrame, lines: DataFrame, move: str = "move_id")
 
 
 def find_references(requests: DataFrame, moves: DataFrame, fields: list[str]) -> DataFrame:
-    """ref and move id: first exact hits in any field; only refs without one look for moves that contain them.
-
-    The second pass compares every reference not found with every move, in a join without a key: its cost is their product.
-    """
+    """ref and move id: first exact hits in any field; only refs without one look for moves that contain them, through an index of trigrams. Null refs find nothing."""
     each = F.explode(F.array(*[F.col(c) for c in fields]))
-    exact = moves.select("id", each.alias("ref")).where("ref IS NOT NULL").join(requests.select("ref").distinct(), "ref").select("ref", "id").distinct()
-    rest = requests.select("ref").distinct().join(exact.select("ref").distinct(), "ref", "left_anti")
-    text = moves.select("id", F.lower(F.concat_ws("\n", *[F.col(c) for c in fields])).alias("_text"))
-    loose = text.join(rest, F.col("_text").contains(F.lower("ref"))).select("ref", "id")
+    asked = requests.select("ref").where("ref IS NOT NULL").distinct()
+    exact = moves.select("id", each.alias("ref")).where("ref IS NOT NULL").join(asked, "ref").select("ref", "id").distinct()
+    rest = asked.join(exact.select("ref").distinct(), "ref", "left_anti").withColumn("term", F.lower("ref"))
+    text = moves.select("id", F.concat_ws("\n", *[F.col(c) for c in fields]).alias("_text"))
+    loose = TextIndex.of(text, "id", ["_text"]).find(rest).join(rest, "term").select("ref", "id").distinct()
     return exact.withColumn("how", F.lit("exact")).unionByName(loose.withColumn("how", F.lit("contains")))
 
 

@@ -377,14 +377,17 @@ def j17(spark, d):
 
 @query(
     "j21_find_references",
-    """WITH m AS (SELECT c_custkey AS id, c_name AS name, 'ref-' || c_custkey AS ref FROM customer), r(ref) AS (VALUES ('ref-7'), ('ref-12'), ('REF-9'), ('nothing')),
+    """WITH m AS (SELECT c_custkey AS id, c_name AS name, 'ref-' || c_custkey AS ref FROM customer),
+    r AS (SELECT DISTINCT CASE o_orderkey // 100 % 4 WHEN 0 THEN 'ref-' || o_custkey WHEN 1 THEN 'REF-' || o_custkey WHEN 2 THEN '#' || lpad((o_custkey // 10)::VARCHAR, 8, '0') ELSE 'no-' || o_orderkey END AS ref FROM orders WHERE o_orderkey % 100 = 0),
     e AS (SELECT DISTINCT r.ref, id FROM r JOIN m ON r.ref = m.ref OR r.ref = m.name)
     SELECT ref, id, 'exact' AS how FROM e UNION ALL SELECT r.ref, id, 'contains' FROM r JOIN m ON contains(lower(m.name || chr(10) || m.ref), lower(r.ref)) WHERE r.ref NOT IN (SELECT ref FROM e)""",
 )
 def j21(spark, d):
     moves = t.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.concat(F.lit("ref-"), F.col("c_custkey").cast("string")).alias("ref"))
-    asked = spark.createDataFrame([("ref-7",), ("ref-12",), ("REF-9",), ("nothing",)], "ref string")
-    return lookup.find_references(asked, moves, ["name", "ref"])
+    kind, of = F.floor(F.col("o_orderkey") / 100) % 4, F.col("o_custkey").cast("string")
+    part = F.concat(F.lit("#"), F.lpad(F.floor(F.col("o_custkey") / 10).cast("string"), 8, "0"))
+    ref = F.when(kind == 0, F.concat(F.lit("ref-"), of)).when(kind == 1, F.concat(F.lit("REF-"), of)).when(kind == 2, part).otherwise(F.concat(F.lit("no-"), F.col("o_orderkey").cast("string")))
+    return lookup.find_references(t.table(spark, d, "orders").where("o_orderkey % 100 = 0").select(ref.alias("ref")), moves, ["name", "ref"])
 
 
 @query("j22_amount_membership", f"WITH {t.LEDGER_SQL} SELECT l_orderkey, l_linenumber, EXISTS (SELECT 1 FROM ledger WHERE abs(amount) = round(l_extendedprice / 500)::BIGINT * 500) AS matched FROM lineitem")
