@@ -10,6 +10,7 @@ matrix product, and the blocks' k best are merged.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, mix
 
-EXACT = float(1 << 53)
+EXACT, LONG = float(1 << 53), float(1 << 62)
+LAST = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -72,18 +74,27 @@ def _unpack(column: pa.Array) -> np.ndarray:
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     dims = max(a.shape[1], b.shape[1])
     a, b = _wide(a, dims), _wide(b, dims)
-    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(dims, 1) < EXACT:
+    with np.errstate(over="ignore"):
+        most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(dims, 1)
+    if most < EXACT:
         return (a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if most < LONG:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    # Beyond a long the products are Python's own whole numbers, exact at any size, and end where a long ends.
+    xs, ys = ([[int(v) for v in row] for row in m] for m in (a, b))
+    return np.array([[max(-LAST, min(LAST, sum(map(operator.mul, x, y)))) for y in ys] for x in xs], np.int64).reshape(len(xs), len(ys))
 
 
 def needed(pivots: np.ndarray, count: np.ndarray, radius: np.ndarray, q_count: np.ndarray, q_radius: np.ndarray, k: int) -> np.ndarray:
     """``out[i, j]``: whether the data of cell j may hold a top-k neighbour of a query of cell i."""
-    inner = pivots @ pivots.T
+    with np.errstate(over="ignore", invalid="ignore"):
+        inner = pivots @ pivots.T
     norm = np.sqrt(np.maximum(np.diag(inner), 0))
-    loose = 1 + 1e-9  # rounding of square roots
-    reach = q_radius[:, None] * norm[None, :] + (norm + q_radius)[:, None] * radius[None, :]
-    high, low = inner + reach * loose, inner - reach * loose
+    with np.errstate(over="ignore", invalid="ignore"):
+        reach = q_radius[:, None] * norm[None, :] + (norm + q_radius)[:, None] * radius[None, :]
+        # Room for the rounding of square roots and, with large numbers, of products.
+        room = reach * (1 + 1e-9) + 1e-12 * (norm + q_radius)[:, None] * (norm + radius)[None, :]
+        high, low = np.nan_to_num(inner + room, nan=np.inf), np.nan_to_num(inner - room, nan=-np.inf)
     out = np.zeros(inner.shape, bool)
     for i in np.flatnonzero(q_count):
         sure = -np.inf
@@ -113,7 +124,8 @@ def top_k(vectors: DataFrame, is_query: Column, how: Search = Search(), id_col:
     """query_id, rank, vec_id, score: the ``how.k`` best rows (all, if fewer) for each query, ties to the smaller id.
 
     Vectors become floor(scale * x). Null vectors, vectors with null or non-finite components and null ids take no part; a shorter
-    vector counts as ending in zeros. Rows are candidates for every query but those of the query's own id.
+    vector counts as ending in zeros. Rows that share an id are rows of their own: each query row has its k best (and is told apart by no column), and all rows but itself are
+    its candidates. Products are exact; a score beyond the range of a long counts as the end of that range.
     """
     scale, k = how.scale, how.k
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), is_query.alias("q"), F.col(vector_col).alias("v"))
@@ -137,12 +149,15 @@ def top_k(vectors: DataFrame, is_query: Column, how: Search = Search(), id_col:
         for b in batches:
             x = _unpack(b.column(2))
             dims = max(x.shape[1], pivots.shape[1])
+            np.seterr(over="ignore", invalid="ignore")  # distances of large vectors are infinite: they go anywhere and are looked at by all
             away = square[None, :] - 2 * (_wide(x, dims) @ _wide(pivots, dims).T)
             cell = away.argmin(1)
             far = np.sqrt(((_wide(x, dims) - _wide(pivots, dims)[cell]) ** 2).sum(1)) if len(x) else np.zeros(0)
+            far = np.nan_to_num(far, nan=np.inf)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=["id", "q", "x", "cell", "far"])
 
-    placed = cut(ready.mapInArrow(cells, "id long, q boolean, x binary, cell int, far double"))
+    # A row's number tells it from others of its id; it is fixed with the checkpoint.
+    placed = cut(ready.mapInArrow(cells, "id long, q boolean, x binary, cell int, far double").withColumn("row", F.monotonically_increasing_id()))
     sums = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r"), F.count_if("q").alias("qn"), F.max(F.when(F.col("q"), F.col("far"))).alias("qr")).collect()  # one row a cell
     p = len(pivots)
     count, radius, q_count, q_radius = (np.zeros(p) for _ in range(4))
@@ -162,8 +177,7 @@ def top_k(vectors: DataFrame, is_query: Column, how: Search = Search(), id_col:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A copy of each data row for each group (and part of its queries) that needs it; of each query row for each block."""
         for b in batches:
-            ids = np.asarray(b.column(0), np.int64)
-            cell, hashed = np.asarray(b.column(3)), mix(ids.view(np.uint64))
+            cell, hashed = np.asarray(b.column(3)), mix(np.asarray(b.column(5), np.int64).view(np.uint64))
             for is_q in (False, True):
                 take, keys = [], []
                 for g in range(n_groups):
@@ -182,35 +196,32 @@ def top_k(vectors: DataFrame, is_query: Column, how: Search = Search(), id_col:
                 at, key = np.concatenate(take), np.concatenate(keys)
                 for first in range(0, len(at), 4096):
                     some = at[first : first + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[first : first + 4096]), pa.array(np.full(len(some), is_q)), b.column(0).take(pa.array(some)), b.column(2).take(pa.array(some))], names=["key", "q", "id", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[first : first + 4096]), pa.array(np.full(len(some), is_q)), *[b.column(c).take(pa.array(some)) for c in (0, 2, 5)]], names=["key", "q", "id", "x", "row"])
 
     def solve(table: pa.Table) -> pa.Table:
         is_q = np.asarray(table.column("q").to_numpy(), bool)
-        ids = np.asarray(table.column("id"), np.int64)
-        out: list[list[np.ndarray]] = [[], [], []]
+        ids, row = np.asarray(table.column("id"), np.int64), np.asarray(table.column("row"), np.int64)
+        out: list[list[np.ndarray]] = [[], [], [], []]
         x = _unpack(table.column("x"))
         data = np.flatnonzero(~is_q)
-        data = data[np.argsort(ids[data], kind="stable")]
-        theirs, points = ids[data], x[data]
+        data = data[np.lexsort((row[data], ids[data]))]
+        theirs, points, own = ids[data], x[data], row[data]
         asked = np.flatnonzero(is_q)
         for first in range(0, len(asked) if len(data) else 0, 128):
             some = asked[first : first + 128]
-            for q, score in zip(ids[some], _products(x[some], points)):
-                ok = theirs != q
-                if not ok.all():
-                    score, cand = score[ok], theirs[ok]
-                else:
-                    cand = theirs
+            for q, n, score in zip(ids[some], row[some], _products(x[some], points)):
+                ok = own != n
+                score, cand = (score, theirs) if ok.all() else (score[ok], theirs[ok])
                 if len(score) > k:
                     best = np.flatnonzero(score >= -np.partition(-score, k - 1)[k - 1])
                 else:
                     best = np.arange(len(score))
                 best = best[np.argsort(-score[best], kind="stable")][:k]
-                for to, v in zip(out, (np.full(len(best), q), cand[best], score[best])):
+                for to, v in zip(out, (np.full(len(best), n), np.full(len(best), q), cand[best], score[best])):
                     to.append(v)
-        return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for o in out], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for o in out], names=["row", "query_id", "vec_id", "score"])
 
-    dealt = placed.mapInArrow(deal, "key long, q boolean, id long, x binary")
-    best = dealt.groupBy("key").applyInArrow(solve, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    dealt = placed.mapInArrow(deal, "key long, q boolean, id long, x binary, row long")
+    best = dealt.groupBy("key").applyInArrow(solve, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
