@@ -14,15 +14,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, cut
+from .common import cut
 
 SMALL_ENDS = 1_000_000  # lines of candidate pairs up to which their hashes (16 bytes each) are broadcast; beyond it the join shuffles
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """``edits``: 1 to 20. Lines under ``least_chars`` code points take no part: they stay, exact repeats too. Every later line goes,
-    however much of its document that is."""
+    """``edits``: 1 to 20. A line with a word that equals an earlier one goes, however short it is; one of ``least_chars`` code points or more also if it is within ``edits`` of
+    an earlier one of as many. Every later line goes, however much of its document that is."""
 
     edits: int = 1
     least_chars: int = 20
@@ -91,9 +91,14 @@ def bags_within(a: str, b: str, edits: int) -> Column:
     return out <= 2 * edits
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """The id and a hash of the text, which tells rows of one id, and rows without one, apart. Rows equal in both are one document read twice."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"))
+
+
 def lines_of(docs: DataFrame, least_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """id, line number (from 0), line, its length and 128 bits of hash, for lines with a word and enough code points."""
-    line = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("no", "line"))
+    """``row_key`` as id, line number (from 0), line, its length and 128 bits of hash, for lines with a word and enough code points."""
+    line = docs.select(row_key(id_col, text_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("no", "line"))
     line = line.withColumn("len", F.length("line")).where(f"len >= {max(1, least_chars)}").where(F.expr(r"btrim(line, ' \t\n\u000B\u000C\r') != ''"))
     return line.select("id", "no", "line", "len", F.xxhash64(F.lit(1), "line").alias("h"), F.xxhash64(F.lit(2), "line").alias("g"), bag("line").alias("bag"))
 
@@ -118,11 +123,11 @@ def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def kept_places(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the line numbers ``nos`` that are the first of their kind and have no earlier line within ``edits``."""
-    lines = lines_of(docs, rules.least_chars, id_col, text_col)
+    """id (a ``row_key``) and the line numbers ``nos`` that are the first of their kind and have no earlier line within ``edits``."""
+    lines = lines_of(docs, 1, id_col, text_col)
     place = F.struct("id", "no")
     first = cut(lines.groupBy("h", "g").agg(F.min(place).alias("at")))
-    pairs = near_pairs(lines, rules.edits)
+    pairs = near_pairs(lines.where(F.col("len") >= rules.least_chars), rules.edits)
     a = first.select("h", "g", F.col("at").alias("at1"))
     b = first.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("at").alias("at2"))
     later = pairs.join(a, ["h", "g"]).join(b, ["h2", "g2"]).select(F.greatest("at1", "at2").alias("at")).distinct()
@@ -133,14 +138,15 @@ def kept_places(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
 def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """The rows of ``docs`` with redundant lines taken out of ``text_col``; with ``counts`` also ``n_lines`` and ``n_removed``.
 
-    All rows and other columns stay. A null text stays null. Rows that share an id, null ids too, are one document read twice: line
-    numbers kept in one are kept in each.
+    All rows and other columns stay. A null text stays null. Lines go by id (null first), then a hash of the text, then line number: rows that share an id are told apart by their
+    texts, and rows equal in both are one document read twice, which keeps the same lines in each.
     """
     nos = kept_places(docs, rules, id_col, text_col).withColumnsRenamed({"id": "_id", "nos": "_nos"})
-    rows = by_key(docs, id_col).join(nos, F.col("_key").eqNullSafe(F.col("_id")), "left").drop("_id", "_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_key(id_col, text_col).alias("_key"))
+    rows = rows.join(nos, F.col("_key") == F.col("_id"), "left").drop("_id", "_key")
     body = F.coalesce(F.col("_row")[text_col], F.lit(""))
     rows = rows.withColumn("_lines", F.split(body, "\n"))
-    rows = rows.withColumn("_flags", F.expr(f"transform(_lines, (x, i) -> length(x) >= {max(1, rules.least_chars)} AND btrim(x, ' \\t\\n\\u000B\\u000C\\r') != '')"))
+    rows = rows.withColumn("_flags", F.expr("transform(_lines, (x, i) -> length(x) >= 1 AND btrim(x, ' \\t\\n\\u000B\\u000C\\r') != '')"))
     rows = rows.withColumn("_bad", F.expr("array_except(filter(transform(_flags, (f, i) -> IF(f, i, -1)), i -> i >= 0), coalesce(_nos, array()))"))
     # Both lists ascend: the kept lines are the runs between the removed ones.
     runs = "transform(sequence(0, size(_bad)), k -> slice(_lines, IF(k = 0, 0, _bad[k - 1] + 1) + 1, IF(k = size(_bad), size(_lines), _bad[k]) - IF(k = 0, 0, _bad[k - 1] + 1)))"
