@@ -22,16 +22,18 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 @dataclass(frozen=True)
 class Rules:
-    """``spread``: how many interquartile ranges beyond a quartile a fence stands; ``floors``: the least range that counts, by measure.
+    """A fence stands ``spread`` times the range between the first and the last of ``parts`` equal shares of a group's documents beyond that share's end.
+    A range is not known finer than the sketch's bins: it counts as a sixteenth of its upper end at least, and as 1.
 
-    ``least_docs``: documents that a group's own sketch needs. ``least_words`` and ``most_repeat_percent`` are the base rules.
+    ``measures`` have fences, those in ``two_sided`` a lower one too. ``least_docs``: documents that a group's own sketch needs. ``least_words`` and ``most_repeat_percent`` are the base rules.
     """
 
-    spread: int = 4
-    least_docs: int = 50
+    spread: int = 6
+    parts: int = 10
+    least_docs: int = 200
     least_words: int = 10
     most_repeat_percent: int = 20
-    floors: tuple[tuple[str, int], ...] = (("symbol_rate", 400), ("upper_rate", 500), ("mean_length", 700))
+    measures: tuple[str, ...] = ("symbol_rate", "upper_rate", "mean_length")
     two_sided: tuple[str, ...] = ("mean_length",)
 
 
@@ -94,8 +96,8 @@ def merge(sketches: DataFrame, groups: list[str]) -> DataFrame:
     return sketches.groupBy(*groups, "measure", "bin").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """``groups``, measure, n, q1 and q3: the least bins up to which a quarter and three quarters of the values lie."""
+def quartiles(sketches: DataFrame, groups: list[str], parts: int = 4) -> DataFrame:
+    """``groups``, measure, n, q1 and q3: the least bins up to which one share of ``parts`` of the values lies, and all but one share (a quarter and three quarters)."""
     from pyspark.sql import Window
 
     keys = [*groups, "measure"]
@@ -103,26 +105,26 @@ def quartiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
     run = sketches.withColumn("_upto", F.sum("n").over(by_bin.orderBy("bin"))).withColumn("_all", F.sum("n").over(by_bin))
     return run.groupBy(*keys).agg(
         F.max("_all").alias("n"),
-        F.min(F.when(F.col("_upto") * 4 >= F.col("_all"), F.col("bin"))).alias("q1"),
-        F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * 3, F.col("bin"))).alias("q3"),
+        F.min(F.when(F.col("_upto") * parts >= F.col("_all"), F.col("bin"))).alias("q1"),
+        F.min(F.when(F.col("_upto") * parts >= F.col("_all") * (parts - 1), F.col("bin"))).alias("q3"),
     )
 
 
 def thresholds(measures: DataFrame, rules: Rules = Rules(), lang: str = "_lang", source: str = "_source") -> DataFrame:
     """One row for each language and source: ``low_m`` and ``high_m`` for each measure m (null: no fence)."""
-    names = [m for m, _ in rules.floors]
+    names = list(rules.measures)
     own = cut(sketch(measures, [lang, source], names))
     levels = [("own", [lang, source]), ("by_lang", [lang]), ("by_all", [])]
     table = own.select(lang, source).distinct()
     for level, groups in levels:
-        q = quartiles(merge(own, groups), groups) if len(groups) < 2 else quartiles(own, groups)
+        q = quartiles(merge(own, groups) if len(groups) < 2 else own, groups, rules.parts)
         wide = q.groupBy(*groups).agg(*[F.max(F.when(F.col("measure") == m, F.struct("n", "q1", "q3"))).alias(f"{level}_{m}") for m in names])
         table = table.join(wide, groups, "left") if groups else table.crossJoin(wide)  # one row
     out = []
-    for m, floor in rules.floors:
+    for m in names:
         enough = [F.when(F.col(f"{level}_{m}.n") >= rules.least_docs, F.col(f"{level}_{m}")) for level, _ in levels]
         q = F.coalesce(*enough, F.col(f"by_all_{m}"))
-        reach = rules.spread * F.greatest(q["q3"] - q["q1"], F.lit(floor))
+        reach = rules.spread * F.greatest(q["q3"] - q["q1"], F.shiftright(q["q3"], 4), F.lit(1))
         low = q["q1"] - reach if m in rules.two_sided else F.lit(None).cast("long")
         out += [low.alias(f"low_{m}"), (q["q3"] + reach).alias(f"high_{m}")]
     return table.select(lang, source, *out)
@@ -142,7 +144,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
     words = F.col("n_words")
     failed = (words < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeat_percent * words)
     outside = F.lit(False)
-    for m, _ in rules.floors:
+    for m in rules.measures:
         outside = outside | F.coalesce(F.col(m) < F.col(f"low_{m}"), F.lit(False)) | F.coalesce(F.col(m) > F.col(f"high_{m}"), F.lit(False))
     groups = cut(limits)  # a row for each language and source
     joined = found.join(F.broadcast(groups) if groups.count() <= SMALL_GROUPS else groups, ["_lang", "_source"], "left")
