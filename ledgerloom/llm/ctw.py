@@ -256,7 +256,7 @@ def train(counts: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
+    """One row for each input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10), bits_per_byte (the code length of the text and its end, per byte of these).
 
     Documents with crc32(id as text) mod 7 other than 2 train. A null text counts as empty: one token, its end. Without
     training documents every bit has probability one half. A null id counts as the empty text for the remainder.
@@ -293,12 +293,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def sums(table: pa.Table, found: pa.Table) -> pa.Table:
         index = pd.Index(np.asarray(found.column("key"), np.int64))
         value = np.asarray(found.column("value"), np.float64)
-        out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "base", "score")}
+        out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "base", "score", "bytes")}
         for part in table.column("text").chunks:
             for run in texts(part):
                 data = lower_ascii(run.data)
                 key, first = grams(run, data)
                 out["score"].append(np.add.reduceat(value[index.get_indexer(key.view(np.int64))], first))
+                out["bytes"].append(np.diff(np.append(first, len(key))))
                 key, first = word_keys(run, data)
                 got = value[index.get_indexer(key.view(np.int64))]
                 size = np.diff(np.append(first, len(key)))
@@ -308,9 +309,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         join = {c: np.concatenate(v) if v else np.zeros(0) for c, v in out.items()}
         n = table.num_rows
         return pa.table(
-            [table.column("id"), table.column("held"), pa.array(join["n_tokens"].astype(np.int64)), pa.array(join["n_known"].astype(np.int64)), pa.array(np.full(n, n_all)), pa.array(join["base"]), pa.array(join["score"])],
-            names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            [table.column("id"), table.column("held"), pa.array(join["n_tokens"].astype(np.int64)), pa.array(join["n_known"].astype(np.int64)), pa.array(np.full(n, n_all)), pa.array(join["base"]), pa.array(join["score"]), pa.array(-join["score"] * math.log2(10) / np.maximum(join["bytes"], 1))],
+            names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
         )
 
-    shape = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    shape = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return dealt.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(sums, shape)

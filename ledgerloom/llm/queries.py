@@ -29,7 +29,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every whole text."""
     return ctw.score(read_table(spark, sf_dir, "documents"))
 
 
@@ -67,17 +67,19 @@ _OP8_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM documents
 ), t AS (
-  SELECT *, length(line) >= 20 AND regexp_matches(line, '[^\x20\x09-\x0D]') AS part FROM l
+  SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS part FROM l
 ), f AS (
   SELECT line, length(line) AS n, min((doc_id, no)) AS pos FROM t WHERE part GROUP BY line
+), long AS (
+  SELECT * FROM f WHERE n >= 20
 ), half AS (
-  SELECT line, n AS m, pos, 0 AS side, left(line, n // 2) AS piece FROM f
-  UNION ALL SELECT line, n, pos, 1, right(line, n - n // 2) FROM f
+  SELECT line, n AS m, pos, 0 AS side, left(line, n // 2) AS piece FROM long
+  UNION ALL SELECT line, n, pos, 1, right(line, n - n // 2) FROM long
 ), probe AS (
-  SELECT line, n AS m, pos, 0 AS side, left(line, n // 2) AS piece FROM f
-  UNION ALL SELECT line, n, pos, 1, right(line, n - n // 2) FROM f
-  UNION ALL SELECT line, n - 1, pos, 0, left(line, (n - 1) // 2) FROM f
-  UNION ALL SELECT line, n - 1, pos, 1, right(line, n - 1 - (n - 1) // 2) FROM f
+  SELECT line, n AS m, pos, 0 AS side, left(line, n // 2) AS piece FROM long
+  UNION ALL SELECT line, n, pos, 1, right(line, n - n // 2) FROM long
+  UNION ALL SELECT line, n - 1, pos, 0, left(line, (n - 1) // 2) FROM long
+  UNION ALL SELECT line, n - 1, pos, 1, right(line, n - 1 - (n - 1) // 2) FROM long
 ), later AS (
   SELECT DISTINCT greatest(a.pos, b.pos) AS pos
   FROM half a JOIN probe b ON a.m = b.m AND a.side = b.side AND a.piece = b.piece AND a.line <> b.line WHERE levenshtein(a.line, b.line) <= 1
@@ -181,11 +183,11 @@ WITH d AS (
          (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper
   FROM s LEFT JOIN c USING (doc_id)
 ), v AS (
-  SELECT doc_id, lang, source, 'symbol_rate' AS measure, CASE WHEN n_words > 0 THEN 10000 * n_symbols // n_words END AS value, 400 AS least, false AS two FROM m
-  UNION ALL SELECT doc_id, lang, source, 'upper_rate', CASE WHEN word_chars > 0 THEN 10000 * n_upper // word_chars END, 500, false FROM m
-  UNION ALL SELECT doc_id, lang, source, 'mean_length', CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words END, 700, true FROM m
+  SELECT doc_id, lang, source, 'symbol_rate' AS measure, CASE WHEN n_words > 0 THEN 10000 * n_symbols // n_words END AS value, false AS two FROM m
+  UNION ALL SELECT doc_id, lang, source, 'upper_rate', CASE WHEN word_chars > 0 THEN 10000 * n_upper // word_chars END, false FROM m
+  UNION ALL SELECT doc_id, lang, source, 'mean_length', CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words END, true FROM m
 ), b AS (
-  SELECT lang, source, measure, least, two,
+  SELECT lang, source, measure,
          value - value % (1::BIGINT << greatest(length(bin(value)) - 6, 0)) AS bin FROM v WHERE value IS NOT NULL
 ), levels AS (
   SELECT 1 AS level, lang AS gl, source AS gs, measure, bin, count(*) AS n FROM b GROUP BY ALL
@@ -194,15 +196,15 @@ WITH d AS (
 ), upto AS (
   SELECT *, sum(n) OVER (PARTITION BY level, gl, gs, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, gl, gs, measure) AS total FROM levels
 ), q AS (
-  SELECT level, gl, gs, measure, max(total) AS n, min(bin) FILTER (upto * 4 >= total) AS q1, min(bin) FILTER (upto * 4 >= total * 3) AS q3
+  SELECT level, gl, gs, measure, max(total) AS n, min(bin) FILTER (upto * 10 >= total) AS q1, min(bin) FILTER (upto * 10 >= total * 9) AS q3
   FROM upto GROUP BY ALL
 ), f AS (
   SELECT v.doc_id,
-         bool_or(coalesce(v.value > coalesce(o.q3, l.q3, a.q3) + 4 * greatest(coalesce(o.q3, l.q3, a.q3) - coalesce(o.q1, l.q1, a.q1), v.least), false)
-              OR coalesce(v.two AND v.value < coalesce(o.q1, l.q1, a.q1) - 4 * greatest(coalesce(o.q3, l.q3, a.q3) - coalesce(o.q1, l.q1, a.q1), v.least), false)) AS outside
+         bool_or(coalesce(v.value > coalesce(o.q3, l.q3, a.q3) + 6 * greatest(coalesce(o.q3, l.q3, a.q3) - coalesce(o.q1, l.q1, a.q1), coalesce(o.q3, l.q3, a.q3) // 16, 1), false)
+              OR coalesce(v.two AND v.value < coalesce(o.q1, l.q1, a.q1) - 6 * greatest(coalesce(o.q3, l.q3, a.q3) - coalesce(o.q1, l.q1, a.q1), coalesce(o.q3, l.q3, a.q3) // 16, 1), false)) AS outside
   FROM v
-  LEFT JOIN q o ON o.level = 1 AND o.gl = v.lang AND o.gs = v.source AND o.measure = v.measure AND o.n >= 50
-  LEFT JOIN q l ON l.level = 2 AND l.gl = v.lang AND l.measure = v.measure AND l.n >= 50
+  LEFT JOIN q o ON o.level = 1 AND o.gl = v.lang AND o.gs = v.source AND o.measure = v.measure AND o.n >= 200
+  LEFT JOIN q l ON l.level = 2 AND l.gl = v.lang AND l.measure = v.measure AND l.n >= 200
   LEFT JOIN q a ON a.level = 3 AND a.measure = v.measure
   GROUP BY v.doc_id
 ), e AS (

@@ -206,6 +206,7 @@ def test_op3(spark, docs):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(tokens[i]), sum(count[w] > 0 for w in tokens[i]), total)
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in tokens[i]))
+        assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / (len((t or "").encode()) + 1))
         if len(t or "") < 1000:
             assert r.score == pytest.approx(sum(math.log10(p if bit else 1 - p) for c, place, bit in bits(t or "") for p in [predict(c, place)]), rel=1e-6)
 
@@ -369,9 +370,9 @@ def test_op8(spark, docs):
     out = lines.dedup_lines(docs, counts=True)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
     got = by_id(out)
-    places = [(i, n, x) for i in sorted(TEXTS) for n, x in enumerate((TEXTS[i] or "").split("\n")) if len(x) >= 20 and WORD.search(x)]
+    places = [(i, n, x) for i in sorted(TEXTS) for n, x in enumerate((TEXTS[i] or "").split("\n")) if WORD.search(x)]
     for i, t in TEXTS.items():
-        bad = [n for j, n, x in places if j == i and any((a, b) < (j, n) and abs(len(x) - len(y)) < 2 and (x == y or edits(x[:200], y[:200]) <= 1 and x[200:] == y[200:]) for a, b, y in places)]
+        bad = [n for j, n, x in places if j == i and any((a, b) < (j, n) and abs(len(x) - len(y)) < 2 and (x == y or min(len(x), len(y)) >= 20 and edits(x[:200], y[:200]) <= 1 and x[200:] == y[200:]) for a, b, y in places)]
         all_ = (t or "").split("\n")
         want = None if t is None else "\n".join(x for n, x in enumerate(all_) if n not in bad)
         assert (got[i].text, got[i].n_removed) == (want, len(bad)), i
@@ -383,13 +384,31 @@ def test_op8_exempts_no_document(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "a") for i, t in texts.items()], cases.SCHEMA)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = by_id(op8_line_dedup(spark, str(tmp_path)))
-    want = {1: (0, texts[1]), 2: (2, "--"), 3: (2, c), 4: (1, ""), 5: (0, ""), 6: (0, " ")}
+    want = {1: (0, texts[1]), 2: (3, ""), 3: (2, c), 4: (1, ""), 5: (0, ""), 6: (0, " ")}
     assert {i: (r.n_removed, r.kept_sha256) for i, r in got.items()} == {i: (n, sha(t.encode())) for i, (n, t) in want.items()}
     pipeline = pytest.importorskip("corpus_pipeline")
     left = by_id(pipeline.line_dedup(spark, docs, str(tmp_path)))
     assert {i: r.text for i, r in left.items()} == {1: texts[1], 3: c, 5: None, 6: " "}
 
 
+def test_op8_rows_of_one_id(spark):
+    """A line kept in one row of an id is not kept for it in another; rows equal in id and text are one document."""
+    a, b = "The line that stands in three of these rows.", "Another text altogether, met once alone."
+    rows = [(1, a), (2, b), (2, a), (None, a + "\n" + b + "!"), (None, "x\n" + a), (3, "x"), (4, "x y\nx"), (4, "x y\nx")]
+    got = sorted(((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()))
+    # Null ids come first, by the hash of their texts; the first of them keeps both lines that others repeat.
+    order = [r.text for r in spark.createDataFrame([(x,) for i, x in rows if i is None], "text string").orderBy(F.xxhash64("text")).collect()]
+    seen, want = [], []
+    for i, text in [(0, x) for x in order] + [(1, a), *sorted([(2, b), (2, a)], key=lambda r: 0), (3, "x"), (4, "x y\nx"), (4, "x y\nx")]:
+        kept = [x for x in text.split("\n") if not any(x == y or min(len(x), len(y)) >= 20 and edits(x, y) <= 1 for y in seen)]
+        if i != 4 or not any(w[0] == 4 for w in want):
+            seen += text.split("\n")
+            want.append((i, "\n".join(kept), len(text.split("\n")), len(text.split("\n")) - len(kept)))
+        else:
+            want.append(want[-1])
+    assert got == sorted(want)
+
+
 def filled(nodes, given):
     """Shares of a family by plain loops: nodes that fill up before their fair part go first, the others share what is left by weight."""
     left, open_, out = given, dict(nodes), {}
@@ -458,6 +477,31 @@ def test_op10(spark):
     assert set(got) == {i for i in vectors if i % 20 == 0}
 
 
+def test_op10_rows_of_one_id(spark):
+    """Every row of a query's id has its own neighbours: all rows but itself."""
+    rows = [(0, [1.0, 2.0])] * 2 + [(0, [-1.0, 1.0])] + [(k, [float(k % 7), float(k % 5)]) for k in range(1, 40)] + [(20, [3.0, 3.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 20 == 0, topk.Search(k=20, pivots=3, block=16)).collect())
+    v = [(i, np.array(x) * 64) for i, x in rows]
+    want = []
+    for n, (i, x) in enumerate(v):
+        if i % 20 == 0:
+            scored = sorted((-int(x @ y), j) for m, (j, y) in enumerate(v) if m != n)[:20]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    assert got == sorted(want) and len(got) == 100
+
+
+@pytest.mark.parametrize("size", [3e17, 1e150, 1e300])
+def test_op10_large_components(spark, size):
+    rows = [(k, [size * (k + 1), 1.0, -size * (k % 3)]) for k in range(60)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, topk.Search(k=20, pivots=4)).collect())
+    v = {k: [math.floor(64 * c) for c in x] for k, x in rows}
+    last, want = (1 << 63) - 1, []
+    for q in (0, 20, 40):
+        scored = sorted((-max(-last, min(last, sum(a * b for a, b in zip(v[q], v[k])))), k) for k in v if k != q)[:20]
+        want += [(q, r + 1, k, -s) for r, (s, k) in enumerate(scored)]
+    assert got == sorted(want)
+
+
 def test_empty_tables(spark):
     e = cases.empty(spark)
     assert substrings.remove_repeats(e).count() == 0
@@ -524,7 +568,7 @@ def test_pipeline(spark, tmp_path):
 
 
 def quality_by_hand(rows):
-    """Ids that the quality stage keeps: base rules and fences from binned quartiles, by plain loops."""
+    """Ids that the quality stage keeps: base rules and fences from binned shares, by plain loops."""
     import corpus_pipeline as pipeline
 
     rules, found = quality.Rules(least_words=pipeline.LEAST_WORDS), {}
@@ -542,15 +586,15 @@ def quality_by_hand(rows):
         for group in ((lang, source), (lang,), ()):
             bins = sorted(v[m] - v[m] % (1 << max(v[m].bit_length() - 6, 0)) for x, y, v, _ in found.values() if m in v and (x, y)[: len(group)] == group)
             if len(bins) >= rules.least_docs or (bins and not group):
-                return bins[-(-len(bins) // 4) - 1], bins[-(-3 * len(bins) // 4) - 1]
+                return bins[-(-len(bins) // rules.parts) - 1], bins[-(-(rules.parts - 1) * len(bins) // rules.parts) - 1]
 
     kept = set()
     for i, (lang, source, value, failed) in found.items():
         good = not failed
-        for m, floor in rules.floors:
+        for m in rules.measures:
             if m in value:
                 q1, q3 = fence(lang, source, m)
-                reach = rules.spread * max(q3 - q1, floor)
+                reach = rules.spread * max(q3 - q1, q3 // 16, 1)
                 good &= value[m] <= q3 + reach and not (m in rules.two_sided and value[m] < q1 - reach)
         if good:
             kept.add(i)
@@ -570,8 +614,8 @@ def test_pipeline_stages_by_hand(spark, tmp_path):
     for i in sorted(left):
         kept = []
         for x in left[i].text.split("\n"):
-            part = len(x) >= 20 and WORD.search(x)
-            if not (part and any(abs(len(x) - len(y)) < 2 and (x == y or edits(x, y) <= 1) for y in seen)):
+            part = WORD.search(x)
+            if not (part and any(abs(len(x) - len(y)) < 2 and (x == y or min(len(x), len(y)) >= 20 and edits(x, y) <= 1) for y in seen)):
                 kept.append(x)
             if part:
                 seen.append(x)
