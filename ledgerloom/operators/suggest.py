@@ -123,33 +123,51 @@ def fuzzy_rule(rows: DataFrame, rules: DataFrame, key: str, text: str = "descrip
     return keyed.join(best, F.col("_u").eqNullSafe(F.col("_t")) & F.col("_c").eqNullSafe(F.col("_a"))).select(key, "_b.rule_id", "_b.account_id", "_b.confidence")
 
 
-def historical_entry(rows: DataFrame, history: DataFrame, key: str, most: int = 10_000, text: str = "description", amount: str = "amount") -> DataFrame:
-    """key, entry_id, account_id, confidence, needs_review: the past entry and counterpart of best .82 text + .12 amount + .06 kind.
+def paired(left: DataFrame, right: DataFrame, block: int = 2000) -> DataFrame:
+    """All pairs of a stated set (``left``) and what it is compared with, as an equi-join on blocks of about ``block`` rows of either side.
 
-    ``history``: entry_id, line_id, account_id, bank_text, line_text, bank_amount. ``rows`` is a stated set of movements, ``most`` at
-    most (an error beyond): it is broadcast, and the history is read once in its own partitions. Dates play no part.
+    Each row is copied to the blocks of its row or column of the grid; sizes are counted, nothing is broadcast, and any number of rows fits.
+    """
+    n, m = (max(1, -(-side.count() // block)) for side in (left, right))
+
+    def dealt(side: DataFrame, own: str, blocks: int, other: str, copies: int) -> DataFrame:
+        return side.withColumn(own, F.pmod(F.xxhash64(*side.columns), F.lit(blocks))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+
+    return dealt(left, "_x", n, "_y", m).join(dealt(right, "_y", m, "_x", n), ["_x", "_y"]).drop("_x", "_y")
+
+
+def historical_entry(rows: DataFrame, history: DataFrame, key: str, text: str = "description", amount: str = "amount", own: bool = False) -> DataFrame:
+    """key, entry_id, account_id, confidence, needs_review: the past entry and counterpart of best .82 text + .12 amount + .06 kind; ties to the first.
+
+    ``history``: entry_id, line_id, account_id, bank_text, line_text, bank_amount. ``rows`` is a stated set of movements of any size; with ``own`` an entry whose id is the movement's
+    key is left out for it. Distinct texts are compared once, in blocks. Dates play no part.
     """
-    if rows.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} movements at a time")
     asked = rows.select(F.col(key).alias("_key"), bank_text(F.col(text)).alias("_n"), movement_kind(F.col(text)).alias("_k"), F.col(amount).alias("_a"))
     there = history.where("account_id IS NOT NULL").select("entry_id", "line_id", "account_id", "bank_amount", bank_text(F.col("bank_text")).alias("_b"), bank_text(F.col("line_text")).alias("_l"), movement_kind(F.col("bank_text")).alias("_bk"))
-    # A pair of texts is compared once, however many movements and entries have it.
     said = there.select(F.col("_b").alias("_u")).union(there.select("_l")).distinct()
-    like = said.join(F.broadcast(asked.select(F.col("_n").alias("_m")).distinct()))
+    like = paired(asked.select(F.col("_n").alias("_m")).distinct(), said)
     like = like.select("_m", "_u", text_similarity(F.col("_m"), F.col("_u"), False).alias("_s"))
-    # Of equal texts, amounts and kinds only the first entry can win.
-    first = there.groupBy("_b", "_l", "_bk", "bank_amount").agg(F.min(F.struct("entry_id", "line_id", "account_id")).alias("_e"))
-    some = asked.select("_n", "_k", "_a").distinct()
+    # Of equal texts, amounts and kinds only the first entries can win: one, or two where the first may be the movement's own.
+    entry = F.struct("entry_id", "line_id", "account_id")
+    one = there.groupBy("_b", "_l", "_bk", "bank_amount", "entry_id").agg(F.min(entry).alias("_e"))
+    order = Window.partitionBy("_b", "_l", "_bk", "bank_amount").orderBy("_e")
+    first = one.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= (2 if own else 1)).drop("_r", "entry_id")
+    some = asked.select(F.col("_n").alias("_m"), "_k", "_a").distinct()
     by_bank = first.join(like.select("_m", F.col("_u").alias("_b"), F.col("_s").alias("_x")), "_b")
     both = by_bank.join(like.select("_m", F.col("_u").alias("_l"), F.col("_s").alias("_y")), ["_m", "_l"])
-    pairs = both.join(F.broadcast(some), F.col("_m") == F.col("_n"))
+    pairs = both.join(some, "_m")
     kind = F.when((F.col("_k") != "general") & (F.col("_k") == F.col("_bk")), 1.0).otherwise(0.0)
     score = F.least(F.lit(1.0), F.greatest("_x", "_y") * 0.82 + amount_similarity(F.col("_a"), F.col("bank_amount")) * 0.12 + kind * 0.06)
     scored = pairs.withColumn("confidence", F.round(score, 4))
-    best = scored.groupBy("_n", "_k", "_a").agg(F.min_by(F.struct("_e", "confidence"), F.struct(-F.col("confidence"), "_e")).alias("_r"))
-    best = best.select(F.col("_n").alias("_bn"), F.col("_k").alias("_bk"), F.col("_a").alias("_ba"), "_r")
-    same = F.col("_n").eqNullSafe(F.col("_bn")) & F.col("_k").eqNullSafe(F.col("_bk")) & F.col("_a").eqNullSafe(F.col("_ba"))
-    return asked.join(best, same).select(F.col("_key").alias(key), "_r._e.entry_id", "_r._e.account_id", "_r.confidence", (F.col("_r.confidence") < 0.60).alias("needs_review"))
+    best = Window.partitionBy("_m", "_k", "_a").orderBy(F.desc("confidence"), "_e")
+    top = scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= (2 if own else 1))
+    top = top.select("_m", F.col("_k").alias("_tk"), F.col("_a").alias("_ta"), "_e", "confidence", "_r")
+    same = F.col("_n").eqNullSafe(F.col("_m")) & F.col("_k").eqNullSafe(F.col("_tk")) & F.col("_a").eqNullSafe(F.col("_ta"))
+    out = asked.join(top, same)
+    if own:
+        out = out.where(F.col("_key") != F.col("_e.entry_id"))
+    chosen = out.groupBy("_key", "_n", "_k", "_a").agg(F.min_by(F.struct("_e", "confidence"), "_r").alias("_c"))
+    return chosen.select(F.col("_key").alias(key), "_c._e.entry_id", "_c._e.account_id", "_c.confidence", (F.col("_c.confidence") < 0.60).alias("needs_review"))
 
 
 def smart_matches(found: DataFrame, least: float = 0.6, per_query: int = 5) -> DataFrame:

@@ -431,12 +431,12 @@ def f23(spark, d):
     return orders(spark, d).select("k", F.array_join(s["amounts"].cast("array<string>"), "|").alias("amounts"), F.array_join(whole["dates"], "|").alias("dates"), F.array_join(whole["references"], "|").alias("references_"), whole["party"].alias("party"))
 
 
-@query("f25_entry_references", "SELECT o_orderkey AS k, 'BNK/' || strftime(o_orderdate, '%Y') || '/' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || '|' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS refs, CAST(o_orderkey AS VARCHAR) AS ids FROM orders WHERE o_orderkey < 1000000")
+@query("f25_entry_references", "SELECT o_orderkey AS k, 'BNK/' || strftime(o_orderdate, '%Y') || '/' || lpad((o_orderkey % 100000000)::VARCHAR, 8, '0') || '|' || lpad((o_orderkey % 100000000)::VARCHAR, 8, '0') AS refs, (o_orderkey % 100000000)::VARCHAR AS ids FROM orders")
 def f25(spark, d):
-    number = F.lpad(F.col("k").cast("string"), 6, "0")
+    number = F.lpad((F.col("k") % 100_000_000).cast("string"), 8, "0")
     given = F.concat(F.lit("see bnk / "), F.date_format("o_orderdate", "yyyy"), F.lit("/ "), number, F.lit(" and entry no. "), number, F.lit(", again entry no. "), number)
     refs, ids = text.entry_references(given)
-    return orders(spark, d).where("k < 1000000").select("k", F.array_join(refs, "|").alias("refs"), F.array_join(ids.cast("array<string>"), "|").alias("ids"))
+    return orders(spark, d).select("k", F.array_join(refs, "|").alias("refs"), F.array_join(ids.cast("array<string>"), "|").alias("ids"))
 
 
 @query("f27_cosine", "SELECT a.vec_id, round(greatest(-1, least(1, list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))))), 6) AS cosine FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) a JOIN (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) b ON b.vec_id = a.vec_id + 1")
@@ -796,10 +796,10 @@ def j10(spark, d):
 
 @query("j11_historical_entries")
 def j11(spark, d):
-    """k, entry_id, account_id, confidence, needs_review: every hundredth order's movement against all the others."""
+    """k, entry_id, account_id, confidence, needs_review: every hundredth order's movement against all orders but its own."""
     rows = _bank_rows(spark, d)
-    past = rows.where("k % 100 != 0").select(F.col("k").alias("entry_id"), F.lit(1).alias("line_id"), (F.col("k") % 20).alias("account_id"), F.col("description").alias("bank_text"), F.concat(F.lit("line "), F.col("k") % 9).alias("line_text"), F.col("amount").alias("bank_amount"))
-    return suggest.historical_entry(rows.where("k % 100 = 0"), past, "k")
+    past = rows.select(F.col("k").alias("entry_id"), F.lit(1).alias("line_id"), (F.col("k") % 20).alias("account_id"), F.col("description").alias("bank_text"), F.concat(F.lit("line "), F.col("k") % 9).alias("line_text"), F.col("amount").alias("bank_amount"))
+    return suggest.historical_entry(rows.where("k % 100 = 0"), past, "k", own=True)
 
 
 @query("w07_near_duplicates")

@@ -80,8 +80,9 @@ def a18(spark, d):
 
 _DOCS_MOVES = """docs AS (SELECT o_orderkey AS d_id, CAST(o_totalprice * (1 + (o_orderkey % 5) * 0.004) AS DECIMAL(20, 2)) AS d_amount, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 6 AS INTEGER) AS d_date,
   'invoice ord-' || o_orderkey || ' for customer#' || o_custkey AS d_text FROM orders),
-moves AS (SELECT o_orderkey AS m_id, CAST(o_totalprice AS DECIMAL(20, 2)) AS m_amount, CAST(o_orderdate AS DATE) AS m_date, 'ORD-' || o_orderkey AS m_ref, 'Customer#' || o_custkey AS m_partner FROM orders),
-near AS (SELECT * FROM docs JOIN moves ON m_amount BETWEEN d_amount * 0.99 AND d_amount * 1.01 AND abs(date_diff('day', m_date, d_date)) <= 4)"""
+moves AS (SELECT o_orderkey AS m_id, CAST(o_totalprice AS DECIMAL(20, 2)) AS m_amount, CAST(o_orderdate AS DATE) AS m_date, 'ORD-' || o_orderkey AS m_ref, 'Customer#' || o_custkey AS m_partner FROM orders WHERE o_orderstatus <> 'P'),
+near AS (SELECT * FROM docs JOIN moves ON m_amount BETWEEN d_amount * 0.99 AND d_amount * 1.01 AND abs(date_diff('day', m_date, d_date)) <= 4
+  QUALIFY row_number() OVER (PARTITION BY d_id ORDER BY abs(d_amount - m_amount), m_id) <= 50)"""
 
 
 def _documents_and_moves(spark, d):
@@ -92,7 +93,8 @@ def _documents_and_moves(spark, d):
         F.expr("date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey % 6 AS INT))").alias("d_date"),
         F.expr("concat('invoice ord-', o_orderkey, ' for customer#', o_custkey)").alias("d_text"),
     )
-    moves = o.select(F.col("o_orderkey").alias("m_id"), F.col("o_totalprice").cast("decimal(20,2)").alias("m_amount"), F.col("o_orderdate").cast("date").alias("m_date"), F.expr("concat('ORD-', o_orderkey)").alias("m_ref"), F.expr("concat('Customer#', o_custkey)").alias("m_partner"))
+    posted = o.where("o_orderstatus <> 'P'")
+    moves = posted.select(F.col("o_orderkey").alias("m_id"), F.col("o_totalprice").cast("decimal(20,2)").alias("m_amount"), F.col("o_orderdate").cast("date").alias("m_date"), F.expr("concat('ORD-', o_orderkey)").alias("m_ref"), F.expr("concat('Customer#', o_custkey)").alias("m_partner"))
     return docs, moves
 
 
@@ -115,7 +117,8 @@ def j06(spark, d):
     SELECT d_id, m_id, score::DOUBLE AS score, rank, CASE WHEN score >= 85 THEN 'high' WHEN score >= 65 THEN 'medium' WHEN score >= 45 THEN 'low' ELSE 'weak' END AS confidence FROM k WHERE rank <= 10""",
 )
 def j07(spark, d):
-    near = reconcile.near_amounts(*_documents_and_moves(spark, d))
+    docs, moves = _documents_and_moves(spark, d)
+    near = reconcile.near_amounts(docs, moves).join(docs, "d_id").join(moves, "m_id")
     a, when = scores.amount_score(F.col("d_amount"), F.col("m_amount")), scores.date_score(F.col("d_date"), F.col("m_date"))
     ref = F.when(F.col("d_text").contains(F.lower("m_ref")), 1.0).otherwise(0.0)
     score = F.round(35 * a + 20 * when + 12 * ref + 8 * scores.partner_score(F.col("d_text"), F.col("m_partner")), 4)

@@ -62,6 +62,18 @@ def test_historical_entries(spark):
         assert (got[k].entry_id, got[k].account_id, got[k].confidence, got[k].needs_review) == (best[1], best[3], -best[0], -best[0] < 0.6)
 
 
+def test_historical_entries_in_blocks(spark):
+    """All pairs meet in whatever blocks; a movement's own entry is left out, also where it is the first of equal ones."""
+    left, right = spark.range(23).select(F.col("id").alias("a")), spark.range(31).select(F.col("id").alias("b"))
+    assert {(r.a, r.b) for r in suggest.paired(left, right, 5).collect()} == {(a, b) for a in range(23) for b in range(31)}
+    assert suggest.paired(left, right.where("b < 0"), 5).collect() == []
+    rows = [(k, f"transfer to {('acme', 'bolt', 'crux', 'dyne')[k % 4]}", 100.0) for k in range(12)] + [(50, "alone here", 7.0)]
+    df = spark.createDataFrame(rows, "k long, description string, amount double")
+    past = df.select(F.col("k").alias("entry_id"), F.lit(1).alias("line_id"), F.col("k").alias("account_id"), F.col("description").alias("bank_text"), F.lit("").alias("line_text"), F.col("amount").alias("bank_amount"))
+    got = {r.k: r.entry_id for r in suggest.historical_entry(df, past, "k", own=True).collect()}
+    assert {k: got[k] for k in range(12)} == {k: k + 4 if k < 4 else k % 4 for k in range(12)} and got[50] != 50
+
+
 def test_fuzzy_rules(spark):
     rules = [(1, 10, "bank service charges", "fee", None, None, None), (2, 20, "payroll run", "salary", "greater", 50.0, None), (3, 30, "pos settlement", "", "lower", None, 10.0)]
     df = spark.createDataFrame(rules, "rule_id long, account_id long, rule_text string, label_value string, mode string, low double, high double")
@@ -137,3 +149,26 @@ def test_enrichment_needs_a_clear_partner(spark):
     partners = spark.createDataFrame([(1, 5, 0.9, True), (1, 6, 0.8, True), (3, 7, 0.9, True), (3, 8, 0.95, False)], "k long, id long, confidence double, resolved boolean")
     got = {r.k: (r.side, r.partner_id, r.analytic_id) for r in drafts.enrich(rows, partners, "k").collect()}
     assert got == {1: ("credit", None, 3), 2: (None, None, None), 3: ("debit", 7, None)}
+
+
+def test_near_amounts(spark):
+    """Every move in range, the closest ones only where there are more, against a plain loop; amounts at the edges of bands and ranges."""
+    import datetime
+    import random
+    from decimal import Decimal
+
+    from ledgerloom.operators import reconcile
+
+    rng, day = random.Random(4), datetime.date(2024, 1, 1)
+    docs = [(k, Decimal(rng.choice([100, 101, 200, 1000])) + Decimal(rng.randrange(300)) / 100, day + datetime.timedelta(days=rng.randrange(30))) for k in range(60)] + [(90, None, day), (91, Decimal(-5), day), (92, Decimal(100), None)]
+    moves = [(k, Decimal(rng.choice([99, 100, 101, 198, 990])) + Decimal(rng.randrange(400)) / 100, day + datetime.timedelta(days=rng.randrange(30))) for k in range(400)] + [(900, Decimal("101.00"), day), (901, Decimal("99.00"), day)]
+    d = spark.createDataFrame(docs + [(95, Decimal(100), day)], "d_id long, d_amount decimal(20,2), d_date date")
+    m = spark.createDataFrame(moves, "m_id long, m_amount decimal(20,2), m_date date")
+    for most in (3, 1000):
+        got = {(r.d_id, r.m_id) for r in reconcile.near_amounts(d, m, most=most).collect()}
+        want = set()
+        for i, a, t in [*docs, (95, Decimal(100), day)]:
+            if a and a > 0 and t:
+                near = sorted((abs(a - b), j) for j, b, u in moves if a * Decimal("0.99") <= b <= a * Decimal("1.01") and abs((t - u).days) <= 4)
+                want |= {(i, j) for _, j in near[:most]}
+        assert got == want and ({(95, 900), (95, 901)} <= want or most == 3)
