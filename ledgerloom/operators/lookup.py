@@ -133,10 +133,10 @@ def for_tenant(rows: DataFrame, tenant: int, column: str = "organization_id") ->
     return rows.where(F.col(column) == tenant)
 
 
-def domain(terms: list, column_of=F.col) -> Column:
+def domain(terms: list, column_of=F.col, sure: bool = False) -> Column:
     """A predicate from prefix notation: triples (field, operator, value), joined by 'and' unless '|', '&' or '!' stands before.
 
-    Operators: =, !=, <, <=, >, >=, in, not in, like, ilike. An empty list holds for every row.
+    Operators: =, !=, <, <=, >, >=, in, not in, like, ilike. An empty list holds for every row. With ``sure`` a term on a null is false, not unknown.
     """
     def leaf(term) -> Column:
         name, op, value = term
@@ -158,10 +158,61 @@ def domain(terms: list, column_of=F.col) -> Column:
             a, b = stack.pop(), stack.pop()
             stack.append(a | b if term == "|" else a & b)
         else:
-            stack.append(leaf(tuple(term)))
+            holds = leaf(tuple(term))
+            stack.append(F.coalesce(holds, F.lit(False)) if sure else holds)
     return reduce(lambda a, b: a & b, reversed(stack), F.lit(True))
 
 
+def scan(rows: DataFrame, terms: list, relations: dict[str, tuple[DataFrame, str]], columns: list[str] | None = None) -> DataFrame:
+    """``rows`` for which prefix terms hold, in which ``field.name`` is a field of the row that ``field`` points to.
+
+    ``relations``: by field, a table and its key; its own fields may point on by entries named ``field.other``. Only the related columns that terms name are read, and each path is
+    joined once, from the outside in; as a key stands once in its table, rows are not multiplied. A term on a related field does not hold where nothing is related, its
+    negation by '!' does. Related columns are not returned.
+    """
+    paths = sorted({t[0] for t in terms if isinstance(t, (tuple, list)) and "." in t[0]})
+    needed: dict[str, set[str]] = {}
+    for path in paths:
+        parts = path.split(".")
+        for k in range(1, len(parts)):
+            needed.setdefault(".".join(parts[:k]), set()).add(parts[k])
+    out = rows
+    for prefix in sorted(needed, key=lambda p: p.count(".")):
+        if prefix not in relations:
+            raise ValueError(f"nothing is related by {prefix}")
+        table, key = relations[prefix]
+        if not needed[prefix] <= set(table.columns):
+            raise ValueError(f"no field {sorted(needed[prefix] - set(table.columns))} behind {prefix}")
+        there = f"_{prefix}:key"
+        side = table.where(F.col(key).isNotNull()).select(F.col(key).alias(there), *[F.col(c).alias(f"_{prefix}.{c}") for c in sorted(needed[prefix])])
+        own = F.col(f"`_{prefix}`") if "." in prefix else F.col(prefix)
+        out = out.join(side, own == F.col(f"`{there}`"), "left").drop(there)
+
+    def column_of(name: str) -> Column:
+        return F.col(f"`_{name}`") if "." in name else F.col(name)
+
+    # What does not hold for want of a related row is false, so that its negation is true.
+    found = out.where(domain(terms, column_of, sure=bool(paths)))
+    return found.select(*(columns or rows.columns))
+
+
+def ledger_lines(lines: DataFrame, accounts: list[int], first: str, last: str, most: int = 10_000) -> DataFrame:
+    """A bank's posted lines (id, move_id, account_id, date, debit, credit) from ``first`` to ``last``, the oldest ``most`` of them.
+
+    Those of ``accounts``, if any of these has a line; else all. Without accounts, the line of each move with the greatest |debit - credit| (ties: the oldest).
+    Whether an account has a line is asked once; the answer decides which scan is planned.
+    """
+    dated = lines.where(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    mine = dated.where(F.col("account_id").isin(accounts))
+    if accounts and not mine.isEmpty():
+        dated = mine
+    rows = dated.orderBy("date", "id").limit(most)
+    if accounts:
+        return rows
+    size = F.abs(F.coalesce("debit", F.lit(0)) - F.coalesce("credit", F.lit(0)))
+    return first_by(rows.withColumn("_size", size), ["move_id"], F.desc("_size"), "date", "id").drop("_size")
+
+
 def as_current(accounts: DataFrame) -> DataFrame:
     """id, company_ids, deprecated of accounts from an older (company_id, deprecated) or a newer source (company_ids, active)."""
     one = F.when(F.col("company_id").isNotNull(), F.array("company_id")).otherwise(F.array().cast("array<int>")) if "company_id" in accounts.columns else F.col("company_ids")

@@ -2,31 +2,71 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import cosine
 from .lookup import top_by
 
-MOST_QUERIES = 10_000  # queries that are broadcast at a time
+QUERIES, ROWS = 2048, 16_384  # vectors of one product
+
+
+def _unit(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors (zeros behind shorter ones), the size of each, and which have a length; a vector with a null component, or none at all, has none."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.asarray(column.value_lengths().fill_null(0), np.int64)
+    flat = np.asarray(column.flatten().cast(pa.float64()).fill_null(np.nan), np.float64)
+    out = np.zeros((len(size), int(size.max(initial=0))))
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    norm = np.sqrt((out * out).sum(1))
+    good = np.isfinite(norm) & (norm > 0)
+    out[~good] = 0.0
+    out[good] /= norm[good, None]
+    return out, size, good
 
 
 def nearest(queries: DataFrame, history: DataFrame, k: int, least: float = 0.0, query_id: str = "query_id", row_id: str = "row_id", vector: str = "vector") -> DataFrame:
-    """query, row, score (cosine, four digits) and rank of each query's ``k`` best rows at or above ``least``; ties to the smaller row.
+    """query, row, score (cosine, four digits, 0 at least) and rank of each query's ``k`` best rows at or above ``least``; ties to the smaller row.
 
-    A stated set of queries against the whole history: queries are dealt to blocks of about ``MOST_QUERIES``, each block is broadcast,
-    and the history is read in its own partitions; what every partition sends is at most its best rows of each query.
+    Both sides are dealt to a grid of blocks of about ``QUERIES`` and ``ROWS`` vectors (by counts; rows that share an id may share a block). A block is one task: unit vectors, one
+    matrix product at a time, and each query's ``k`` best go on. Nothing is broadcast, and no block grows with the data. Vectors of other sizes than the query's, without length or
+    with nulls score 0; the query's own id, and null ids, take no part.
     """
-    few = queries.select(F.col(query_id), F.col(vector).alias("_q"))
-    blocks = max(1, -(-few.count() // MOST_QUERIES))
-    best: DataFrame | None = None
-    for k_ in range(blocks):
-        some = few.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == k_) if blocks > 1 else few
-        pairs = history.select(F.col(row_id), F.col(vector).alias("_v")).join(F.broadcast(some), F.col(row_id) != F.col(query_id))
-        score = F.round(F.greatest(cosine(F.col("_q"), F.col("_v")), F.lit(0.0)), 4)
-        top = top_by(pairs.select(query_id, row_id, score.alias("score")).where(F.col("score") >= least), [query_id], k, F.desc("score"), row_id)
-        best = top if best is None else best.unionByName(top)
-    return best
+    kinds = dict(queries.dtypes)[query_id], dict(history.dtypes)[row_id]
+    asked = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("_q"), F.col(vector).cast("array<double>").alias("_v"))
+    past = history.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("_r"), F.col(vector).cast("array<double>").alias("_v"))
+    n, m = max(1, -(-asked.count() // QUERIES)), max(1, -(-past.count() // ROWS))
+
+    def dealt(side: DataFrame, column: str, own: str, blocks: int, other: str, copies: int) -> DataFrame:
+        return side.withColumn(own, F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[list] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            (a, a_size, _), (b, b_size, _) = _unit(left.column("_v")), _unit(right.column("_v"))
+            dims = max(a.shape[1], b.shape[1])
+            a, b = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (a, b))
+            q, r = left.column("_q").to_pandas().to_numpy(), right.column("_r").to_pandas().to_numpy()
+            order = np.argsort(r, kind="stable")
+            b, b_size, r = b[order], b_size[order], r[order]
+            for first in range(0, len(a), 256):
+                part = slice(first, first + 256)
+                score = np.where(a_size[part, None] == b_size[None, :], a[part] @ b.T, 0.0)
+                score = np.floor(np.clip(score, 0.0, 1.0) * 10_000 + 0.5) / 10_000
+                for who, line in zip(q[part], score):
+                    some = np.flatnonzero((line >= least) & (r != who))
+                    if len(some) > k:
+                        some = some[line[some] >= -np.partition(-line[some], k - 1)[k - 1]]
+                    some = some[np.argsort(-line[some], kind="stable")][:k]
+                    for to, v in zip(found, ([who] * len(some), r[some].tolist(), line[some].tolist())):
+                        to.extend(v)
+        return pa.table([pa.array(found[0], left.schema.field("_q").type), pa.array(found[1], right.schema.field("_r").type), pa.array(found[2], pa.float64())], names=[query_id, row_id, "score"])
+
+    left, right = dealt(asked, "_q", "_x", n, "_y", m), dealt(past, "_r", "_y", m, "_x", n)
+    pairs = left.groupBy("_x", "_y").cogroup(right.groupBy("_x", "_y")).applyInArrow(best, f"`{query_id}` {kinds[0]}, `{row_id}` {kinds[1]}, score double")
+    return top_by(pairs, [query_id], k, F.desc("score"), row_id)
 
 
 def weighted_vote(found: DataFrame, labels: str = "labels", query_id: str = "query_id", score: str = "score") -> DataFrame:

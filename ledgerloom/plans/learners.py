@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import learning
+from ..operators import evaluate, learning
 from . import tables as t
 from .queries import query
 
@@ -139,3 +139,61 @@ def m04_predictor(spark, d):
     rows, asked, vectors = _vectors(spark, d)
     known = vectors.where("row_id % 100 <> 0")
     return learning.predict(asked, known, rows, TASKS, DIMS).withColumn("score", F.round("score", 3))
+
+
+_SCORED = """d AS (SELECT doc_id, quality, toxic, lang, n_chars, CASE WHEN doc_id % 2 = 0 THEN 'validation' ELSE 'test' END AS split FROM documents JOIN labels USING (doc_id)),
+p AS (SELECT doc_id, split, unnest([{'task': 'good', 'truth': quality = 1, 'score': (n_chars % 100) / 100.0}, {'task': 'toxic', 'truth': toxic = 1, 'score': (doc_id * 7 % 100) / 100.0 * (0.5 + toxic / 2.0)},
+  {'task': 'en', 'truth': lang = 'en', 'score': CASE WHEN lang = 'en' THEN 0.4 ELSE 0 END + (doc_id * 13 % 60) / 100.0}], recursive := true) FROM d)"""
+GRID = [k / 20 for k in range(1, 20)]
+_GRID_SQL = """g AS (SELECT k / 20.0 AS threshold FROM range(1, 20) r(k)),
+c AS (SELECT task, threshold::DOUBLE AS threshold, count(*) FILTER (truth AND score >= threshold) AS tp, count(*) FILTER (NOT truth AND score >= threshold) AS fp, count(*) FILTER (truth AND score < threshold) AS fn FROM (SELECT task, truth, round(score, 6) AS score FROM p WHERE split = 'validation'), g GROUP BY ALL),
+m AS (SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM c)"""
+
+
+def _scored(spark, d):
+    """doc_id, split, task, truth and score of three labels of every labelled document."""
+    docs = t.table(spark, d, "documents").join(t.table(spark, d, "labels"), "doc_id")
+    k = F.col("doc_id")
+    of = {
+        "good": (F.col("quality") == 1, (F.col("n_chars") % 100) / 100),
+        "toxic": (F.col("toxic") == 1, (k * 7 % 100) / 100 * (0.5 + F.col("toxic") / 2)),
+        "en": (F.col("lang") == "en", F.when(F.col("lang") == "en", 0.4).otherwise(0.0) + (k * 13 % 60) / 100),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("task"), truth.alias("truth"), F.round(score, 6).alias("score")) for n, (truth, score) in of.items()]))
+    return docs.select("doc_id", F.when(k % 2 == 0, "validation").otherwise("test").alias("split"), each.alias("x")).select("doc_id", "split", "x.*")
+
+
+@query("m05_threshold_grid", f"WITH {_SCORED}, {_GRID_SQL} SELECT task, threshold, tp, fp, fn, precision, recall, f1 FROM m")
+def m05(spark, d):
+    """Nineteen thresholds of three labels on the validation half, from one count."""
+    return evaluate.threshold_grid(_scored(spark, d).where("split = 'validation'"), GRID)
+
+
+@query(
+    "m06_locked_evaluation",
+    f"""WITH {_SCORED}, {_GRID_SQL}, b AS (SELECT task, threshold FROM m QUALIFY row_number() OVER (PARTITION BY task ORDER BY f1 DESC, threshold) = 1),
+    s AS (SELECT doc_id, split, list(task) FILTER (truth) AS t, list(task) FILTER (round(score, 6) >= threshold) AS g, list(task ORDER BY score DESC, task)[1:2] AS top FROM p JOIN b USING (task) GROUP BY ALL),
+    n AS (SELECT split, coalesce(len(t), 0) AS a, coalesce(len(g), 0) AS b, coalesce(len(list_intersect(t, g)), 0) AS both_, coalesce(len(list_intersect(t, top)), 0) AS hit FROM s)
+    SELECT split, count(*) AS n, round(2 * sum(both_) / sum(a + b), 6) AS micro_f1, round(avg(CASE WHEN a + b > 0 THEN 2 * both_ / (a + b) ELSE 0 END), 6) AS samples_f1, round(sum(a + b - 2 * both_) / (count(*) * 3), 6) AS hamming_loss,
+      round(avg((both_ = a AND both_ = b)::INT), 6) AS exact_match, round(avg(CASE WHEN a > 0 THEN hit / a END), 6) AS recall_at_k FROM n GROUP BY split""",
+)
+def m06(spark, d):
+    """The thresholds that are best on the validation half, and what they are worth on both halves."""
+    scored = _scored(spark, d)
+    chosen = evaluate.best_thresholds(evaluate.threshold_grid(scored.where("split = 'validation'"), GRID)).select("task", "threshold")
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "task")))
+    sets = scored.join(chosen, "task").groupBy("doc_id", "split").agg(F.collect_list(F.when(F.col("truth"), F.col("task"))).alias("truth"), F.collect_list(F.when(F.col("score") >= F.col("threshold"), F.col("task"))).alias("guess"), F.transform(listed, lambda x: x["task"]).alias("ranked"))
+    out = [evaluate.multi_metrics(sets.where(F.col("split") == s), 3, ranked="ranked", k=2).withColumn("split", F.lit(s)) for s in ("validation", "test")]
+    return out[0].unionByName(out[1])
+
+
+@query(
+    "m06_joint_match",
+    f"""WITH {_SCORED}, j AS (SELECT doc_id, split, bool_and(truth = (round(score, 6) >= 0.5)) AS ok FROM p GROUP BY ALL), v AS (SELECT split, count(*) AS n, round(avg(ok::INT), 6) AS m FROM j GROUP BY split)
+    SELECT max(m) FILTER (split = 'validation') AS validation, max(m) FILTER (split = 'test') AS test, round(max(m) FILTER (split = 'validation') - max(m) FILTER (split = 'test'), 6) AS gap FROM v""",
+)
+def m06_joint(spark, d):
+    """The share of documents with all three labels right at .5 in either half, and the gap between them."""
+    wide = _scored(spark, d).withColumn("guess", F.col("score") >= 0.5).groupBy("doc_id", "split").pivot("task", ["good", "toxic", "en"]).agg(F.first("truth").alias("truth"), F.first("guess").alias("guess"))
+    joint = evaluate.joint_exact_match(wide, {x: (f"{x}_truth", f"{x}_guess") for x in ("good", "toxic", "en")})
+    return evaluate.gaps(joint.withColumn("_all", F.lit(1)), ["_all"], "joint_exact_match").drop("_all")

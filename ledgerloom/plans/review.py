@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import review
+from ..operators import lookup, review
 from . import tables as t
 from .queries import ORACLES, QUERIES, _COS, _found, query
 
@@ -101,3 +101,47 @@ def j18(spark, d):
 def u03(spark, d):
     a, b = F.split(F.lower("p_name"), " "), F.split(F.lower("p_type"), " ")
     return t.table(spark, d, "part").select("p_partkey", F.size(F.array_intersect(a, b)).cast("long").alias("both_"), F.size(F.array_union(a, b)).cast("long").alias("either_"))
+
+
+@query(
+    "s13_dotted_paths",
+    """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 > 0 LEFT JOIN nation ON n_nationkey = c_nationkey
+    WHERE (coalesce(o_orderpriority ILIKE '%urgent%', false) OR coalesce(n_name IN ('FRANCE', 'CHINA'), false)) AND NOT coalesce(c_mktsegment = 'BUILDING', false) AND l_extendedprice >= 20000""",
+)
+def s13_paths(spark, d):
+    """Line items by fields of their order, its customer and their nation; a third of the customers is unknown."""
+    orders, customers = t.table(spark, d, "orders"), t.table(spark, d, "customer").where("c_custkey % 3 > 0")
+    relations = {"l_orderkey": (orders, "o_orderkey"), "l_orderkey.o_custkey": (customers, "c_custkey"), "l_orderkey.o_custkey.c_nationkey": (t.table(spark, d, "nation"), "n_nationkey")}
+    terms = ["|", ("l_orderkey.o_orderpriority", "ilike", "urgent"), ("l_orderkey.o_custkey.c_nationkey.n_name", "in", ["FRANCE", "CHINA"]), "!", ("l_orderkey.o_custkey.c_mktsegment", "=", "BUILDING"), ("l_extendedprice", ">=", 20000)]
+    return lookup.scan(t.table(spark, d, "lineitem"), terms, relations, ["l_orderkey", "l_linenumber", "l_extendedprice"])
+
+
+_BANK = """b AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS move_id, l_suppkey % 100 AS account_id, CAST(l_shipdate AS DATE) AS date, CAST(CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice ELSE 0 END AS DECIMAL(20, 2)) AS debit,
+  CAST(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice ELSE 0 END AS DECIMAL(20, 2)) AS credit FROM lineitem WHERE l_linestatus = 'F' AND CAST(l_shipdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31')"""
+
+
+def _bank_lines(spark, d):
+    n, v, none = F.col("l_linenumber"), F.col("l_extendedprice"), F.lit(0)
+    money = "decimal(20,2)"
+    return t.table(spark, d, "lineitem").where("l_linestatus = 'F'").select(
+        (F.col("l_orderkey") * 10 + n).alias("id"), F.col("l_orderkey").alias("move_id"), (F.col("l_suppkey") % 100).alias("account_id"), F.col("l_shipdate").cast("date").alias("date"),
+        F.when(n % 2 == 1, v).otherwise(none).cast(money).alias("debit"), F.when(n % 2 == 0, v).otherwise(none).cast(money).alias("credit"),
+    )
+
+
+@query("s15_ledger_by_account", f"WITH {_BANK} SELECT id, account_id, date FROM b WHERE account_id IN (3, 7, 400) ORDER BY date, id LIMIT 10000")
+def s15_account(spark, d):
+    """Posted lines of a year, of the accounts asked for."""
+    return lookup.ledger_lines(_bank_lines(spark, d), [3, 7, 400], "1996-01-01", "1996-12-31").select("id", "account_id", "date")
+
+
+@query("s15_ledger_fallback", f"WITH {_BANK} SELECT id, account_id, date FROM b ORDER BY date, id LIMIT 10000")
+def s15_fallback(spark, d):
+    """No account asked for has a line: all lines are read."""
+    return lookup.ledger_lines(_bank_lines(spark, d), [400, 401], "1996-01-01", "1996-12-31").select("id", "account_id", "date")
+
+
+@query("s15_largest_lines", f"WITH {_BANK} SELECT move_id, id, debit, credit FROM (SELECT * FROM b ORDER BY date, id LIMIT 10000) QUALIFY row_number() OVER (PARTITION BY move_id ORDER BY abs(debit - credit) DESC, date, id) = 1")
+def s15_largest(spark, d):
+    """Without accounts: the largest line of each move."""
+    return lookup.ledger_lines(_bank_lines(spark, d), [], "1996-01-01", "1996-12-31").select("move_id", "id", "debit", "credit")
