@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, learning
 from . import tables as t
-from .queries import query
+from .queries import ORACLES, QUERIES, query
+
+__all__ = ["ORACLES", "QUERIES"]
 
 _HISTORY = r"""h AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_brand || ' ' || ['vat', 'bank fee', 'salary', 'rent', ''][p_partkey % 5 + 1]) AS text, CASE WHEN p_size % 10 > 0 THEN p_retailprice * (p_size % 7) END AS amount,
   ['unknown', 'entry', 'invoice'][p_size % 3 + 1] AS move_type, CASE WHEN p_size % 4 = 0 THEN 'USD' ELSE 'SAR' END AS currency,

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import name_match as nm
 from ..operators import text_index
 from . import tables as t
-from .queries import query
+from .queries import ORACLES, QUERIES, query
+
+__all__ = ["ORACLES", "QUERIES"]
 
 #: Given names in two Latin spellings and in Arabic.
 NAMES = (

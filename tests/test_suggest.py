@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import names, text
 from ledgerloom.operators import drafts, retrieval, review, suggest
-from ledgerloom.plans import more
+from ledgerloom.plans import learners, more, people
 
 WORDS = re.compile(r"\b(ref|reference|txn|transaction|date|time|sar|vat|iban|swift|mada|visa|card|bank)\b")
 
@@ -126,7 +126,7 @@ def test_nearest_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "row_id long, vector array<double>")
     asked = df.select(F.col("row_id").alias("query_id"), "vector").where("row_id < 11")
     one = sorted(map(tuple, retrieval.nearest(asked, df, 4).collect()))
-    monkeypatch.setattr(retrieval, "MOST_QUERIES", 4)
+    monkeypatch.setattr(retrieval, "QUERIES", 4)
     assert sorted(map(tuple, retrieval.nearest(asked, df, 4).collect())) == one and len(one) == 44
 
 
@@ -141,6 +141,8 @@ def test_redaction_counts_what_is_left(spark):
 
 def test_queries_of_functions_have_sql():
     without = {"j04_smart_match", "j10_fuzzy_rules", "j11_historical_entries", "w07_near_duplicates", "f15_partner_similarity", "r03_rate_limit", "w03_chain_append"}
+    without |= {"j19_name_match", "j20_global_search", "m04_predictor", "m07_name_training"}  # tests/test_name_match.py, test_text_index.py, test_learning.py
+    assert learners.QUERIES is people.QUERIES is more.QUERIES
     assert set(more.QUERIES) - set(more.ORACLES) == without
 
 
