@@ -476,10 +476,11 @@ def u04(spark, d):
     return docs.where("doc_id % 2 = 0").select("sha").intersect(docs.where("doc_id % 2 = 1").select("sha"))
 
 
-@query("u05_unseen_labels", "SELECT DISTINCT l_suppkey AS label FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 3")
+@query("u05_unseen_labels", "SELECT DISTINCT l_partkey AS label FROM lineitem WHERE l_orderkey % 5 = 0 EXCEPT SELECT l_partkey FROM lineitem WHERE l_orderkey % 5 > 0 AND l_quantity < 10")
 def u05(spark, d):
+    """Labels of a held-out fifth that training has not seen."""
     rows = t.table(spark, d, "lineitem")
-    return rows.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("label")).subtract(rows.where("l_returnflag = 'A' AND l_quantity < 3").select("l_suppkey"))
+    return rows.where("l_orderkey % 5 = 0").select(F.col("l_partkey").alias("label")).subtract(rows.where("l_orderkey % 5 > 0 AND l_quantity < 10").select("l_partkey"))
 
 
 @query("k02_upsert", "SELECT event_type, user_id, event_id, value FROM (SELECT *, event_id % 3 = 0 AS new FROM events) QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY new DESC, event_id DESC) = 1")
