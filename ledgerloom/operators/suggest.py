@@ -249,7 +249,7 @@ def exception_action(rows: DataFrame, category: Column, confidence: Column, dupl
     """``rows`` with action and confidence: a near duplicate, a missing line on the other side, or the category; weak ones need review."""
     copy = F.coalesce(duplicate, F.lit(0.0)) >= 0.92
     open_ = category == "needs_review"
-    action = F.when(copy, "duplicate_possible").when((side == "ledger_only") & open_, "missing_bank_line").when((side == "bank_only") & open_, "missing_odoo_entry").otherwise(category)
+    action = F.when(copy, "duplicate_possible").when((side == "ledger_only") & open_, "missing_bank_line").when((side == "bank_only") & open_, "missing_ledger_entry").otherwise(category)
     sure = F.when(copy, F.greatest(confidence, F.lit(0.72))).when((side == "ledger_only") & open_, 0.55).when((side == "bank_only") & open_, 0.52).otherwise(confidence)
     return rows.withColumns({"action": F.when(sure < 0.55, "needs_review").otherwise(action), "confidence": F.round(sure, 2)})
 
