@@ -44,7 +44,7 @@ def with_names(examples: DataFrame, catalogs: dict[str, DataFrame]) -> DataFrame
     All columns are looked up together: one join on (column, id), one grouping. A catalog (id, name) with an id twice gives its least name.
     """
     key = examples.columns[0]
-    asked = reduce(DataFrame.unionByName, [examples.select(F.col(key).alias("_k"), F.lit(c).alias("_c"), F.explode(F.array_distinct(c)).cast("long").alias("_i")) for c in catalogs])
+    asked = reduce(DataFrame.unionByName, [examples.select(F.col(key).alias("_k"), F.lit(c).alias("_c"), F.explode(F.array_distinct(F.col(c).cast("array<bigint>"))).alias("_i")) for c in catalogs])
     known = reduce(DataFrame.unionByName, [d.groupBy(F.col(d.columns[0]).cast("long").alias("_i")).agg(F.min(d.columns[1]).alias("_name")).withColumn("_c", F.lit(c)).withColumn("_in", F.lit(True)) for c, d in catalogs.items()])
     rows = asked.where("_i IS NOT NULL").join(known, ["_c", "_i"], "left")
     found = [F.transform(F.array_sort(F.collect_list(F.when((F.col("_c") == c) & F.col("_in"), F.struct("_i", "_name")))), lambda x: x["_name"]).alias(f"{c}_names") for c in catalogs]

@@ -13,8 +13,8 @@ _SPLIT = """k AS (SELECT doc_id AS id, 't' || md5(text) AS h FROM documents WHER
 s AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1), e AS (SELECT DISTINCT id, h FROM k JOIN s USING (h)),
 r AS (SELECT id, id AS other FROM e UNION SELECT r.id, b.id FROM r JOIN e a ON a.id = r.other JOIN e b ON b.h = a.h),
 c AS (SELECT doc_id AS id, coalesce(m, doc_id) AS component FROM documents LEFT JOIN (SELECT id, min(other) AS m FROM r GROUP BY id) q ON q.id = doc_id),
-p AS (SELECT id, component, ('0x' || left(md5('3:' || component), 8))::BIGINT % 100 AS at FROM c),
-d AS (SELECT id, component, CASE WHEN at < 80 THEN 'train' WHEN at < 90 THEN 'validation' ELSE 'test' END AS split FROM p)"""
+p AS (SELECT id, component, ('0x' || left(md5('3:' || component), 8))::BIGINT % 100 AS nth FROM c),
+d AS (SELECT id, component, CASE WHEN nth < 80 THEN 'train' WHEN nth < 90 THEN 'validation' ELSE 'test' END AS split FROM p)"""
 
 
 def _split(spark, d):
