@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import sequence_ratio
+from .text import normalize
+
 
 def steps(value: Column, levels: list[tuple[float, float]], least: float = 0.0) -> Column:
     """The score of the first level (bound, score) that ``value`` reaches."""
@@ -62,6 +65,19 @@ def partner_score(text: Column, partner: Column) -> Column:
     return F.when((norm == "") | (text == ""), 0.0).when(text.contains(norm), 1.0).otherwise(share_of_tokens(found, text))
 
 
+#: Characters of a document that its description is compared by.
+DESCRIBED = 1200
+
+
+def description_score(document: Column, *parts: Column) -> Column:
+    """The better of two: the share of a move's words of three characters or more that the document has, and the sequence ratio of the document's beginning and the move's
+    joined ``parts``; 0 if either is empty. Both are normalised first, null parts left out."""
+    doc, move = normalize(document), normalize(F.concat_ws(" ", *parts))
+    words = F.filter(F.regexp_extract_all(move, F.lit(r"([\p{L}\p{N}_/\-]+)"), 1), lambda w: F.length(w) >= 3)
+    like = sequence_ratio(F.substring(doc, 1, DESCRIBED), move)
+    return F.when((doc == "") | (move == ""), 0.0).otherwise(F.greatest(share_of_tokens(words, doc), like))
+
+
 def confidence_label(score: Column) -> Column:
     return F.when(score >= 85, "high").when(score >= 65, "medium").when(score >= 45, "low").otherwise("weak")
 

@@ -402,6 +402,16 @@ def f11(spark, d):
     return t.table(spark, d, "part").select("p_partkey", scores.partner_score(F.lower("p_name"), partner).alias("score"))
 
 
+@query("f10_description_score")
+def f10(spark, d):
+    """o_orderkey and the score of every hundredth order's document against the move of the order itself and of the next one asked for."""
+    k = F.col("o_orderkey")
+    o = t.table(spark, d, "orders").where("o_orderkey % 100 = 0").select(k, F.concat_ws(" ", F.lit("Invoice of order"), k.cast("string"), F.lit("for customer"), F.col("o_custkey").cast("string"), F.lit(", "), "o_orderpriority").alias("document"))
+    moves = t.table(spark, d, "orders").where("o_orderkey % 100 = 0").select(k.alias("m_id"), F.concat(F.lit("SO/"), k.cast("string")).alias("name"), F.concat_ws(" ", F.lit("customer"), F.col("o_custkey").cast("string")).alias("ref"), F.col("o_orderpriority").alias("journal"))
+    pairs = o.withColumn("m_id", F.explode(F.array(k, k + 100))).join(moves, "m_id")
+    return pairs.select("o_orderkey", "m_id", F.round(scores.description_score(F.col("document"), F.col("name"), F.col("ref"), F.col("journal")), 6).alias("score"))
+
+
 @query("f12_confidence_label", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity * 2 >= 85 THEN 'high' WHEN l_quantity * 2 >= 65 THEN 'medium' WHEN l_quantity * 2 >= 45 THEN 'low' ELSE 'weak' END AS label FROM lineitem")
 def f12(spark, d):
     return t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scores.confidence_label(F.col("l_quantity") * 2).alias("label"))

@@ -141,7 +141,7 @@ def test_redaction_counts_what_is_left(spark):
 
 def test_queries_of_functions_have_sql():
     without = {"j04_smart_match", "j10_fuzzy_rules", "j11_historical_entries", "w07_near_duplicates", "f15_partner_similarity", "r03_rate_limit", "w03_chain_append"}
-    without |= {"j19_name_match", "j20_global_search", "m04_predictor", "m07_name_training"}  # tests/test_name_match.py, test_text_index.py, test_learning.py
+    without |= {"f10_description_score", "j19_name_match", "j20_global_search", "m04_predictor", "m07_name_training"}  # tests/test_name_match.py, test_text_index.py, test_learning.py
     assert learners.QUERIES is people.QUERIES is more.QUERIES
     assert set(more.QUERIES) - set(more.ORACLES) == without
 
@@ -174,3 +174,21 @@ def test_near_amounts(spark):
                 near = sorted((abs(a - b), j) for j, b, u in moves if a * Decimal("0.99") <= b <= a * Decimal("1.01") and abs((t - u).days) <= 4)
                 want |= {(i, j) for _, j in near[:most]}
         assert got == want and ({(95, 900), (95, 901)} <= want or most == 3)
+
+
+def test_description_score(spark):
+    from ledgerloom.functions import scores
+
+    cases = [("Invoice INV/2024/7 for Acme", "INV/2024/7", "Acme"), ("nothing alike", "zz/1", None), ("", "a", "b"), ("text", None, None), (None, "abc", "d"), ("x" * 3000 + " abc", "abc", None), ("Paid AC", "ac", "of")]
+
+    def plain(doc, *parts):
+        doc, move = (re.sub(r"\s+", " ", re.sub(r"[^\w\s:/#.\-]", " ", x.lower())).strip() for x in (doc or "", " ".join(p for p in parts if p is not None)))
+        if not doc or not move:
+            return 0.0
+        words = [w for w in re.findall(r"[\w/\-]+", move) if len(w) >= 3]
+        share = sum(w in doc for w in words) / len(words) if words else 0.0
+        return max(share, SequenceMatcher(None, doc[:1200], move).ratio())
+
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, d string, a string, b string")
+    got = {r.k: r.s for r in df.select("k", scores.description_score(F.col("d"), F.col("a"), F.col("b")).alias("s")).collect()}
+    assert all(got[k] == pytest.approx(plain(*c)) for k, c in enumerate(cases)) and got[5] == 1.0
