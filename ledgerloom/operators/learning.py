@@ -202,7 +202,7 @@ def linear_scores(queries: DataFrame, rows: DataFrame, labels: DataFrame, task:
         return v.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", "weight"))).alias("e")).select(key, as_vector("e").alias("features"))
 
     asked, past = packed(queries, "query_id"), packed(rows, "row_id").join(labels.select("row_id", F.col(task.column).alias("_l")), "row_id").where("_l IS NOT NULL").cache()
-    fit = LogisticRegression(maxIter=40, tol=1e-6, regParam=1 / (strength * max(1, past.count())), standardization=False)
+    fit = LogisticRegression(maxIter=20, tol=1e-4, regParam=1 / (strength * max(1, past.count())), standardization=False)
     if not task.multi:
         index = StringIndexer(inputCol="_s", outputCol="label", stringOrderType="alphabetAsc").fit(past.withColumn("_s", F.col("_l").cast("string")))
         names = index.labels

@@ -129,6 +129,7 @@ def j20_global(spark, d):
     """Every hundredth customer by name: the orders that have to do with them, by customer or by text."""
     k = F.col("c_custkey")
     asked = t.table(spark, d, "customer").where("c_custkey % 100 = 0").select(k.alias("query_id"), person_column(k * 37 % 13824, (k + 1) % 3).alias("name"))
-    partners = customers(spark, d).select(k.alias("partner_id"), F.col("name").alias("partner"))
-    found = text_index.global_search(asked, partners, order_lines(spark, d), ["name", "ref"], MODEL)
+    partners = customers(spark, d).select(k.alias("partner_id"), F.col("name").alias("partner")).cache()
+    lines = order_lines(spark, d).cache()  # read six times
+    found = text_index.global_search(asked.cache(), partners, lines, ["name", "ref"], MODEL)
     return found.select("query_id", "id", "field", "text", F.round("score", 6).alias("score"), "reason")
