@@ -203,17 +203,25 @@ def score_pairs(pairs: DataFrame, query: str, candidate: str, model: Model, rule
     return pairs.join(judged, on).drop("_q", "_d")
 
 
-def keys(text: Column, spans: bool) -> Column:
-    """What a name is found by: consonants (doubled ones once) of the whole name and of each word, or of each span, and three letters in a row of its Latin form."""
-    latin = F.replace(names.latin(text, hamza="a"), F.lit(" "), F.lit(""))
-    parts = names.spans(text, SPAN_WORDS if spans else 1, MOST_WORDS)
-    if not spans:
-        parts = F.array_append(parts, text)
-    sounds = F.transform(parts, lambda s: F.concat(F.lit("s"), names.skeleton(s, relaxed=True)))
-    places = F.when(F.length(latin) >= 3, F.sequence(F.lit(1), F.length(latin) - 2)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(places, lambda i: F.concat(F.lit("g"), F.substring(latin, i, F.lit(3))))
-    short = F.when(F.length(latin) < 3, F.array(F.concat(F.lit("t"), latin))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.filter(sounds, lambda s: F.length(s) > 1), grams, short))
+def keys_of(text: str | None, spans: bool) -> list[str]:
+    """What a name is found by: consonants (doubled ones once) of the whole name, which come first, of each word or span, and three letters in a row of its Latin form."""
+    name = name_of(text or "")
+    if not name.words:
+        return []
+    latin = "".join(name.forms[1].split())
+    sounds = name.spans[3] if spans else sorted({written(w)[3] for w in name.words} - {""})
+    grams = [f"g{latin[i : i + 3]}" for i in range(len(latin) - 2)] or [f"t{latin}"]
+    return list(dict.fromkeys([f"s{name.forms[3]}", *(f"s{x}" for x in sounds), *grams]))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def query_keys(text: pd.Series) -> pd.Series:
+    return pd.Series([keys_of(t, False) for t in text])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def partner_keys(text: pd.Series) -> pd.Series:
+    return pd.Series([keys_of(t, True) for t in text])
 
 
 def candidate_pairs(queries: DataFrame, partners: DataFrame, query_id: str, query: str, partner_id: str, partner: str, probes: int = 6) -> DataFrame:
@@ -221,10 +229,11 @@ def candidate_pairs(queries: DataFrame, partners: DataFrame, query_id: str, quer
 
     An equi-join on keys. How many partners have a key is counted first, so that a query meets partners by what is rare in it; common words alone bring no pair.
     """
-    have = partners.select(F.col(partner_id).alias("_p"), F.explode(keys(F.col(partner), spans=True)).alias("_k"))
+    have = partners.select(F.col(partner_id).alias("_p"), partner_keys(partner).alias("_all"))
+    have = have.select("_p", F.explode("_all").alias("_k")).where("_k <> 's'")
     count = have.groupBy("_k").agg(F.count("*").alias("_n"))
-    whole = F.concat(F.lit("s"), names.skeleton(F.col(query), relaxed=True))
-    ask = queries.select(F.col(query_id).alias("_q"), whole.alias("_whole"), F.explode(keys(F.col(query), spans=False)).alias("_k")).join(count, "_k")
+    ask = queries.select(F.col(query_id).alias("_q"), query_keys(query).alias("_all"))
+    ask = ask.select("_q", F.get("_all", F.lit(0)).alias("_whole"), F.explode("_all").alias("_k")).join(count, "_k")
     ask = ask.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy("_n", "_k"))).where((F.col("_r") <= probes) | (F.col("_k") == F.col("_whole")))
     return ask.select("_q", "_k").join(have, "_k").select(F.col("_q").alias(query_id), F.col("_p").alias(partner_id)).distinct()
 
