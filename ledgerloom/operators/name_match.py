@@ -219,6 +219,16 @@ def query_keys(text: pd.Series) -> pd.Series:
     return pd.Series([keys_of(t, False) for t in text])
 
 
+def latin_name(text: str | None) -> str:
+    return name_of(text or "").forms[1]
+
+
+@F.pandas_udf(T.StringType())
+def latin_of(text: pd.Series) -> pd.Series:
+    """A name in Latin letters."""
+    return pd.Series([latin_name(t) for t in text])
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def partner_keys(text: pd.Series) -> pd.Series:
     return pd.Series([keys_of(t, True) for t in text])

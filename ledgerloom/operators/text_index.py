@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import names
 from . import name_match as nm
 
 WIDTH = 3
@@ -126,7 +125,7 @@ def expanded(queries: DataFrame, matched: DataFrame, model: nm.Model, limits: Li
     words = matched.select("query_id", "name", "partner_id", word.alias("term")).distinct()
     words = nm.score_pairs(words, "name", "term", model).where("decision = 'match'").select("query_id", "term", F.concat_ws(" ", F.lpad(F.col("partner_id").cast("string"), 19, "0"), F.lit("0")).alias("rank"))
     whole = matched.select("query_id", F.col("partner").alias("term"), F.concat_ws(" ", F.lpad(F.col("partner_id").cast("string"), 19, "0"), F.lit("1")).alias("rank"))
-    own = queries.select("query_id", F.col("name").alias("term"), F.lit("-0").alias("rank")).unionByName(queries.select("query_id", names.latin(F.col("name"), hamza="a").alias("term"), F.lit("-1").alias("rank")))
+    own = queries.select("query_id", F.col("name").alias("term"), F.lit("-0").alias("rank")).unionByName(queries.select("query_id", nm.latin_of("name").alias("term"), F.lit("-1").alias("rank")))
     every = own.unionByName(words).unionByName(whole).withColumn("term", F.trim(F.regexp_replace("term", r"\s+", " "))).where(F.length("term") >= 2)
     every = every.groupBy("query_id", F.lower("term").alias("term")).agg(F.min("rank").alias("rank"))
     return every.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "term"))).where(F.col("_r") <= limits.terms).drop("_r")
