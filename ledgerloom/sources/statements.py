@@ -188,9 +188,13 @@ def ofx(files: DataFrame) -> DataFrame:
 
 def qif(files: DataFrame) -> DataFrame:
     """Transactions of QIF texts; row_number is the line of the record's ``^`` (one past the last line for an unfinished record)."""
-    line = files.select("path", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("_n", "_l"), F.size(F.split(F.regexp_replace("text", r"(\r\n|\n|\r)\z", ""), r"\r\n|\n|\r")).alias("_all"))
+    parts = files.select("path", F.split("text", r"\r\n|\n|\r").alias("_parts"))
+    # Counted once a file, before its lines are rows; the empty part behind a line break at the end is no line.
+    after = (F.size("_parts") > 1) & (F.element_at("_parts", -1) == "")
+    counted = parts.select("path", "_parts", (F.size("_parts") - after.cast("int")).alias("_all"))
+    line = counted.select("path", "_all", F.posexplode("_parts").alias("_n", "_l"))
     line = line.withColumns({"_l": F.trim("_l"), "_n": F.col("_n") + 1}).where("_l != '' AND NOT startswith(_l, '!')")
-    end = F.min(F.when(F.col("_l") == "^", F.col("_n"))).over(Window.partitionBy("path").orderBy("_n").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    end = F.min(F.when(F.col("_l") == "^", F.col("_n"))).over(Window.partitionBy("path").orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     line = line.withColumn("_end", F.coalesce(end, F.col("_all") + 1)).where("_l != '^'")
     key = F.substring("_l", 1, 1)
 
