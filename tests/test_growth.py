@@ -1,7 +1,10 @@
 """Work that has to grow with the input and no faster, and whole results where groups are large."""
 
+import datetime
 import time
+from decimal import Decimal
 
+from ledgerloom.operators import lookup, reconcile
 from ledgerloom.sources import statements
 
 
@@ -14,3 +17,21 @@ def test_long_qif_file(spark):
     rows = {r["row_number"]: (r["description"], float(r["amount"])) for r in statements.qif(files).collect()}
     assert time.monotonic() - start < 60
     assert rows == {4 * k + 5: (f"Fee {k}", k + 1.0) for k in range(n)} | {4 * n + 5: ("open", 5.0)}
+
+
+def test_all_moves_in_range(spark):
+    """A document with 120 moves in range meets all of them; only 50 came out."""
+    day = datetime.date(2024, 1, 1)
+    docs = spark.createDataFrame([(1, Decimal("1000.00"), day)], "d_id long, d_amount decimal(20,2), d_date date")
+    moves = spark.createDataFrame([(k, Decimal("990.00") + k, day) for k in range(21)] + [(100 + k, Decimal("1000.00"), day) for k in range(99)] + [(300, Decimal("1010.01"), day)], "m_id long, m_amount decimal(20,2), m_date date")
+    assert {r["m_id"] for r in reconcile.near_amounts(docs, moves).collect()} == {*range(21), *range(100, 199)}
+
+
+def test_best_scores_of_batches(spark):
+    """The best rows of a key that lies in many batches, against a plain sort; ties to the smaller id."""
+    rows = spark.range(30_000).selectExpr("id % 3 AS k", "CAST((id * 7919) % 11 AS DOUBLE) AS score", "(id * 104729) % 30011 AS m")
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["k"], -r["score"], r["m"])):
+        want.setdefault(r["k"], []).append((r["score"], r["m"]))
+    got = {(r["k"], r["rank"]): (r["score"], r["m"]) for r in lookup.top_scores(rows, "k", "score", "m", 5).collect()}
+    assert got == {(k, n + 1): v for k, best in want.items() for n, v in enumerate(best[:5])}
