@@ -1,10 +1,13 @@
 """Work that has to grow with the input and no faster, and whole results where groups are large."""
 
 import datetime
+import random
 import time
 from decimal import Decimal
 
-from ledgerloom.operators import lookup, reconcile
+import numpy as np
+
+from ledgerloom.operators import learning, lookup, reconcile
 from ledgerloom.sources import statements
 
 
@@ -35,3 +38,26 @@ def test_best_scores_of_batches(spark):
         want.setdefault(r["k"], []).append((r["score"], r["m"]))
     got = {(r["k"], r["rank"]): (r["score"], r["m"]) for r in lookup.top_scores(rows, "k", "score", "m", 5).collect()}
     assert got == {(k, n + 1): v for k, best in want.items() for n, v in enumerate(best[:5])}
+
+
+def test_neighbours_in_blocks(spark, monkeypatch, capsys):
+    """Rows that all share a dimension, in blocks of a few rows and products, against a plain loop; no join makes the shared dimensions of all pairs into rows."""
+    rng = random.Random(2)
+    vectors = {k: {0: 0.5} | {rng.randrange(1, 9): rng.choice([0.25, 0.5, -0.5]) for _ in range(3)} for k in range(40)}
+    rows = spark.createDataFrame([(k, d, w) for k, v in vectors.items() for d, w in v.items()], "row_id long, dim long, weight double")
+    for name, size in {"ASKED": 4, "ROWS": 7, "PRODUCTS": 20}.items():
+        monkeypatch.setattr(learning, name, size)
+    near = learning.neighbours(rows.where("row_id % 4 = 0").withColumnRenamed("row_id", "query_id"), rows, 3)
+    want = set()
+    for q in range(0, 40, 4):
+        dots = [(-round(sum(w * vectors[r].get(d, 0) for d, w in vectors[q].items()), 6), r) for r in vectors if r != q]
+        want |= {(q, r, -dot, n + 1) for n, (dot, r) in enumerate(sorted(x for x in dots if x[0] < 0)[:3])}
+    assert {tuple(r) for r in near.select("query_id", "row_id", "dot", "rank").collect()} == want
+    capsys.readouterr()
+    near.explain()
+    assert "Join" not in capsys.readouterr().out
+
+
+def test_rounding_of_millionths():
+    """Half up by the digits that a double is written with, which is not what its binary value says."""
+    assert learning.micros(np.array([0.1234565, 0.0000005, 1.0000025, 0.8999995, 0.25])).tolist() == [123457, 1, 1000003, 900000, 250000]
