@@ -6,8 +6,9 @@ import time
 from decimal import Decimal
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from ledgerloom.operators import learning, lookup, reconcile
+from ledgerloom.operators import learning, lookup, reconcile, suggest
 from ledgerloom.sources import statements
 
 
@@ -61,3 +62,32 @@ def test_neighbours_in_blocks(spark, monkeypatch, capsys):
 def test_rounding_of_millionths():
     """Half up by the digits that a double is written with, which is not what its binary value says."""
     assert learning.micros(np.array([0.1234565, 0.0000005, 1.0000025, 0.8999995, 0.25])).tolist() == [123457, 1, 1000003, 900000, 250000]
+
+
+def test_many_amounts_of_equal_texts(spark):
+    """Movements and entries of equal texts were paired whatever their amounts; results against a plain loop, amounts at the edges of steps, several rows of an entry."""
+    n = 20_000
+    rows = spark.range(n).selectExpr("id AS k", "'transfer to acme' AS description", "CAST(100 + id * 7919 % 20011 AS DOUBLE) AS amount")
+    past = rows.selectExpr("k AS entry_id", "1 AS line_id", "k % 7 AS account_id", "description AS bank_text", "'' AS line_text", "amount AS bank_amount")
+    start = time.monotonic()
+    assert suggest.historical_entry(rows, past, "k", own=True).count() == n
+    assert time.monotonic() - start < 120
+    rng = random.Random(5)
+    sizes = [0.0, 90.0, 95.0, 98.0, 99.5, 100.0, -100.5, 102.04, 105.26, 111.11, 111.12, 5000.0]
+    few = [(rng.randrange(40), k, rng.choice([k % 5, None]), rng.choice(["transfer to acme", "transfer to bolt", "fee"]), "", rng.choice([*sizes, None])) for k in range(150)]
+    asked = [(k, ("transfer to acme", "fee", "odd")[k % 3], size) for k, size in enumerate([*sizes, None] * 3)]
+    types = "entry_id long, line_id int, account_id long, bank_text string, line_text string, bank_amount double"
+    got = suggest.historical_entry(spark.createDataFrame(asked, "k long, description string, amount double"), spark.createDataFrame(few, types), "k", own=True).collect()
+    like = spark.createDataFrame([(a, b) for a in ("transfer to acme", "fee", "odd") for b in ("transfer to acme", "transfer to bolt", "fee")], "a string, b string")
+    like = {(r["a"], r["b"]): r["s"] for r in like.select("a", "b", suggest.text_similarity(F.col("a"), F.col("b"), False).alias("s")).collect()}
+    kinds = {"transfer to acme": "transfer", "transfer to bolt": "transfer", "fee": "bank_fees", "odd": None}
+
+    def worth(a, b):
+        a, b = abs(a or 0), abs(b or 0)
+        return next((w for bound, w in ((0.995, 1.0), (0.98, 0.82), (0.95, 0.65), (0.9, 0.45)) if a and b and min(a, b) / max(a, b) >= bound), 0.0)
+
+    want = {}
+    for k, text, size in asked:
+        scored = [(-round(min(1.0, like[text, t] * 0.82 + worth(size, s) * 0.12 + (kinds[text] == kinds[t]) * 0.06), 4), e, line, a) for e, line, a, t, _, s in few if a is not None and e != k]
+        want[k] = min(scored)
+    assert {r["k"]: (-r["confidence"], r["entry_id"], r["account_id"]) for r in got} == {k: (c, e, a) for k, (c, e, _, a) in want.items()}
