@@ -1,4 +1,4 @@
-"""Text search by an inverted index of trigrams: which rows hold a term anywhere in a field, without comparing every term with every text."""
+"""Text search by an inverted index of grams: which rows hold a term anywhere in a field, without comparing every term with every text."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import name_match as nm
 
-WIDTH = 3
+WIDTH, LONG = 3, 6
 
 
 @dataclass(frozen=True)
@@ -27,20 +27,26 @@ def _substrings(text: Column, width: int) -> Column:
 
 
 def grams(text: Column) -> Column:
-    """Distinct trigrams of a text; a shorter text is its only gram."""
-    return F.when(F.length(text) < WIDTH, F.array(text)).otherwise(_substrings(text, WIDTH))
+    """Distinct grams of three and of six characters of a text; one of less than three is its only gram."""
+    return F.when(F.length(text) < WIDTH, F.array(text)).otherwise(F.concat(_substrings(text, WIDTH), _substrings(text, LONG)))
+
+
+def asked_grams(term: Column) -> Column:
+    """The grams that a term of three characters or more is found by: long ones, which are much rarer, if it has any."""
+    return F.when(F.length(term) < LONG, _substrings(term, WIDTH)).otherwise(_substrings(term, LONG))
 
 
 class TextIndex:
-    """Texts (id, field, text in lower case), postings (gram, id, field) and how many postings a gram has.
+    """Texts (id, field, text in lower case), postings (gram, text_key) of each distinct text, and how many postings a gram has.
 
-    Rows of one id are one row; null and empty texts are in no list. Postings grow with the text, about one row a character, and are read by the grams asked for only: kept as a
-    table (``write``) they are sorted by gram, so that Parquet statistics pass over most of a file.
+    Rows of one id are one row; null and empty texts are in no list. ``text_key`` is a hash: texts that share one are all looked at. Postings grow with the distinct texts, about two
+    rows a character, and are read by the grams asked for only: kept as a table (``write``) they are sorted by gram, so that Parquet statistics pass over most of a file. Spark takes
+    postings for as small as the table they come from, so that each join with them says that it is not to be a broadcast.
     """
 
     def __init__(self, texts: DataFrame, postings: DataFrame | None = None, sizes: DataFrame | None = None):
         self.texts = texts
-        self.postings = texts.select(F.explode(grams(F.col("text"))).alias("gram"), "id", "field") if postings is None else postings
+        self.postings = texts.select(F.xxhash64("text").alias("text_key"), "text").distinct().select(F.explode(grams(F.col("text"))).alias("gram"), "text_key") if postings is None else postings
         self.sizes = self.postings.groupBy("gram").agg(F.count("*").alias("n")) if sizes is None else sizes
 
     @classmethod
@@ -53,7 +59,7 @@ class TextIndex:
         """The index as Parquet under ``path``, postings in ranges of grams."""
         self.texts.write.mode("overwrite").parquet(f"{path}/texts")
         stored = type(self).read(self.texts.sparkSession, path, texts_only=True)
-        stored.postings.repartitionByRange(files, "gram").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        stored.postings.repartitionByRange(files, "gram").sortWithinPartitions("gram", "text_key").write.mode("overwrite").parquet(f"{path}/postings")
         self.texts.sparkSession.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/sizes")
         return type(self).read(self.texts.sparkSession, path)
 
@@ -67,23 +73,28 @@ class TextIndex:
 
         A term with a gram that the index does not know has no probe.
         """
-        long = terms.where(F.length("term") >= WIDTH).select("term", _substrings(F.col("term"), WIDTH).alias("g"))
-        long = long.select("term", F.size("g").alias("whole"), F.explode("g").alias("gram")).join(self.sizes, "gram")
+        long = terms.where(F.length("term") >= WIDTH).select("term", asked_grams(F.col("term")).alias("g"))
+        long = long.select("term", F.size("g").alias("whole"), F.explode("g").alias("gram")).join(self.sizes.hint("merge"), "gram")
         of = Window.partitionBy("term")
         long = long.withColumn("known", F.count("*").over(of)).withColumn("r", F.row_number().over(of.orderBy("n", "gram"))).where(f"known = whole AND r <= {most}")
         long = long.select("term", "gram", F.least(F.lit(most), "whole").cast("long").alias("need"))
         known = self.sizes.where(F.length("gram") <= WIDTH).select("gram", F.explode(F.array_distinct(F.concat(F.array("gram"), *[_substrings(F.col("gram"), w) for w in range(1, WIDTH)]))).alias("term"))
-        short = terms.where(F.length("term") < WIDTH).join(known, "term").select("term", "gram", F.lit(1).cast("long").alias("need"))
+        short = terms.where(F.length("term") < WIDTH).join(known.hint("merge"), "term").select("term", "gram", F.lit(1).cast("long").alias("need"))
         return long.unionByName(short)
 
-    def find(self, terms: DataFrame, most: int = 3) -> DataFrame:
+    def find(self, terms: DataFrame, most: int = 1) -> DataFrame:
         """term, id and field of every field that holds the term (both in lower case). ``terms`` has the column ``term``; null and empty ones are in no text.
 
         Postings of each term's ``most`` rarest grams are intersected, then what is left is checked against its text.
         """
+        return self.hits(terms, most).drop("text")
+
+    def hits(self, terms: DataFrame, most: int = 1) -> DataFrame:
+        """``find`` with the texts."""
         asked = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct()
-        met = self._probes(asked, most).join(self.postings, "gram").groupBy("term", "id", "field").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need")
-        return met.join(self.texts, ["id", "field"]).where(F.col("text").contains(F.col("term"))).select("term", "id", "field")
+        met = self._probes(asked, most).join(self.postings.hint("merge"), "gram").groupBy("term", "text_key").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need")
+        keyed = self.texts.select("id", "field", "text", F.xxhash64("text").alias("text_key"))
+        return met.hint("merge").join(keyed, "text_key").where(F.col("text").contains(F.col("term"))).select("term", "id", "field", "text")
 
 
 def search(index: TextIndex, terms: DataFrame, order: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:
@@ -97,17 +108,17 @@ def search(index: TextIndex, terms: DataFrame, order: DataFrame | None = None, l
     mine = terms.select("query_id", F.lower("term").alias("term"), rank.alias("_rank")).where("term <> ''")
     mine = mine.groupBy("query_id", "term").agg(F.min("_rank").alias("_rank"))
     mine = mine.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("_rank", "term"))).where(F.col("_r") <= limits.terms).select("query_id", "term")
-    return narrowed(mine.join(index.find(mine), "term").join(index.texts, ["id", "field"]), order, limits)
+    by = [] if order is None else [c for c in order.columns if c != "id"]
+    hits = index.hits(mine) if order is None else index.hits(mine).join(order, "id")
+    # The newest rows of all terms of a query are among the newest of each: terms are cut before queries, which may share them, get their rows.
+    newest = Window.partitionBy("term", "field").orderBy(*[F.desc(c) for c in [*by, "id"]])
+    hits = hits.distinct().withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limits.field).drop("_n")
+    return narrowed(mine.join(hits.hint("merge"), "term"), by, limits)
 
 
-def narrowed(hits: DataFrame, order: DataFrame | None, limits: Limits) -> DataFrame:
-    """query_id, id, field, term of ``hits`` (with text) after the limits."""
-    newest = [F.desc("id")]
-    if order is not None:
-        by = [c for c in order.columns if c != "id"]
-        hits, newest = hits.join(order, "id"), [*[F.desc(c) for c in by], F.desc("id")]
-    else:
-        by = []
+def narrowed(hits: DataFrame, by: list[str], limits: Limits) -> DataFrame:
+    """query_id, id, field, term of ``hits`` (with text and the columns ``by``) after the limits."""
+    newest = [F.desc(c) for c in [*by, "id"]]
     covers = F.length("term") / F.length("text")
     one = hits.groupBy("query_id", "field", "id", *by).agg(F.min(F.struct((-covers).alias("covers"), "term")).alias("best"))
     one = one.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "field").orderBy(*newest))).where(F.col("_n") <= limits.field)

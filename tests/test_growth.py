@@ -8,7 +8,7 @@ from decimal import Decimal
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import learning, lookup, reconcile, suggest
+from ledgerloom.operators import learning, lookup, reconcile, suggest, text_index
 from ledgerloom.sources import statements
 
 
@@ -91,3 +91,17 @@ def test_many_amounts_of_equal_texts(spark):
         scored = [(-round(min(1.0, like[text, t] * 0.82 + worth(size, s) * 0.12 + (kinds[text] == kinds[t]) * 0.06), 4), e, line, a) for e, line, a, t, _, s in few if a is not None and e != k]
         want[k] = min(scored)
     assert {r["k"]: (-r["confidence"], r["entry_id"], r["account_id"]) for r in got} == {k: (c, e, a) for k, (c, e, _, a) in want.items()}
+
+
+def test_postings_are_no_broadcast(spark, tmp_path, capsys):
+    """Postings are many times the table that they come from, for whose size Spark takes them: they went through the driver. Equal texts have them once."""
+    spark.range(3000).selectExpr("id", "concat('Customer#', lpad(CAST(id % 1000 AS STRING), 9, '0')) AS name").write.parquet(str(tmp_path / "rows"))
+    index = text_index.TextIndex.of(spark.read.parquet(str(tmp_path / "rows")), "id", ["name"])
+    terms = spark.createDataFrame([("#000000123",), ("0777",), ("77",)], "term string")
+    found = index.find(terms)
+    want = {(t, k) for t in ("#000000123", "0777", "77") for k in range(3000) if t in f"customer#{k % 1000:09d}"}
+    assert sorted((r["term"], r["id"]) for r in found.collect()) == sorted(want)
+    assert index.postings.where("gram = '000123'").count() == 1
+    capsys.readouterr()
+    found.explain()
+    assert "Broadcast" not in capsys.readouterr().out
