@@ -8,7 +8,8 @@ from decimal import Decimal
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import learning, lookup, reconcile, suggest, text_index
+from ledgerloom.operators import learning, lookup, name_match, reconcile, suggest, text_index
+from ledgerloom.plans.people import MODEL
 from ledgerloom.sources import statements
 
 
@@ -118,3 +119,12 @@ def test_queries_that_share_terms(spark):
         got.setdefault(r["query_id"], set()).add((r["id"], r["field"], r["term"]))
     newest = sorted(rows, key=lambda r: (-r[1], -r[0]))[:5]  # every row has 'red' in its first field and 'apple' as its second; what covers most is told
     assert got == {q: {(r[0], 0, "red") if r[2] == "red" else (r[0], 1, "apple") for r in newest} for q in range(400)}
+
+
+def test_equal_names_meet_once(spark):
+    """Rows of equal names were paired before they were judged; every row still gets its pairs."""
+    asked = spark.range(200).selectExpr("id AS q", "'Karim Laila' AS name")
+    there = spark.range(300).selectExpr("id AS p", "IF(id % 3 = 0, NULL, 'Kareem Layla') AS partner")
+    assert name_match.text_pairs(asked, there, "name", "partner").count() == 1
+    got = name_match.match_names(asked, there, "q", "name", "p", "partner", MODEL)
+    assert {(r["q"], r["p"]) for r in got.where("decision = 'match'").collect()} == {(q, p) for q in range(200) for p in range(300) if p % 3}
