@@ -6,6 +6,7 @@ import time
 from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import learning, lookup, name_match, reconcile, suggest, text_index
@@ -128,3 +129,21 @@ def test_equal_names_meet_once(spark):
     assert name_match.text_pairs(asked, there, "name", "partner").count() == 1
     got = name_match.match_names(asked, there, "q", "name", "p", "partner", MODEL)
     assert {(r["q"], r["p"]) for r in got.where("decision = 'match'").collect()} == {(q, p) for q in range(200) for p in range(300) if p % 3}
+
+
+def test_texts_meet_rules_once(spark, monkeypatch):
+    """Each text met each rule once for every amount that it came with; the amount still decides for every row."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        calls.add(len(a))
+        return pd.Series([0.9] * len(a))
+
+    monkeypatch.setattr(suggest, "sequence_ratio", counted)
+    rules = spark.createDataFrame([(1, 10, "rent", "", "lower", None, 500.0), (2, 20, "rent", "", "greater", 500.5, None), (3, 30, "rent", "", None, None, None)], "rule_id long, account_id long, rule_text string, label_value string, mode string, low double, high double")
+    rows = spark.range(3000).selectExpr("id", "element_at(array('rent a', 'rent b', NULL), CAST(id % 3 + 1 AS INT)) AS description", "IF(id = 7, NULL, id) AS amount")
+    got = {r["id"]: (r["rule_id"], r["account_id"], r["confidence"]) for r in suggest.fuzzy_rule(rows, rules, "id").collect()}
+    worth = {k: (3, 30, 0.71) if k == 7 else (1, 10, 0.82) if k <= 500 else (2, 20, 0.82) for k in range(3000) if k % 3 < 2}
+    assert got == worth
+    assert 0 < calls.value <= 60
