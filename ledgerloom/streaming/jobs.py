@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 RESULT = "org {org}, job_id {job}, at long, what string"
+WAITING = ("ms", "turn", "job_id", "actor", "kind")
+SLOT, HELD = 3_600_000, 100_000  # milliseconds of a slot; rows of a batch that are held before they are put to their slots
 
 
 @dataclass(frozen=True)
@@ -94,40 +96,78 @@ def job_log(events: DataFrame, caps: Caps = Caps(), org: str = "org", actor: str
 class JobProcessor(StatefulProcessor):
     """An organisation's desk under Structured Streaming.
 
-    Rows wait in a list until the watermark has passed them, so that they are taken in order of time whatever batch brought them; a timer stands at the next moment at which
-    something is due: a waiting row, or the end of an unfinished job's time.
+    Rows wait until the watermark has passed them, so that they are taken in order of time whatever batch brought them. They wait by the hour (``SLOT``), in pieces of what a batch
+    brought, and only one hour's rows are in memory at a time. A timer stands at the next moment at which something is due: a waiting row, or the end of an unfinished job's time.
     """
 
     def __init__(self, caps: Caps, rows: T.StructType):
         self.caps = caps
-        self.of_waiting, self.of_pending = (T.StructType([rows[c] for c in names]) for names in (("ms", "turn", "job_id", "actor", "kind"), ("job_id", "actor", "ms")))
+        self.of_rows = T.StructType([T.StructField(c, T.ArrayType(rows[c].dataType)) for c in WAITING])
+        self.of_pending = T.StructType([rows[c] for c in ("job_id", "actor", "ms")])
+        self.whole = {c for c in WAITING if isinstance(rows[c].dataType, T.IntegralType)}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting, self.pending = handle.getListState("waiting", self.of_waiting), handle.getListState("pending", self.of_pending)
-
-    def _work(self, key: tuple, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
-        rows = sorted([*self.waiting.get(), *new], key=lambda r: (r[0], r[1], r[2]))
-        due = [r for r in rows if r[0] <= watermark]
+        self.waiting = handle.getMapState("waiting", "slot long, piece long", self.of_rows)
+        self.slots = handle.getMapState("slots", "slot long", "pieces long, first long")
+        self.pending = handle.getListState("pending", self.of_pending)
+
+    def _keep(self, new: pd.DataFrame, slots: dict[int, tuple[int, int]]) -> None:
+        """Rows as one more piece of each slot; ``slots``: pieces and the first moment of each."""
+        for slot, part in new.groupby(new["ms"] // SLOT):
+            pieces, first = slots.get(int(slot), (0, int(part["ms"].min())))
+            values = [[None if pd.isna(v) else int(v) if c in self.whole else v for v in part[c].tolist()] for c in WAITING]
+            self.waiting.updateValue((int(slot), pieces), tuple(values))
+            slots[int(slot)] = (pieces + 1, min(first, int(part["ms"].min())))
+
+    def _work(self, key: tuple, new: Iterator[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
+        slots = {k[0]: tuple(v) for k, v in self.slots.iterator()}
+        before, held = dict(slots), []
+        for pdf in new:
+            held.append(pdf[list(WAITING)])
+            if sum(map(len, held)) >= HELD:
+                self._keep(pd.concat(held), slots)
+                held = []
+        if held:
+            self._keep(pd.concat(held), slots)
         desk = Desk(self.caps, [tuple(p) for p in self.pending.get()])
-        out = [x for ms, _, job, actor, kind in due for x in desk.take(ms, kind, job, actor)] + desk.sweep(watermark)
-        for state, left in ((self.waiting, rows[len(due) :]), (self.pending, desk.pending)):
-            if left:
-                state.put([tuple(r) for r in left])
-            else:
-                state.clear()
-        soon = [r[0] for r in rows[len(due) : len(due) + 1]] + [p[2] + 1000 * self.caps.seconds + 1 for p in desk.pending[:1]]
+        for slot in sorted(slots):
+            pieces, first = slots[slot]
+            if first > watermark:
+                break
+            rows = sorted((r for n in range(pieces) for r in zip(*self.waiting.getValue((slot, n)))), key=lambda r: (r[0], r[1], r[2]))
+            due = [r for r in rows if r[0] <= watermark]
+            out = [x for ms, _, job, actor, kind in due for x in desk.take(ms, kind, job, actor)]
+            for n in range(pieces):
+                self.waiting.removeKey((slot, n))
+            del slots[slot]
+            if len(due) < len(rows):
+                self._keep(pd.DataFrame(rows[len(due) :], columns=list(WAITING), dtype=object), slots)
+            yield from self._told(key, out)
+        yield from self._told(key, desk.sweep(watermark))
+        for slot in before.keys() - slots.keys():
+            self.slots.removeKey((slot,))
+        for slot, now in slots.items():
+            if before.get(slot) != now:
+                self.slots.updateValue((slot,), now)
+        if desk.pending:
+            self.pending.put(desk.pending)
+        else:
+            self.pending.clear()
+        soon = [first for _, (_, first) in sorted(slots.items())[:1]] + [p[2] + 1000 * self.caps.seconds + 1 for p in desk.pending[:1]]
         if soon:
             self.handle.registerTimer(max(min(soon), watermark + 1))
+
+    @staticmethod
+    def _told(key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
         if out:
             yield pd.DataFrame([(key[0], *x) for x in out], columns=["org", "job_id", "at", "what"])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for pdf in rows for r in pdf[["ms", "turn", "job_id", "actor", "kind"]].astype(object).itertuples(index=False)]
-        yield from self._work(key, new, timerValues.getCurrentWatermarkInMs())
+        yield from self._work(key, rows, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield from self._work(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._work(key, iter(()), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -136,7 +176,7 @@ class JobProcessor(StatefulProcessor):
 def job_stream(events: DataFrame, caps: Caps = Caps(), org: str = "org", actor: str = "actor", job: str = "job_id", kind: str = "kind", at: str = "at", late: int = 600) -> DataFrame:
     """``job_log`` over a stream. Rows more than ``late`` seconds behind the latest one are dropped; needs the RocksDB state store."""
     timed = events.withWatermark(at, f"{late} seconds")
-    rows = _rows(timed, org, actor, job, kind, at)
+    rows = _rows(timed, org, actor, job, kind, at).where("ms IS NOT NULL")
     kinds = dict(rows.dtypes)
     processor = JobProcessor(caps, rows.schema)
     return rows.groupBy("org").transformWithStateInPandas(processor, RESULT.format(org=kinds["org"], job=kinds["job_id"]), "Append", "EventTime")

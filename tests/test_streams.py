@@ -3,7 +3,9 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.operators import chain
 from ledgerloom.streaming import audit, jobs
@@ -103,3 +105,77 @@ def test_stage(spark):
     assert {r.job_id: r.outcome for r in out.collect()} == {1: "proposed", 2: "size_mismatch", 3: "type_mismatch", 4: "amount_denied", 5: "amount_denied", 6: "size_mismatch", 7: "size_mismatch", 8: "amount_denied", 9: "type_mismatch"}
     first = out.where("job_id = 1").first()
     assert (float(first.amount), str(first.transaction_date)) == (1000.5, "2024-02-03")
+
+
+class Held:
+    """Map or list state in memory that notes the rows of the largest answer."""
+
+    most = 0
+
+    def __init__(self):
+        self.rows, self.map = [], {}
+
+    def get(self):
+        Held.most = max(Held.most, len(self.rows))
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = rows
+
+    def clear(self):
+        self.rows = []
+
+    def getValue(self, k):
+        Held.most = max(Held.most, *[len(c) for c in self.map[k] if isinstance(c, list)])
+        return self.map[k]
+
+    def updateValue(self, k, v):
+        self.map[k] = v
+
+    def removeKey(self, k):
+        del self.map[k]
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+
+class Handle:
+    def __init__(self):
+        self.timer = None
+
+    def getListState(self, *_):
+        return Held()
+
+    getMapState = getListState
+
+    def registerTimer(self, at):
+        self.timer = at
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_waiting_rows_by_the_hour():
+    """All rows of an organisation were in memory whenever it was called; now those of one hour, with the same outcome, over several watermarks and with jobs without an actor."""
+    rng, caps = random.Random(8), jobs.Caps(per_actor=1, per_org=3, seconds=400)
+    rows = [("a", None if k % 9 == 0 else k % 5, k // 2 * 2, "finish" if k % 2 else "submit", T0 + timedelta(seconds=30 * k + rng.randrange(300))) for k in range(4000)]
+    until = max(r[4] for r in rows) - timedelta(seconds=600)
+    types = T.StructType([T.StructField("ms", T.LongType()), T.StructField("turn", T.IntegerType()), T.StructField("job_id", T.LongType()), T.StructField("actor", T.LongType()), T.StructField("kind", T.StringType())])
+    made = [(round(at.timestamp() * 1000), int(kind == "submit"), job, actor, kind) for _, actor, job, kind, at in rows]
+    rng.shuffle(made)
+    Held.most, desk, handle, out = 0, jobs.JobProcessor(caps, types), Handle(), []
+    desk.init(handle)
+    chunks = [pd.DataFrame(made[k : k + 500], columns=["ms", "turn", "job_id", "actor", "kind"]) for k in range(0, len(made), 500)]
+    end, first = round(until.timestamp() * 1000), min(r[0] for r in made)
+    out += desk.handleInputRows(("a",), iter(chunks), Clock(0))
+    assert not out and handle.timer == first
+    for mark in (first + 5_000_000, first + 5_000_001, (first + end) // 2, end):
+        out += desk.handleExpiredTimer(("a",), Clock(mark), None)
+        assert handle.timer > mark
+    assert sorted(("a", j, at, w) for pdf in out for _, j, at, w in pdf.itertuples(index=False)) == plain(rows, caps, 600)
+    assert 0 < Held.most <= 200
