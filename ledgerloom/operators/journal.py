@@ -5,7 +5,7 @@ Nothing here marks an entry as postable: what can't be proven comes out as an un
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, money_text, tax_split
@@ -88,6 +88,20 @@ def balance_errors(lines: DataFrame, key: str = "entry_id") -> DataFrame:
     return sums.select(key, "n_lines", "total_debit", "total_credit", error.alias("error"))
 
 
+def entry_days(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """entry_id, days (of its lines, distinct) and cross_day: whether a line's day is not the entry's; null where no two can be compared. Entries without lines are left out.
+
+    ``lines``: entry_id, day; ``entries``: entry_id, entry_date. Lines are sorted once and counted by windows before they meet entries; no table of all days is held in memory.
+    If the first and the last day each equal the entry's last and first date, all are one.
+    """
+    down = Window.partitionBy("entry_id").orderBy("day")
+    new = F.coalesce(F.col("day") != F.lag("day").over(down), F.col("day").isNotNull())
+    lines = lines.where("entry_id IS NOT NULL").withColumn("_new", new.cast("long"))
+    ends = lines.select("entry_id", F.sum("_new").over(down).alias("days"), F.first("day", True).over(down).alias("_first"), F.col("day").alias("_last"), F.lead(F.lit(1)).over(down).isNull().alias("_end"))
+    dates = entries.groupBy("entry_id").agg(F.min("entry_date").alias("_low"), F.max("entry_date").alias("_high"))
+    return ends.where("_end").join(dates, "entry_id").select("entry_id", "days", ((F.col("_first") != F.col("_high")) | (F.col("_last") != F.col("_low"))).alias("cross_day"))
+
+
 def role_counts(lines: DataFrame) -> DataFrame:
     """transaction_key, n_lines, n_bank, n_counterpart, n_tax, complete (one bank and one counterpart line, a tax line at most)."""
     n = {r: F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("bank", "counterpart", "tax")}

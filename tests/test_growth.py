@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import learning, lookup, name_match, reconcile, suggest, text_index
+from ledgerloom.operators import journal, learning, lookup, name_match, reconcile, suggest, text_index
+from ledgerloom.plans import more
 from ledgerloom.plans.people import MODEL
 from ledgerloom.sources import statements
 
@@ -147,3 +148,21 @@ def test_texts_meet_rules_once(spark, monkeypatch):
     worth = {k: (3, 30, 0.71) if k == 7 else (1, 10, 0.82) if k <= 500 else (2, 20, 0.82) for k in range(3000) if k % 3 < 2}
     assert got == worth
     assert 0 < calls.value <= 60
+
+
+def test_days_of_entries(spark, capsys):
+    """Days were counted by hash tables of all entries' days after a join with entries; now a sort, and the same results with nulls, entries that stand twice and keys of one side."""
+    days = {1: [1, 1, 2], 2: [3, 3], 3: [None, 4], 4: [None], 5: [5], 6: [6, 6], 7: [7], 8: [9, 8, 9, 8]}
+    dates = {1: [1], 2: [3], 3: [4], 4: [4], 5: [None], 6: [6, 7], 9: [1], 7: [7, 7], 8: [8]}
+    lines = spark.createDataFrame([(k, x) for k, v in days.items() for x in v] + [(None, 1)], "entry_id long, day int")
+    entries = spark.createDataFrame([(k, x) for k, v in dates.items() for x in v] + [(None, 1)], "entry_id long, entry_date int")
+    lines, entries = lines.withColumn("day", F.date_from_unix_date("day")), entries.withColumn("entry_date", F.date_from_unix_date("entry_date"))
+    want = {}
+    for k in days.keys() & dates.keys():
+        pairs = [x != y for x in days[k] for y in dates[k] if x is not None and y is not None]
+        want[k] = (len({x for x in days[k] if x is not None}), any(pairs) if pairs else None)
+    found = journal.entry_days(lines, entries)
+    assert {r["entry_id"]: (r["days"], r["cross_day"]) for r in found.collect()} == want
+    capsys.readouterr()
+    more.a07(spark, "/root/testdata/sf0.001").explain()
+    assert "count(distinct" not in capsys.readouterr().out
