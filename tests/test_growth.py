@@ -166,3 +166,23 @@ def test_days_of_entries(spark, capsys):
     capsys.readouterr()
     more.a07(spark, "/root/testdata/sf0.001").explain()
     assert "count(distinct" not in capsys.readouterr().out
+
+
+def test_training_measures_texts_once(spark, monkeypatch):
+    """Rows of equal names were measured one by one, in the task that had read them; the model is that of all rows."""
+    tasks = spark.sparkContext.accumulator(0)
+    measures = name_match.pair_features
+
+    @F.pandas_udf("array<double>")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        tasks.add(len(a))
+        return pd.Series([measures(x, y) for x, y in zip(a, b)])
+
+    names = [("karim laila", "kareem layla", 1), ("karim laila", "tamer hind", 0), ("nabil salma", "nabeel selma", 1), ("nabil salma", "karim laila", 0)]
+    once = spark.createDataFrame(names, "query string, candidate string, label int").coalesce(1)
+    many = once.crossJoin(spark.range(500)).coalesce(1)
+    monkeypatch.setattr(name_match, "features", counted)
+    model = name_match.train(many)
+    assert 0 < tasks.value <= 40
+    alone = name_match.train(once, strength=1.5 * 500)
+    assert abs(model.intercept - alone.intercept) < 1e-3
