@@ -48,9 +48,10 @@ def _by_ladder(content: pd.Series) -> pd.Series:
 
 
 def decoded(content: Column) -> Column:
-    """Bytes as text by the ladder of encodings; only what is no UTF-8 leaves the JVM."""
+    """Bytes as text by the ladder of encodings; only what is no UTF-8 leaves the JVM. Python gets every row whatever branch it is in, so that the others go there as nulls."""
     plain = F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.substring(content, 4, 2147483647)).otherwise(content)
-    return F.when(F.is_valid_utf8(plain.cast("string")), plain.cast("string")).otherwise(_by_ladder(content))
+    valid = F.is_valid_utf8(plain.cast("string"))
+    return F.when(valid, plain.cast("string")).otherwise(_by_ladder(F.when(F.coalesce(valid, F.lit(False)), F.lit(None)).otherwise(content)))
 
 
 # The first bytes (hexadecimal) of file types.

@@ -186,3 +186,19 @@ def test_training_measures_texts_once(spark, monkeypatch):
     assert 0 < tasks.value <= 40
     alone = name_match.train(once, strength=1.5 * 500)
     assert abs(model.intercept - alone.intercept) < 1e-3
+
+
+def test_utf8_stays_in_the_jvm(spark, monkeypatch):
+    """Bytes of every row went to Python, those of UTF-8 too."""
+    sent = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(content: pd.Series) -> pd.Series:
+        sent.add(int(content.notna().sum()))
+        return content.map(lambda c: None if c is None else statements.decode(bytes(c)))
+
+    monkeypatch.setattr(statements, "_by_ladder", counted)
+    rows = [(1, "plain é".encode()), (2, b"\xef\xbb\xbfmarked"), (3, None), (4, b""), (5, "odd é".encode("cp1252"))]
+    got = {r["k"]: r["t"] for r in spark.createDataFrame(rows, "k long, c binary").select("k", statements.decoded(F.col("c")).alias("t")).collect()}
+    assert {k: got[k] for k in range(1, 5)} == {1: "plain é", 2: "marked", 3: None, 4: ""} and got[5] == statements.decode(rows[4][1])
+    assert sent.value == 1
