@@ -1,7 +1,10 @@
 """Statements from word boxes: lines, cells, and what carries over from line to line."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from ledgerloom.plans import layouts
 from ledgerloom.sources import layout
 
 
@@ -18,6 +21,59 @@ def test_lines_and_cells(spark):
     assert got["a", 1, 2].debit == "50.25" and got[None, 1, 1].description == "far"
 
 
+def test_lines_in_batches(spark, capsys):
+    """Lines that lie in several Arrow batches, against a plain loop; words are sorted once, where each cell had a sort and groups of its own."""
+    rng = random.Random(3)
+    rows = [(s, p, rng.choice([None, *range(0, 600, 8)]), rng.choice([None, 6, 12]), rng.choice(range(0, 60, 3)), rng.choice(["a", "b", "كلمة", "٣", " "])) for s in ("x", None) for p in (1, 2) for _ in range(60)]
+    rows = [(s, p, None if x is None else float(x), None if x is None or w is None else float(x + w), float(y), t) for s, p, x, w, y, t in rows]
+    want, pages = {}, {}
+    for s, p, x0, x1, y, t in rows:
+        if t != " ":
+            pages.setdefault((s, p), []).append((y, -1e9 if x0 is None else x0, x0 if x1 is None else x1, t.replace("٣", "3")))
+    for page, words in pages.items():
+        lines = []
+        for w in sorted(words, key=lambda w: w[0]):
+            if not lines or w[0] - lines[-1][-1][0] > layout.TOLERANCE:
+                lines.append([])
+            lines[-1].append(w)
+        for n, line in enumerate(lines, 1):
+            cells = {b: [] for b, _ in layout.BANDS}
+            for _, x0, x1, t in line:
+                cells[next((b for b, end in layout.BANDS if x0 > -1 and (x0 + x1) / 2 < end), "description")].append((x0, x1 if x1 is not None else -1e9, t))
+            texts = []
+            for b, words in cells.items():
+                parts = []
+                for w in sorted(words):
+                    if not parts or w[0] < -1 or parts[-1][-1][1] < -1 or w[0] - parts[-1][-1][1] > layout.GAP:
+                        parts.append([])
+                    parts[-1].append(w)
+                parts = sorted((sum(w[0] for w in part) / len(part), " ".join(w[2] for w in part)) for part in parts)
+                texts.append(" ".join(t for _, t in (parts[::-1] if b == "description" or any("كلمة" in t for _, t in parts) else parts)))
+            want[*page, n] = (line[0][0], *texts)
+    frame = spark.createDataFrame(rows, "statement string, page int, x0 double, x1 double, top double, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert {tuple(r[:3]): tuple(r[3:]) for r in layout.lines_of(frame).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    capsys.readouterr()
+    layout.lines_of(frame).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1 and "collect_list" not in plan
+
+
+def test_orders_are_dealt_before_words(spark, tmp_path, capsys):
+    """Words of orders are made where their page is read; before, all of them were shuffled."""
+    spark.sql("SELECT id AS o_orderkey, DATE'2024-01-05' AS o_orderdate, 10.5D AS o_totalprice, '1-URGENT' AS o_orderpriority FROM range(60)").write.parquet(f"{tmp_path}/orders.parquet")
+    capsys.readouterr()
+    layouts.boxes(spark, str(tmp_path)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and plan.index("Generate explode") < plan.index("Exchange")
+    assert layouts.boxes(spark, str(tmp_path)).where("page = 2 AND text LIKE 'Order%'").count() == 30
+
+
 def test_statement(spark):
     rows = [
         ("s", 1, 60, 100, "9"), ("s", 1, 60, 150, "500.00"), ("s", 1, 560, 170, "2/3"), ("s", 1, 400, 170, "pay"), ("s", 1, 300, 170, "(10.50)"), ("s", 1, 400, 190, "on 3/2/2023"), ("s", 1, 560, 210, "7/8"), ("s", 1, 400, 210, "more"),
