@@ -106,7 +106,7 @@ def test_postings_are_no_broadcast(spark, tmp_path, capsys):
     assert sorted((r["term"], r["id"]) for r in found.collect()) == sorted(want)
     assert index.postings.where("gram = '000123'").count() == 1
     capsys.readouterr()
-    found.explain()
+    journal.audit(heads, rows).explain()
     assert "Broadcast" not in capsys.readouterr().out
 
 
@@ -202,3 +202,58 @@ def test_utf8_stays_in_the_jvm(spark, monkeypatch):
     got = {r["k"]: r["t"] for r in spark.createDataFrame(rows, "k long, c binary").select("k", statements.decoded(F.col("c")).alias("t")).collect()}
     assert {k: got[k] for k in range(1, 5)} == {1: "plain é", 2: "marked", 3: None, 4: ""} and got[5] == statements.decode(rows[4][1])
     assert sent.value == 1
+
+
+def test_audit_in_one_pass(spark, monkeypatch, capsys):
+    """Findings of odd entries against a plain loop; the lines are read once, where each of four steps read them anew."""
+    monkeypatch.setattr(journal, "SPREAD", 2)
+    rng, d1, d2 = random.Random(4), datetime.date(2024, 1, 1), datetime.date(2024, 1, 2)
+    lines = []
+    for e in (1, 2, 3, 4, 9, None):
+        for n in range(12):
+            key = rng.choice(["", None, f"k{n}", f"k{n}", f"k{n}", f"k{n}"])
+            for role in rng.choice([["bank", "counterpart"]] * 6 + [["bank"], ["bank", "bank", "counterpart"], ["bank", "counterpart", "tax"]]):
+                v = Decimal(rng.choice([5, 5, 5, 7]))
+                debit, credit = (v, None) if role == "bank" else (None, v) if rng.random() < 0.1 else (Decimal(0), v)
+                lines.append((e, key, n if rng.random() < 0.9 else None, d1 if e != 3 or n % 5 else d2, v, role, rng.choice([101, 101, 102, None]), rng.choice(["a", "a", ""]), debit, credit, rng.choice(["bank_rule", "bank_rule", None]), rng.choice([1, 1, None]), 1, rng.choice([0.9, 0.7, 0.5, None])))
+    lines += [(5, "ok", 1, d1, Decimal(5), role, 101, "a", Decimal(5 * (role == "bank")), Decimal(5 * (role != "bank")), "bank_rule", 1, 1, 0.9) for role in ("bank", "counterpart")]
+    names = "entry_id transaction_key source_row source_date source_amount role account_id account_code debit credit evidence_source rule_id version_id confidence".split()
+    kinds = ["long", "string", "long", "date", "decimal(20,2)", "string", "long", "string", "decimal(20,2)", "decimal(20,2)", "string", "long", "long", "double"]
+    five, hashes = Decimal("5.00"), ("x", True, "a", "a")
+    entries = [(1, d1, 101, five, five, 1, *hashes), (2, d1, None, five, five, None, *hashes), (2, d1, None, five, five, None, *hashes), (3, d1, 102, five, five, 1, "x", False, "a", "b"), (4, d1, 101, five, five, 1, *hashes)]
+    entries += [(4, d2, 101, five, five, 1, *hashes), (5, d1, 101, five, five, 1, *hashes), (6, d1, 101, five, five, 1, *hashes), (None, d1, 101, five, five, 1, *hashes)]
+    want = []
+    for e, day, expected, total_debit, total_credit, document, _, verified, one, other in entries:
+        mine = [dict(zip(names, x)) for x in lines if e is not None and x[0] == e]
+        found, errors = [], {}
+        errors["SOURCE_DOCUMENT_MISSING"], errors["SOURCE_HASH_MISMATCH"], errors["BANK_RULE_DRIFT"] = document is None, document is not None and not verified, one != other
+        errors["NO_JOURNAL_LINES"] = not mine
+        if mine:
+            debits, credits = ([x[c] or 0 for x in mine] for c in ("debit", "credit"))
+            bad = len(mine) < 2 or any((a > 0) == (b > 0) for a, b in zip(debits, credits)) or sum(debits) <= 0 or sum(debits) != sum(credits)
+            errors["UNBALANCED_ENTRY"], errors["TOTALS_MISMATCH"] = bad, not bad and (sum(debits), sum(credits)) != (total_debit, total_credit)
+            errors["CROSS_DAY_LINES"] = any(x["source_date"] != at[1] for x in mine for at in entries if at[0] == e)
+            errors["MISSING_TRACE_KEY"] = any(not x["transaction_key"] for x in mine)
+            banks = [(x["transaction_key"], x["source_row"]) for x in mine if x["role"] == "bank"]
+            errors["DUPLICATE_BANK_TRANSACTION"] = len(set(banks)) < len(banks)
+        found += [("error", code) for code, is_so in errors.items() if is_so]
+        for key in {x["transaction_key"] for x in mine if x["transaction_key"]}:
+            pair = {x["role"]: x for x in mine if x["transaction_key"] == key}
+            if len([x for x in mine if x["transaction_key"] == key]) != 2 or set(pair) != {"bank", "counterpart"}:
+                found.append(("error", "INCOMPLETE_DOUBLE_ENTRY_PAIR"))
+                continue
+            bank, c = pair["bank"], pair["counterpart"]
+            values = [x["debit"] + x["credit"] if None not in (x["debit"], x["credit"]) else None for x in (bank, c)]
+            checks = {"BANK_ACCOUNT_MISMATCH": expected is not None and bank["account_id"] != expected, "UNRESOLVED_COUNTERPART_ACCOUNT": c["account_id"] is None or not c["account_code"], "NO_BANK_RULE_EVIDENCE": c["evidence_source"] is None or c["rule_id"] is None}
+            checks |= {"INVALID_TRANSACTION_AMOUNT": None in values, "SOURCE_AMOUNT_MISMATCH": None not in values and values != [c["source_amount"]] * 2}
+            found += [("error", code) for code, is_so in checks.items() if is_so] + [("warning", "LOW_RULE_CONFIDENCE")] * ((c["confidence"] or 0) < 0.7)
+        want += [(e, *f) for f in found]
+        if e is None or not found:
+            want.append((e, "info", "CORE_ASSERTIONS_PASSED"))
+    rows = spark.createDataFrame(lines, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    heads = spark.createDataFrame(entries, "entry_id long, entry_date date, bank_account_id long, total_debit decimal(28,2), total_credit decimal(28,2), document_id long, sha256 string, hash_verified boolean, entry_hash string, current_hash string")
+    found = journal.audit(heads, rows)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    capsys.readouterr()
+    journal.audit(heads, rows).explain()
+    assert capsys.readouterr().out.count("Scan ExistingRDD") == 2
