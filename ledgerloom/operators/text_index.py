@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import name_match as nm
+from .staged import staged
 
 WIDTH, LONG = 3, 6
 
@@ -146,10 +147,12 @@ def global_search(queries: DataFrame, partners: DataFrame, lines: DataFrame, fie
     """query_id, id, field, text, score, reason: ledger lines that have to do with a name, by partner or by text, whose best field matches it.
 
     ``queries``: query_id, name. ``partners``: partner_id, partner. ``lines``: id, date, partner_id and the texts of ``fields``. Partners that match give their lines and the terms of
-    the search; each line is one row with the field that is most like the name (ties: the first field).
+    the search; each line is one row with the field that is most like the name (ties: the first field). Matches, terms and lines are staged: each feeds several steps, and their
+    plans within each other were hundreds of stages, too large for a driver.
     """
     matched = nm.match_names(queries, partners, "query_id", "name", "partner_id", "partner", model).where("decision = 'match'")
-    terms = expanded(queries, matched.select("query_id", "name", "partner_id", "partner"), model, limits)
+    matched = staged(matched.select("query_id", "name", "partner_id", "partner"))
+    terms = staged(expanded(queries, matched, model, limits))
     index = TextIndex.of(lines, "id", fields)
     newest = Window.partitionBy("query_id").orderBy(F.desc("date"), F.desc("id"))
     theirs = lines.select("id", "date", "partner_id").join(matched.select("query_id", "partner_id"), "partner_id").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limits.field)
@@ -159,6 +162,6 @@ def global_search(queries: DataFrame, partners: DataFrame, lines: DataFrame, fie
     ids = ids.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("_by", F.desc("date"), F.desc("id")))).where(F.col("_n") <= limits.total)
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("field"), F.col(c).alias("text")) for k, c in enumerate(fields)]))
     texts = ids.select("query_id", "id").join(lines, "id").select("query_id", "id", each.alias("x")).select("query_id", "id", "x.*").where("text <> ''")
-    judged = nm.score_pairs(texts.join(queries.select("query_id", "name"), "query_id"), "name", "text", model)
+    judged = nm.score_pairs(staged(texts.join(queries.select("query_id", "name"), "query_id")), "name", "text", model)
     best = judged.groupBy("query_id", "id").agg(F.max(F.struct("score", (-F.col("k")).alias("k"), "field", "text", "decision", "reason")).alias("b"))
     return best.where("b.decision = 'match'").select("query_id", "id", "b.field", "b.text", "b.score", "b.reason")

@@ -257,3 +257,36 @@ def test_audit_in_one_pass(spark, monkeypatch, capsys):
     capsys.readouterr()
     journal.audit(heads, rows).explain()
     assert capsys.readouterr().out.count("Scan ExistingRDD") == 2
+
+
+def test_global_search_in_stages(spark, capsys):
+    """Matches and terms were planned anew wherever they were read: the plan of this small search had 131 Python steps."""
+    queries = spark.createDataFrame([(1, "Karim Laila")], "query_id long, name string")
+    partners = spark.createDataFrame([(1, "Kareem Layla"), (2, "Tamer Hind")], "partner_id long, partner string")
+    lines = spark.createDataFrame([(k, k, k % 3, "Paid by Kareem Layla" if k % 2 else "fee", f"SO/{k}") for k in range(9)], "id long, date long, partner_id long, name string, ref string")
+    found = text_index.global_search(queries, partners, lines, ["name", "ref"], MODEL)
+    assert {r["id"] for r in found.collect()} == {1, 3, 5, 7}
+    capsys.readouterr()
+    found.explain()
+    assert capsys.readouterr().out.count("+- ArrowEvalPython") <= 4
+
+
+def test_references_of_one_shape(spark, monkeypatch):
+    """Every reference was measured against every name; those whose digits are alike are one, and their measures are those of each. A pair was measured 43 times, once for each reading of a measure."""
+    rng = random.Random(3)
+    texts = [f"{rng.choice(['SO/', '', 'inv 7-', 'ab1', 'Karim '])}{rng.randrange(10 ** rng.choice([2, 4, 6]))}{rng.choice(['', ' 77', 'x'])}" for _ in range(60)] + ["²3 4", "٣3 4", "no digit", ""]
+    names = ["Karim Laila", "كريم ليلى", "Karim 77", "", "Gh Ab"]
+    rows = spark.createDataFrame([(n, t) for n in names for t in texts], "name string, text string")
+    for r in rows.select("name", "text", name_match.shape(F.col("name"), F.col("text")).alias("s")).collect():
+        assert name_match.pair_features(r["name"], r["s"]) == name_match.pair_features(r["name"], r["text"])
+    calls, measures = spark.sparkContext.accumulator(0), name_match.pair_features
+
+    @F.pandas_udf("array<double>")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        calls.add(len(a))
+        return pd.Series([measures(x, y) for x, y in zip(a, b)])
+
+    monkeypatch.setattr(name_match, "features", counted)
+    many = spark.range(5000).selectExpr("'Karim Laila' AS name", "concat('SO/', id + 10000) AS text")
+    assert name_match.score_pairs(many, "name", "text", MODEL).agg(F.count("*"), F.sum("model_score")).first()[0] == 5000
+    assert 0 < calls.value <= 52
