@@ -1,7 +1,9 @@
 """Work that has to grow with the input and no faster, and whole results where groups are large."""
 
 import datetime
+import hashlib
 import random
+import re
 import time
 from decimal import Decimal
 
@@ -290,3 +292,38 @@ def test_references_of_one_shape(spark, monkeypatch):
     many = spark.range(5000).selectExpr("'Karim Laila' AS name", "concat('SO/', id + 10000) AS text")
     assert name_match.score_pairs(many, "name", "text", MODEL).agg(F.count("*"), F.sum("model_score")).first()[0] == 5000
     assert 0 < calls.value <= 52
+
+
+def test_grams_are_counted_in_place(spark, capsys):
+    """Every gram of every text was a row that was shuffled, twice; weights against a plain loop, with characters beyond the first plane, grams of four and texts without any."""
+    texts = ["Ab  ab\tc", "", None, "!!", "x", "𝒳𝒴𝒵𝒳𝒴𝒵 é é", "1 2 3 " * 40]
+    vectors = learning.ngram_vectors(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t", words=2, chars=(3, 4), dims=64)
+    want = {}
+    for k, text in enumerate(texts):
+        t = " ".join((text or "").lower().split())
+        w, counts = re.findall(r"\w+", t), {}
+        for g in ["w " + x for x in w] + [f"w {x} {y}" for x, y in zip(w, w[1:])] + ["c " + t[i : i + n] for n in (3, 4) for i in range(len(t) - n + 1)]:
+            dim = int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % 64
+            counts[dim] = counts.get(dim, 0) + 1
+        want |= {(k, d): round(n / sum(x * x for x in counts.values()) ** 0.5, 9) for d, n in counts.items()}
+    got = {(r["k"], r["dim"]): r["weight"] for r in vectors.collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-9 for x in want)
+    capsys.readouterr()
+    vectors.explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
+def test_products_that_are_nearly_equal(spark, monkeypatch):
+    """Single precision does not tell these products apart; the best come out as in double precision, copies by the smaller row."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=50)
+    rows = [base + rng.normal(size=50) * 10.0 ** -rng.integers(2, 8) for _ in range(40)]
+    rows = [x / np.sqrt((x * x).sum()) for x in rows + rows[:20]]
+    frame = spark.createDataFrame([(k, list(range(50)), x.tolist()) for k, x in enumerate(rows)], "row_id long, dims array<int>, weights array<double>")
+    monkeypatch.setattr(learning, "ELEMENTS", 700)
+    got = {}
+    for r in learning.neighbours(frame.where("row_id % 5 = 0").withColumnRenamed("row_id", "query_id"), frame, 4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["row_id"], r["dot"]))
+    for q in range(0, 60, 5):
+        dots = sorted((-round(float((rows[q] * rows[r]).sum()), 6), r) for r in range(60) if r != q)[:4]
+        assert [(n, r, d) for n, r, d in sorted(got[q])] == [(n + 1, r, -d) for n, (d, r) in enumerate(dots)]
