@@ -327,3 +327,24 @@ def test_products_that_are_nearly_equal(spark, monkeypatch):
     for q in range(0, 60, 5):
         dots = sorted((-round(float((rows[q] * rows[r]).sum()), 6), r) for r in range(60) if r != q)[:4]
         assert [(n, r, d) for n, r, d in sorted(got[q])] == [(n + 1, r, -d) for n, (d, r) in enumerate(dots)]
+
+
+def test_alike_entries_are_one_class(spark, monkeypatch):
+    """Every query met every row, however many were alike; classes meet now, and the rows of the best ones come out by their ids, each query without itself."""
+    met = []
+    meet = learning.best_pairs
+    monkeypatch.setattr(learning, "best_pairs", lambda queries, rows, k, judge, asked, held, **more: met.append((asked, held)) or meet(queries, rows, k, judge, asked, held, **more))
+    kinds = [("office rent", 500.0, "entry"), ("office rent", 5000.0, "entry"), ("office rent vat", 500.0, "invoice"), ("salary march", 500.0, None), ("rent", None, "unknown")]
+    rows = spark.createDataFrame([(k * 7 % 601, *kinds[min(k % 40, 4)], "SAR") for k in range(600)], "row_id long, text string, amount double, move_type string, currency string")
+    asked = rows.where("row_id % 50 < 3").withColumnRenamed("row_id", "query_id")
+    got = {}
+    for r in learning.similar(asked, rows, learning.Learner(examples=17)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["row_id"], r["score"]))
+    assert met == [(len({min(k % 40, 4) for k in range(600) if k * 7 % 601 % 50 < 3}), 5)]
+    kind = {k * 7 % 601: min(k % 40, 4) for k in range(600)}
+    alone = spark.createDataFrame([(i, *x, "SAR") for i, x in enumerate(kinds)], "row_id long, text string, amount double, move_type string, currency string")
+    again = alone.select((F.col("row_id") + 100).alias("query_id"), "text", "amount", "move_type", "currency")
+    worth = {(r["query_id"] - 100, r["row_id"]): r["score"] for r in learning.similar(again, alone).collect()}
+    for q in {r["query_id"] for r in asked.select("query_id").collect()}:
+        best = sorted((-worth[kind[q], kind[r]], r) for r in kind if r != q and (kind[q], kind[r]) in worth)[:17]
+        assert sorted(got[q]) == [(n + 1, r, -s) for n, (s, r) in enumerate(best)]
