@@ -108,7 +108,7 @@ def test_postings_are_no_broadcast(spark, tmp_path, capsys):
     assert sorted((r["term"], r["id"]) for r in found.collect()) == sorted(want)
     assert index.postings.where("gram = '000123'").count() == 1
     capsys.readouterr()
-    journal.audit(heads, rows).explain()
+    found.explain()
     assert "Broadcast" not in capsys.readouterr().out
 
 
